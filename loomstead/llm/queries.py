@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstead.llm import html_blocks, mil_quality, mixing, quality_rules, token_shards, toxicity
+from loomstead.llm import decontaminate, html_blocks, mil_quality, mixing, ngram_join, quality_rules, token_shards, toxicity
 from loomstead.session import ship
 
 
@@ -35,10 +35,19 @@ def op4_html_blocks(spark, sf_dir: str):
     return html_blocks.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark, sf_dir: str):
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_mixing(spark, sf_dir: str):
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_ngram_join(spark, sf_dir: str):
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir: str):
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn_from=_fold(5) != 0)
     return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
@@ -46,7 +55,7 @@ def op10_toxicity(spark, sf_dir: str):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op7_mixing, op10_toxicity)
+    for f in (op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op6_decontaminate, op7_mixing, op8_ngram_join, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
