@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstead.llm import decontaminate, html_blocks, mil_quality, mixing, ngram_join, quality_rules, token_shards, toxicity
+from loomstead.llm import decontaminate, html_blocks, mil_quality, mixing, ngram_join, quality_rules, suffix_dedup, token_shards, toxicity
 from loomstead.session import ship
 
 
@@ -48,6 +48,10 @@ def op8_ngram_join(spark, sf_dir: str):
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir: str):
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
+
+
 def op10_toxicity(spark, sf_dir: str):
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn_from=_fold(5) != 0)
     return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
@@ -55,7 +59,7 @@ def op10_toxicity(spark, sf_dir: str):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op6_decontaminate, op7_mixing, op8_ngram_join, op10_toxicity)
+    for f in (op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op6_decontaminate, op7_mixing, op8_ngram_join, op9_suffix_dedup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
