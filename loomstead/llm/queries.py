@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstead.llm import decontaminate, html_blocks, mil_quality, mixing, ngram_join, quality_rules, suffix_dedup, token_shards, toxicity
+from loomstead.llm import decontaminate, html_blocks, mil_quality, mixing, ngram_join, quality_rules, suffix_dedup, surrogates, token_shards, toxicity
 from loomstead.session import ship
 
 
@@ -35,6 +35,10 @@ def op4_html_blocks(spark, sf_dir: str):
     return html_blocks.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op5_surrogates(spark, sf_dir: str):
+    return surrogates.replace_private(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir: str):
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -59,7 +63,7 @@ def op10_toxicity(spark, sf_dir: str):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op6_decontaminate, op7_mixing, op8_ngram_join, op9_suffix_dedup, op10_toxicity)
+    for f in (op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op5_surrogates, op6_decontaminate, op7_mixing, op8_ngram_join, op9_suffix_dedup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}

@@ -31,8 +31,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.session import written
-
 BITS = 18
 STEM = 5
 GROUPS = 4
@@ -191,14 +189,12 @@ def train_linear(rows: list[tuple[np.ndarray, int, float]], epochs: int = 12, ra
     return w, v, b
 
 
-def toxicity(
-    docs: DataFrame, labels: DataFrame, *, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE
-) -> DataFrame:
-    """``doc_id``, ``score``, ``predicted`` and the vote mask of each row of ``docs``.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE):
+    """UDFs of a text column, (score, votes), fitted on all of ``docs`` and the usable labels; None without both labels.
 
     ``learn_from`` is a condition on doc_id that labelled rows must meet to be
-    used.  Texts are read for the lexicons' sample, for the votes and features
-    of all rows' patterns, and for the scores.
+    used.  Texts are read for the lexicons' sample and for the vote patterns of
+    all rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(learn_from & F.col("label").isin(0, 1))
@@ -207,7 +203,7 @@ def toxicity(
     ids = F.broadcast(parts[0].unionByName(parts[1]))
     taught = [(r.text, r.label) for r in base.join(ids, "doc_id").select("text", "label").orderBy(F.xxhash64("text", "label")).toLocalIterator()]
     if len({y for _, y in taught}) < 2:
-        return base.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("votes"))
+        return None
     learnt = learn_lexicons(taught)
     lexicon = frozenset(learnt["word"]), frozenset(learnt["stem"])
 
@@ -215,8 +211,7 @@ def toxicity(
     def vote(texts: pd.Series) -> pd.Series:
         return pd.Series([votes_of(words_of(t), lexicon) for t in texts], dtype="int64")
 
-    voted = written(base.select("doc_id", vote("text").alias("votes")))
-    patterns = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}
+    patterns = {r["votes"]: r["count"] for r in base.select(vote("text").alias("votes")).groupBy("votes").count().collect()}
     belief, _, _ = label_model(patterns)
     rows = []
     for text, _ in taught:
@@ -238,5 +233,12 @@ def toxicity(
             out[i] = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
         return pd.Series(out)
 
-    scored = base.select("doc_id", score("text").alias("score"), vote("text").alias("votes"))
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "votes")
+    return score, vote
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``doc_id``, ``score`` and ``predicted`` of each row of ``docs``; options are those of ``fit_toxicity``."""
+    fitted = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **options)
+    score = fitted[0](F.col(text_col).cast("string")) if fitted else F.lit(0.0)
+    scored = docs.select(F.col(id_col).alias("doc_id"), score.alias("score"))
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
