@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-FLAGSHIP = "s01_scoped_scan"
+from loomstead.plans import memory
 
-
-def _s01(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id = 7").select("event_id", "event_type", "value").orderBy("event_id").limit(100)
+FLAGSHIP = "j03_similarity_topk"
 
 
 def queries() -> dict[str, Callable]:
-    return {"s01_scoped_scan": _s01}
+    return dict(memory.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {"s01_scoped_scan": "SELECT event_id, event_type, value FROM events WHERE user_id = 7 ORDER BY event_id LIMIT 100"}
+    return dict(memory.ORACLES)
