@@ -40,8 +40,12 @@ def words_of(text: Column) -> Column:
 
 
 def shingles_of(words: Column) -> Column:
-    """Hash of each word with the next one; the last word, and so a lone word, has itself alone."""
-    return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    """Hash of each word with the next one; the last word, and so a lone word, has itself alone.
+
+    Neighbours are zipped: a lambda that named ``words`` would split the text anew for every word,
+    wherever the optimizer puts the expression in place of the column.
+    """
+    return F.zip_with(words, F.slice(words, 2, 2_000_000_000), lambda w, after: F.xxhash64(w, after))
 
 
 def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -70,7 +74,7 @@ def prefixes(windows: DataFrame, shingled: DataFrame) -> DataFrame:
     each = windows.select("needle", "words", n.alias("n"), F.posexplode(shingles_of(F.col("words"))).alias("offset", "token"))
     each = written(each.where((F.col("offset") < F.col("n") - 1) | (F.col("n") == 1)).select("needle", "n", "offset", "token"))
     vocabulary = _sized(each.select("token").distinct())
-    seen = shingled.select(F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").count()
+    seen = shingled.select(F.explode_outer("tokens").alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").count()
     ranked = each.join(seen, "token", "left").groupBy("needle", "n").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("df"), "token", "offset")).alias("r"))
     return ranked.select("needle", "n", F.col("r.token").alias("token"), F.col("r.offset").alias("offset"))
 
@@ -89,7 +93,7 @@ def decontaminate(
     shingled = base.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("n_words"), tokens.alias("tokens"))
     probe = prefixes(windows, shingled)
     probe = _sized(probe.join(windows.select("needle", "items"), "needle"))
-    at = shingled.select("doc_id", "n_words", F.posexplode("tokens").alias("p", "token"))
+    at = shingled.select("doc_id", "n_words", F.posexplode_outer("tokens").alias("p", "token"))
     place = F.when(F.col("p") >= F.col("n_words"), F.col("p") - F.col("n_words")).otherwise(F.col("p")) if lone else F.col("p")
     found = at.join(probe, "token").withColumn("start", place - F.col("offset"))
     found = found.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
