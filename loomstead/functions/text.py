@@ -79,7 +79,7 @@ def leaks(a: Column, b: Column, n: int = 3) -> Column:
 def wiki_links(text: Column) -> Column:
     """Targets of [[target|alias#heading]], trimmed, each once, in order."""
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)[^\]]*\]\]"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def turn_headers(text: Column) -> Column:

@@ -50,7 +50,7 @@ def chase(points: DataFrame, hops: int = 8) -> DataFrame:
     """Terminal point of each: superseded_by is followed to a point that is not superseded; a dead end,
     a cycle or more than ``hops`` steps end in null."""
     step = points.select("id", "status", "superseded_by")
-    # Paths double with every round, so eight hops take three self-joins.
+    # Paths double with every round, so eight hops take four self-joins.
     state = step.select(
         "id",
         F.when(~F.col("status").eqNullSafe("superseded"), F.col("id")).alias("terminal"),
@@ -58,7 +58,7 @@ def chase(points: DataFrame, hops: int = 8) -> DataFrame:
         F.when(F.col("status").eqNullSafe("superseded"), 1).otherwise(0).alias("steps"),
     )
     done = 1
-    while done < hops:
+    while done <= hops:
         ahead = state.select(F.col("id").alias("next"), F.col("terminal").alias("t2"), F.col("next").alias("n2"), F.col("steps").alias("s2"))
         state = written(
             state.join(ahead, "next", "left").select(
