@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomstead.plans import memory
+from loomstead.plans import evaluation, memory  # noqa: F401  (evaluation adds its queries to the registry of memory)
 
 FLAGSHIP = "j03_similarity_topk"
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SYSTEM_DOC = "_um_embedding_stamp"  # fixed value: id of the hidden stamp
+SYSTEM_DOC = "_embedding_stamp"  # fixed value: id of the hidden stamp
 GONE = ("superseded", "deprecated", "rejected")  # fixed value: states that are not recalled
 SNIPPET = 240
 LIST_LIMIT, MAX_LIMIT, FULL_SCAN = 100, 100, 10_000

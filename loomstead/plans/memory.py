@@ -133,7 +133,7 @@ def _(points):
     return one.join(points.groupBy("project").agg(F.max("data").alias("state")), "project", "left")
 
 
-@query("s29_list_all", "points", "SELECT id, data FROM points WHERE doc_id IS DISTINCT FROM '_um_embedding_stamp' ORDER BY seq LIMIT 100")
+@query("s29_list_all", "points", "SELECT id, data FROM points WHERE doc_id IS DISTINCT FROM '_embedding_stamp' ORDER BY seq LIMIT 100")
 def _(points):
     return points.where(R.not_system()).orderBy("seq").limit(R.LIST_LIMIT).select("id", "data")
 
@@ -153,7 +153,7 @@ def _(points):
     return points.where(R.same_arm("lane", None) & R.same_arm("persona", "persona1")).select("id")
 
 
-@query("p04_system_docs", "points", "SELECT CAST(count(*) AS BIGINT) AS n FROM points WHERE doc_id IS DISTINCT FROM '_um_embedding_stamp'")
+@query("p04_system_docs", "points", "SELECT CAST(count(*) AS BIGINT) AS n FROM points WHERE doc_id IS DISTINCT FROM '_embedding_stamp'")
 def _(points):
     return points.where(R.not_system()).agg(F.count("*").alias("n"))
 
@@ -462,7 +462,7 @@ def _(signals):
     return S.last_seen(S.counters(signals)).select("surface", S.freshness_hours(F.col("last_day"), NOW).alias("hours"))
 
 
-@query("a10_corpus_by_project", "points", "SELECT coalesce(nullif(trim(project), ''), '(unknown)') AS project, CAST(count(*) AS BIGINT) AS n FROM points WHERE doc_id IS DISTINCT FROM '_um_embedding_stamp' GROUP BY 1")
+@query("a10_corpus_by_project", "points", "SELECT coalesce(nullif(trim(project), ''), '(unknown)') AS project, CAST(count(*) AS BIGINT) AS n FROM points WHERE doc_id IS DISTINCT FROM '_embedding_stamp' GROUP BY 1")
 def _(points):
     return S.corpus_by_project(points.where(R.not_system()))
 

@@ -27,7 +27,7 @@ DERIVED: dict[str, tuple[str, list[str], str]] = {
             "CASE WHEN vec_id % 11 = 0 THEN concat('p', CAST(vec_id + 11 * (vec_id % 4) AS STRING)) END AS superseded_by",
             "CASE WHEN vec_id % 11 = 0 THEN concat('2024-01-', lpad(CAST(vec_id % 28 + 1 AS STRING), 2, '0')) END AS superseded_at",
             "CASE WHEN vec_id % 6 = 0 THEN NULL ELSE concat('2024-', lpad(CAST(vec_id % 12 + 1 AS STRING), 2, '0'), '-10') END AS valid_from",
-            "CASE WHEN vec_id = 42 THEN '_um_embedding_stamp' WHEN vec_id % 4 = 0 THEN concat('doc-', CAST(vec_id AS STRING)) END AS doc_id",
+            "CASE WHEN vec_id = 42 THEN '_embedding_stamp' WHEN vec_id % 4 = 0 THEN concat('doc-', CAST(vec_id AS STRING)) END AS doc_id",
             "CASE WHEN vec_id % 8 = 0 THEN concat('Title ', CAST(vec_id AS STRING)) WHEN vec_id % 8 = 1 THEN '' END AS title",
             "CASE WHEN vec_id % 9 = 0 THEN NULL ELSE CAST(vec_id % 100 AS DOUBLE) / 100 END AS score",
             "label",
