@@ -181,7 +181,8 @@ def _second_pass(labels: list[str], inside: list[str]) -> list[str]:
         for i in order:
             # Neighbours count within the same kind of element: an advert before an article says nothing of its heading.
             into[i] = last.get(inside[i])
-            if labels[i] != "near":
+            # Within an article only text counts: a list of links beside a short paragraph says nothing of it.
+            if labels[i] == "good" or (labels[i] == "bad" and inside[i] != "content"):
                 last[inside[i]] = i
     for i, label in enumerate(labels):
         if label != "near":

@@ -72,7 +72,8 @@ def fill(sizes: list[int], counts: list[int], budget: int) -> dict[int, int]:
         return take
     if budget >= total:
         return left
-    part = budget / total
+    # The even share stops short of the budget by a few documents, which the knapsack then chooses.
+    part = max(0, budget - min(EXACT // 2, 8 * max(sizes))) / total
     rest = budget
     for s in sizes:
         take[s] = min(int(left[s] * part), rest // s)

@@ -116,8 +116,8 @@ def fit_accuracies(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[
 
     Returns the prior of "good" and an array (class, rule, vote).  Bad documents
     are of several kinds that share no rule, and two classes can't hold more
-    than two kinds apart; so the class called "good" is held to at most 1 % bad
-    votes of any rule, and bad votes are at least 5 times as likely in the
+    than two kinds apart; so the class called "good" is held to at most 0.3 %
+    bad votes of any rule, and bad votes are at least 40 times as likely in the
     other.  Good votes are never likelier there.
     """
     shape = np.array([[0.25, 0.35, 0.4], [0.005, 0.3, 0.695]])
@@ -132,8 +132,8 @@ def fit_accuracies(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[
         good = posterior(votes, prior, chance)
         w = np.stack([counts * (1 - good), counts * good])
         new = (np.einsum("cp,prv->crv", w, hot) + 20 * shape[:, None]) / (w.sum(1)[:, None, None] + 20)
-        new[1, :, 0] = np.minimum(new[1, :, 0], 0.01)
-        new[0, :, 0] = np.maximum(new[0, :, 0], 5 * new[1, :, 0])
+        new[1, :, 0] = np.minimum(new[1, :, 0], 0.003)
+        new[0, :, 0] = np.maximum(new[0, :, 0], 40 * new[1, :, 0])
         new[0, :, 2] = np.minimum(new[0, :, 2], new[1, :, 2])
         new /= new.sum(2, keepdims=True)
         prior = float(np.clip(counts @ good / counts.sum(), 0.05, 0.99))

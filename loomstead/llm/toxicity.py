@@ -70,8 +70,12 @@ def learn_lexicons(rows: list[tuple[str | None, int]], least: int = 6, share: fl
     size = [0, 0]
     seen: set[tuple[int, int]] = set()
     for text, toxic in rows:
-        found = set(words_of(text))
-        mark = (toxic, min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found), default=0))
+        words = words_of(text)
+        found = set(words)
+        code = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found}
+        run = [code[w] for w in words]
+        triples = zip(run, run[1:], run[2:], strict=False)
+        mark = (toxic, min(((a * 1_000_003 + b) * 998_244_353 + c) & 0xFFFFFFFFFFFF for a, b, c in triples) if len(run) > 2 else sum(run))
         if mark in seen:
             continue
         seen.add(mark)
