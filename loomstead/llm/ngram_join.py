@@ -18,7 +18,9 @@ documents form components.
    already, and by the triangle inequality of the Jaccard distance a pair can
    be a link only if its distances from each pivot differ by 1 - t at most.
    Only pairs this leaves, between different components, are compared.
-5. Candidates are verified on the whole sets; links are contracted.
+5. Two sets whose parity bitmaps (one bit flipped for each shingle, by hash)
+   differ in more bits than their symmetric difference may have are dropped;
+   the other candidates are verified on the whole sets; links are contracted.
 
 Shingles are compared by 64-bit hashes.
 
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.operators.components import connected_components
@@ -104,7 +106,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
 
 
-_SURVEY = "doc_id bigint, n int, sig bigint, chunk int, counts binary"
+PARITY_BITS = 1024
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap with the parity of the set's shingles in each of PARITY_BITS places: a shingle in which
+    two sets differ changes one bit, so bitmaps differ in at most as many bits as sets in shingles."""
+    place = ((s >> np.uint64(40)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY_BITS) & 1).astype(np.uint8)).view("<i8")
+
+
+_SURVEY = "doc_id bigint, n int, sig bigint, bits array<bigint>, chunk int, counts binary"
 
 
 def _survey(width: int):
@@ -115,18 +127,18 @@ def _survey(width: int):
         mask = np.uint64((1 << SKETCH_BITS) - 1)
 
         def narrow(held: list) -> pa.RecordBatch:
-            ids, n, sigs = zip(*held, strict=True)
+            ids, n, sigs, bits = zip(*held, strict=True)
             k = len(held)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(sigs, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["doc_id", "n", "sig", "chunk", "counts"],
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(sigs, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=["doc_id", "n", "sig", "bits", "chunk", "counts"],
             )
 
         held: list[tuple] = []
         for doc_id, text in _rows(batches):
             s = shingles(text)
             sig = signature(s)
-            held.append((doc_id, len(s), sig))
+            held.append((doc_id, len(s), sig, parity(s)))
             if len(s) and sig not in seen:
                 seen.add(sig)
                 counters += np.bincount((s & mask).astype(np.int64), minlength=len(counters)).astype(np.uint32) if len(s) > 50_000 else 0
@@ -140,9 +152,9 @@ def _survey(width: int):
         if seen:
             parts = counters.reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int32()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()),
+                [pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int32()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.array(range(CHUNKS), pa.int32()),
                  pa.array([zlib.compress(p.astype("<u4").tobytes(), 1) for p in parts], pa.binary())],
-                names=["doc_id", "n", "sig", "chunk", "counts"],
+                names=["doc_id", "n", "sig", "bits", "chunk", "counts"],
             )
 
     return run
@@ -240,15 +252,44 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), na, nb, o], names=["a", "b", "na", "nb", "o"])
 
 
-def _verified(pairs: DataFrame, base: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """``a``, ``b``, sizes and overlap of each pair of signatures."""
-    pairs = written(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    texts = base.join(reps.join(wanted, "sig").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "sig bigint, items binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
-    sets = written(sets)
-    x, y = sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), sets.select(F.col("sig").alias("b"), F.col("items").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, o bigint"))
+def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs whose sizes and bitmaps leave a link possible."""
+    of = lambda s: reps.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"))
+    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    return written(both.where(_may_link("a", "b", percent)).select("a", "b"))
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether bitmaps differ in no more bits than the sets of two linked documents of these sizes may."""
+    differ = F.aggregate(F.zip_with(f"bits{a}", f"bits{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    size = F.col(f"n{a}") + F.col(f"n{b}")
+    return differ <= size - 2 * F.ceil(size * percent / (100 + percent) - 1e-9)
+
+
+class _Sets:
+    """Whole sets of the signatures asked for so far; documents are read again only for new ones."""
+
+    def __init__(self, base: DataFrame, reps: DataFrame, width: int) -> None:
+        self.base, self.reps, self.width, self.held = base, reps, width, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        if self.held is not None:
+            wanted = written(wanted.join(self.held.select("sig"), "sig", "left_anti"))
+            if not wanted.limit(1).count():
+                return self.held
+        texts = self.base.join(self.reps.join(wanted, "sig").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_sets(self.width), "sig bigint, items binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+        sets = written(sets)
+        self.held = sets if self.held is None else self.held.union(sets)
+        return self.held
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """``a``, ``b``, sizes and overlap of each pair of signatures."""
+        sets = self.of(pairs)
+        x, y = sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), sets.select(F.col("sig").alias("b"), F.col("items").alias("y"))
+        met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        return written(met.mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, o bigint"))
 
 
 def ngram_components(
@@ -257,16 +298,17 @@ def ngram_components(
     """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs``."""
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = written(base.mapInArrow(_survey(width), _SURVEY))
-    narrow = survey.where("chunk IS NULL").select("doc_id", "n", "sig")
+    narrow = survey.where("chunk IS NULL").select("doc_id", "n", "sig", "bits")
     chunks = survey.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_summed, "chunk int, code binary, total bigint").collect()
     links = None
-    reps = narrow.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    reps = narrow.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    reps = written(reps)
     if chunks:
         code = b"".join(bytes(r.code) for r in sorted(chunks, key=lambda r: r.chunk))
         mean = sum(r.total for r in chunks) / (1 << SKETCH_BITS)
         frequent = int(8 * np.log2(max(FREQUENT, 4 * mean) + 1))
         links = _links(base, reps, width, percent, code, frequent)
-    named = reps.withColumn("node", F.col("sig"))
+    named = reps.select("sig", "rep", F.col("sig").alias("node"))
     if links is not None:
         roots = connected_components(links, "a", "b")
         named = reps.join(roots, reps.sig == roots.node, "left").select("sig", "rep", F.coalesce("component", "sig").alias("node"))
@@ -290,16 +332,17 @@ def _links(base: DataFrame, reps: DataFrame, width: int, percent: int, code: byt
     pairs = side(few, "x").join(side(few, "y"), "key").where((F.col("rn_x") < F.col("rn_y")) & alike).select(*pair)
     pivots = side(many.where(F.col("rn") <= PIVOTS), "x")
     pairs = pairs.union(pivots.join(side(many, "y"), "key").where((F.col("sig_x") != F.col("sig_y")) & alike).select(*pair))
-    checked = _verified(pairs, base, reps, width)
+    sets = _Sets(base, reps, width)
+    checked = sets.verified(_close(pairs, reps, percent))
     linked = F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent
     links = written(checked.where(linked).select("a", "b"))
-    rest = _unsettled(many, checked, links, percent)
+    rest = _close(_unsettled(many, checked, links, reps, percent), reps, percent)
     if rest.limit(1).count():
-        links = links.union(_verified(rest, base, reps, width).where(linked).select("a", "b"))
+        links = links.union(sets.verified(rest).where(linked).select("a", "b"))
     return links
 
 
-def _unsettled(many: DataFrame, checked: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _unsettled(many: DataFrame, checked: DataFrame, links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs of large keys that pivots have not settled: of different components, of fitting sizes,
     and within the triangle bound of every pivot both were compared with."""
     roots = connected_components(links, "a", "b")
@@ -315,15 +358,16 @@ def _unsettled(many: DataFrame, checked: DataFrame, links: DataFrame, percent: i
     far = member.select("key", F.col("sig").alias("b")).join(pivots, "key").join(known, ["a", "b"], "left")
     each = [F.max(F.when(F.col("p") == i + 1, F.col("d"))).alias(f"d{i}") for i in range(PIVOTS)]
     far = far.groupBy("key", F.col("b").alias("sig")).agg(*each)
-    member = written(member.join(far, ["key", "sig"]))
+    member = written(member.join(far, ["key", "sig"]).join(reps.select("sig", "bits"), "sig"))
     major = member.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
     minor = member.join(major, "key").where("root <> major").drop("major")
-    names = ["sig", "n", "root", *(f"d{i}" for i in range(PIVOTS))]
+    names = ["sig", "n", "root", "bits", *(f"d{i}" for i in range(PIVOTS))]
     side = lambda g, s: g.select("key", *(F.col(c).alias(f"{c}_{s}") for c in names))
     both = side(minor, "x").join(side(member, "y"), "key").where("root_x <> root_y")
     both = both.where((F.least("n_x", "n_y") * 100) >= (F.greatest("n_x", "n_y") * percent))
     slack = 1 - percent / 100 + 1e-9
     for i in range(PIVOTS):
         both = both.where(F.coalesce(F.abs(F.col(f"d{i}_x") - F.col(f"d{i}_y")) <= slack, F.lit(True)))
+    both = both.where(_may_link("_x", "_y", percent))  # within the join, so that no hopeless pair leaves it
     rest = both.select(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).distinct()
-    return written(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    return rest.join(checked.select("a", "b"), ["a", "b"], "left_anti")
