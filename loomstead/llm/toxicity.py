@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 BITS = 18
 STEM = 5
 GROUPS = 4
-SAMPLE = 12_000
+SAMPLE = 8_000
 
 # Insults and slurs of everyday English, a starting lexicon.
 STARTING_LEXICON = frozenset(
@@ -66,10 +66,12 @@ def learn_lexicons(rows: list[tuple[str | None, int]], least: int = 6, share: fl
     have it and this is ``ratio`` times its share of other rows.  Copies of a
     row count once: of rows with one smallest word hash, only the first does.
     """
-    counts = {kind: (Counter(), Counter()) for kind in ("word", "stem")}
+    # Terms are counted by hash first: only those whose slot is frequent enough are counted by name.
+    slots = {kind: np.zeros((2, 1 << 20), np.int32) for kind in ("word", "stem")}
     size = [0, 0]
     seen: set[tuple[int, int]] = set()
-    for text, toxic in rows:
+    kept = []
+    for i, (text, toxic) in enumerate(rows):
         words = words_of(text)
         found = set(words)
         code = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found}
@@ -79,16 +81,27 @@ def learn_lexicons(rows: list[tuple[str | None, int]], least: int = 6, share: fl
         if mark in seen:
             continue
         seen.add(mark)
+        kept.append(i)
         size[toxic] += 1
-        counts["word"][toxic].update(found)
-        counts["stem"][toxic].update({w[:STEM] for w in found if len(w) > STEM})
+        for kind, terms in _terms(found).items():
+            slots[kind][toxic, list({zlib.crc32(t.encode("utf-8", "surrogatepass")) & 0xFFFFF for t in terms})] += 1
     need = max(least, share * size[1])
+    counts = {kind: (Counter(), Counter()) for kind in slots}
+    for i in kept:
+        text, toxic = rows[i]
+        for kind, terms in _terms(set(words_of(text))).items():
+            often = slots[kind][1]
+            counts[kind][toxic].update(t for t in terms if often[zlib.crc32(t.encode("utf-8", "surrogatepass")) & 0xFFFFF] >= need)
     out = {}
     for kind, (clean, bad) in counts.items():
         out[kind] = sorted(w for w, n in bad.items() if n >= need and (n + 0.5) / (size[1] + 1) >= ratio * (clean[w] + 0.5) / (size[0] + 1))
     return out
 
 
+def _terms(found: set[str]) -> dict[str, set[str]]:
+    return {"word": found, "stem": {w[:STEM] for w in found if len(w) > STEM}}
+
+
 def votes_of(words: list[str], lexicon: tuple[frozenset, frozenset]) -> int:
     """Bit mask of the voters that say toxic; a voter without its bit abstains."""
     lexical, stems = lexicon
@@ -160,7 +173,7 @@ def features_of(words: list[str], mask: int) -> np.ndarray:
     """Slots of the distinct words, their stems and the votes."""
     found = set(words)
     names = found | {"~" + w[:STEM] for w in found if len(w) > STEM}
-    return np.unique(np.fromiter((_slot(x) for x in names), np.int64, len(names)))
+    return np.unique(np.fromiter((_slot(x) for x in names), np.int32, len(names)))
 
 
 def train_linear(rows: list[tuple[np.ndarray, int, float]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
