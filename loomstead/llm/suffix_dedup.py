@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,14 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes: they are shuffled twice, which is most of what the job writes."""
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    for batch in batches:
+        packed = [pack.compress(_bytes(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+
 # ---- 1. Seeds --------------------------------------------------------------
 
 
@@ -212,8 +221,9 @@ def _runs(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             held: list[dict[bytes, list]] = [{} for _ in range(parts)]
-            for doc_id, uid, wanted, text in block:
-                raw = _bytes(text)
+            for doc_id, wanted, packed in block:
+                raw = zstandard.decompress(packed)
+                uid = zlib.crc32(raw)
                 at, _ = anchors(np.frombuffer(raw, np.uint8), length)
                 wanted = np.unique(np.array(wanted, np.int64))
                 for j in at[wanted[wanted < len(at)]].tolist():
@@ -225,7 +235,7 @@ def _runs(parts: int, length: int):
                     continue
                 strings = sorted(by_suffix)
                 refs = [r for s in strings for r in by_suffix[s]]
-                docs, uids, places = (np.array(c, k) for c, k in zip(zip(*refs, strict=True), ("<i8", "<i8", "<u4"), strict=True))
+                docs, uids, places = (np.array(c, k) for c, k in zip(zip(*refs, strict=True), ("<i8", "<u4", "<u4"), strict=True))
                 counts = np.array([len(by_suffix[s]) for s in strings], "<u4")
                 rows.append((p, *map(lambda x: zlib.compress(x, 1), front_code(strings)), _packed(counts), _packed(docs), _packed(uids), _packed(places)))
             if rows:
@@ -333,7 +343,7 @@ def group_matches(contexts: list[tuple[bytes, list[tuple]]], length: int) -> Ite
 
 def _run_rows(row: dict) -> Iterator[tuple[int, bytes, list[tuple]]]:
     counts = _unpacked(row["counts"], "<u4").tolist()
-    refs = list(zip(*(_unpacked(row[c], k).tolist() for c, k in (("docs", "<i8"), ("uids", "<i8"), ("places", "<u4"))), strict=True))
+    refs = list(zip(*(_unpacked(row[c], k).tolist() for c, k in (("docs", "<i8"), ("uids", "<u4"), ("places", "<u4"))), strict=True))
     at = 0
     for (n, s), k in zip(read_run(*(zlib.decompress(row[c]) for c in ("shared", "lengths", "tails"))), counts, strict=True):
         yield n, s, refs[at : at + k]
@@ -382,9 +392,11 @@ def _cuts(length: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = _bytes(text)
-                kept, removed, spans = cut(raw, [h["place"] for h in hits or ()], [h["mask"] for h in hits or ()], length)
+            for doc_id, packed, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = zstandard.decompress(packed)
+                uid = zlib.crc32(raw)
+                own = [h for h in hits or () if h["uid"] == uid]  # rows of one id may differ in text
+                kept, removed, spans = cut(raw, [h["place"] for h in own], [h["mask"] for h in own], length)
                 out.append((doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -402,11 +414,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     seeds = known.mapInArrow(_seeds(parts, length), "part int, value binary, doc binary, place binary, ids binary")
     shared = seeds.groupBy("part").applyInArrow(_shared, "doc_id bigint, places array<int>")
     wanted = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    uid = F.xxhash64("text").alias("uid")
-    chosen = known.join(wanted, "doc_id").select("doc_id", uid, "places", "text")
+    packed = known.mapInArrow(_pack_texts, "doc_id bigint, packed binary")
+    chosen = packed.join(wanted, "doc_id").select("doc_id", "places", "packed")
     runs = chosen.mapInArrow(_runs(parts, length), "part int, " + ", ".join(f"{c} binary" for c in _RUN_FIELDS))
     matches = runs.groupBy("part").applyInArrow(_merged(length), "doc_id bigint, uid bigint, place int, mask bigint")
-    hits = matches.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("place", "mask")).alias("hits"))
-    joined = base.withColumn("uid", F.xxhash64("text")).join(hits, ["doc_id", "uid"], "left").select("doc_id", "text", "hits")
+    hits = matches.groupBy("doc_id").agg(F.collect_list(F.struct("uid", "place", "mask")).alias("hits"))
+    joined = packed.join(hits, "doc_id", "left").select("doc_id", "packed", "hits")
+    short = base.where(F.col("doc_id").isNull() | (F.octet_length("text") < length)).mapInArrow(_pack_texts, "doc_id bigint, packed binary")
+    joined = joined.union(short.withColumn("hits", F.lit(None).cast("array<struct<uid:bigint,place:int,mask:bigint>>")))
     out = joined.mapInArrow(_cuts(length, texts), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if texts else out.drop("kept")
