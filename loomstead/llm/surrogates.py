@@ -44,7 +44,8 @@ PATTERNS = {
     "male": rf"(?<![\p{{L}}])(?:{MALE_TITLES})\.? {NAME}",
     "female": rf"(?<![\p{{L}}])(?:{FEMALE_TITLES})\.? {NAME}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([ \-]?)\d{4}\1\d{4}\1\d{4}", r"(?:(?:\d{4}){3}|(?: \d{4}){3}|(?:-\d{4}){3})")
+# Entities begin where no ASCII letter or digit stands before: one look behind spares the patterns most places.
+ANY = ("(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")").replace(r"([ \-]?)\d{4}\1\d{4}\1\d{4}", r"(?:(?:\d{4}){3}|(?: \d{4}){3}|(?:-\d{4}){3})")
 
 # Given names by gender and syllables of surnames, by script.
 GIVEN = {
