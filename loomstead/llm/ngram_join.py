@@ -181,7 +181,7 @@ def prefix_keys(s: np.ndarray, code: np.ndarray, frequent: int, percent: int) ->
     spare = n - needed(n, percent)
     first, rare = order[: spare + 1], rank < frequent
     keys = [s[first[rare[first]]]]
-    if 10 * n >= 9 * COMBINE_UP_TO:
+    if 100 * n >= percent * COMBINE_UP_TO:  # a partner may be longer than COMBINE_UP_TO
         keys.append(s[first[~rare[first]]])
     if n <= COMBINE_UP_TO and n >= 2:
         often = order[: spare + 2]
