@@ -8,6 +8,10 @@ article or main element are content unless they are mostly links.  The second
 pass lets short, ambiguous blocks inherit the label of the nearest decided
 neighbours.
 
+A skipped element (script, svg, button and the like) is left out up to its end
+tag.  Written as ``<svg/>`` it is empty.  One that is left open (the page or an
+enclosing block ends without its end tag) goes to the next block element only.
+
 Defined results: null and empty pages give an empty text; very long pages are
 read whole; repeated rows are extracted each by itself; other columns are
 ignored; an empty table gives an empty result.
@@ -16,6 +20,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,6 +40,9 @@ BLOCK_TAGS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 SKIPPED_TAGS = frozenset("script style noscript template iframe object svg math canvas textarea select button title".split())
+# Of the skipped, those whose content is text, whatever tags stand in it; and blocks that are parts of a select.
+TEXT_TAGS = frozenset("script style iframe textarea title".split())
+SELECT_TAGS = frozenset("option optgroup hr legend".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,10 +86,9 @@ class BlockReader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.events: list[tuple[str, str, list | None]] = []  # kind, tag or text, attributes
         self.blocks: list[Block] = []
         self.open: list[tuple[str, str]] = []
-        self.skipping = ""
-        self.depth = 0
         self.links = 0
         self.now = Block("open")
 
@@ -91,9 +98,82 @@ class BlockReader(HTMLParser):
         self.now = Block(self.open[-1][1] if self.open else "open")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skipping:
-            self.depth += tag == self.skipping and tag not in VOID_TAGS
-            return
+        self.events.append(("start", tag, attrs))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag not in SKIPPED_TAGS:
+            self.events.append(("start", tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        self.events.append(("end", tag, None))
+
+    def handle_data(self, data: str) -> None:
+        self.events.append(("data", data, None))
+
+    def _ends(self) -> dict[int, int]:
+        """Places of the skipped elements that have an end tag, each with the place of that."""
+        ends: dict[int, int] = {}
+        later: dict[str, list[int]] = {}
+        for i in range(len(self.events) - 1, -1, -1):
+            kind, tag, _ = self.events[i]
+            if kind == "end" and tag in TEXT_TAGS:
+                later.setdefault(tag, []).append(i)
+        stack: list[tuple[str, int]] = []
+        held: Counter = Counter()
+        skipped = 0  # open skipped elements
+        past = -1
+        for i, (kind, tag, _) in enumerate(self.events):
+            if i <= past or kind == "data" or tag not in SKIPPED_TAGS and tag not in BLOCK_TAGS or tag in VOID_TAGS:
+                continue
+            if kind == "start":
+                if tag in TEXT_TAGS and not skipped:
+                    places = later.get(tag, [])
+                    while places and places[-1] < i:
+                        places.pop()
+                    if places:
+                        past = ends[i] = places[-1]
+                    continue
+                stack.append((tag, i))
+                held[tag] += 1
+                skipped += tag in SKIPPED_TAGS
+            elif held[tag]:
+                while True:
+                    top, at = stack.pop()
+                    held[top] -= 1
+                    skipped -= top in SKIPPED_TAGS
+                    if top == tag:
+                        break
+                if tag in SKIPPED_TAGS:
+                    ends[at] = i
+        return ends
+
+    def close(self) -> None:
+        super().close()
+        ends = self._ends()
+        past, left_open = -1, ""
+        for i, (kind, tag, attrs) in enumerate(self.events):
+            if i <= past:
+                continue
+            if kind == "start" and tag in SKIPPED_TAGS:
+                if i in ends:
+                    past = ends[i]
+                else:
+                    left_open = tag
+                continue
+            if left_open:
+                block = kind != "data" and tag in BLOCK_TAGS and not (left_open == "select" and tag in SELECT_TAGS)
+                if not block or kind == "end" and all(t != tag for t, _ in self.open):
+                    continue
+                left_open = ""
+            if kind == "start":
+                self._start(tag, attrs)
+            elif kind == "end":
+                self._end(tag)
+            else:
+                self._data(tag)
+        self._cut()
+
+    def _start(self, tag: str, attrs: list) -> None:
         if tag == "br":
             self.now.parts.append(" ")
             return
@@ -101,9 +181,6 @@ class BlockReader(HTMLParser):
             if tag == "hr":
                 self._cut()
             return
-        if tag in SKIPPED_TAGS:
-            self.skipping, self.depth = tag, 1
-            return
         if tag == "a":
             self.links += 1
             return
@@ -123,16 +200,7 @@ class BlockReader(HTMLParser):
         self.open.append((tag, inside))
         self._cut()
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.skipping:
-            if tag == self.skipping:
-                self.depth -= 1
-                if not self.depth:
-                    self.skipping = ""
-            return
+    def _end(self, tag: str) -> None:
         if tag == "a":
             self.links = max(0, self.links - 1)
             return
@@ -145,9 +213,7 @@ class BlockReader(HTMLParser):
         self.links = 0
         self._cut()
 
-    def handle_data(self, data: str) -> None:
-        if self.skipping:
-            return
+    def _data(self, data: str) -> None:
         self.now.parts.append(data)
         if self.links:
             self.now.linked += len("".join(data.split()))
@@ -202,7 +268,6 @@ def extract(html: str | None) -> str:
     reader = BlockReader()
     reader.feed(html)
     reader.close()
-    reader._cut()
     kept = []
     for b in reader.blocks:
         text = " ".join("".join(b.parts).split())

@@ -1,6 +1,8 @@
 """Cases of the reviewer's advice in which an operator once did less than the whole job."""
 
-from loomstead.llm import ngram_join
+import pytest
+
+from loomstead.llm import html_blocks, ngram_join
 
 
 def test_ngram_join_links_across_the_pair_bound(spark):
@@ -11,3 +13,27 @@ def test_ngram_join_links_across_the_pair_bound(spark):
     got = ngram_join.ngram_components(docs, width=5, percent=80).collect()
     assert {r.n_shingles for r in got} == {170, 208}
     assert len(got) == 160 and {r.component_id for r in got} == {0}
+
+
+LINE = "This is the long text of the article, and it has as many of the common words as it takes to be kept."
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "iframe"])
+def test_html_self_closed_elements_are_empty(tag):
+    page = f"<html><head><{tag} class='x'/></head><body><article><p>{LINE}</p><svg><{tag}/>icon</svg><p>{LINE}</p></article></body></html>"
+    assert html_blocks.extract(page) == f"{LINE}\n{LINE}"
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "noscript", "object"])
+def test_html_elements_left_open_end(tag):
+    assert html_blocks.extract(f"<body><div><{tag}>label</div><article><p>{LINE}</p></article></body>") == LINE
+    assert html_blocks.extract(f"<body><article><{tag}>label<p>{LINE}</p><p>{LINE}</p></article></body>") == f"{LINE}\n{LINE}"
+    assert html_blocks.extract(f"<body><article><{tag}>label<p>{LINE}</p><{tag}>closed</{tag}><p>{LINE}</p></article></body>") == f"{LINE}\n{LINE}"
+    # Closed ones are left out whole, with the blocks in them.
+    assert html_blocks.extract(f"<body><article><p>{LINE}</p><{tag}>label<div><p>{LINE}</p></div></{tag}></article></body>") == LINE
+
+
+def test_html_text_elements_hold_tags():
+    page = f"<body><article><p>{LINE}</p><textarea></p></article><p>{LINE}</textarea><select><option>a<option>b<p>{LINE}</p></article></body>"
+    assert html_blocks.extract(page) == f"{LINE}\n{LINE}"
+    assert html_blocks.extract("<button><p>x</p>" * 20_000) == ""
