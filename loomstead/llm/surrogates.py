@@ -32,9 +32,11 @@ ROUNDS = 60
 # Patterns of entities, in the order in which they are tried.
 MALE_TITLES = r"Mr|Mister|Herr|Monsieur|Señor|Sr\.|г-н|господин"
 FEMALE_TITLES = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra\.|г-жа|госпожа"
-NAME = r"\p{Lu}[\p{Ll}'-]++(?: \p{Lu}[\p{Ll}'-]++)?"
+# Words with capitals within and parts after hyphens or apostrophes, and initials; as many as follow, up to the next title.
+WORD = r"(?:(?:\p{Lu}\.)++(?:-\p{Lu}\.)*+|\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+)"
+NAME = rf"{WORD}(?: ?(?<=[ .])(?!(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}){WORD})*+"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*+(?<=\.[A-Za-z]{2,24})",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,24}",  # a name has 127 labels at most
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?!\d)",
@@ -44,8 +46,10 @@ PATTERNS = {
     "male": rf"(?<![\p{{L}}])(?:{MALE_TITLES})\.? {NAME}",
     "female": rf"(?<![\p{{L}}])(?:{FEMALE_TITLES})\.? {NAME}",
 }
-# Entities begin where no ASCII letter or digit stands before: one look behind spares the patterns most places.
-ANY = ("(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")").replace(r"([ \-]?)\d{4}\1\d{4}\1\d{4}", r"(?:(?:\d{4}){3}|(?: \d{4}){3}|(?:-\d{4}){3})")
+# Entities begin where no ASCII letter or digit stands before, numbers also after a letter and titles after a digit:
+# this look spares the patterns most places.
+BEGIN = r"(?:(?<![A-Za-z0-9])|(?=\d)(?<=[A-Za-z])|(?=[MHFSг])(?<=\d))"
+ANY = (BEGIN + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")").replace(r"([ \-]?)\d{4}\1\d{4}\1\d{4}", r"(?:(?:\d{4}){3}|(?: \d{4}){3}|(?:-\d{4}){3})")
 
 # Given names by gender and syllables of surnames, by script.
 GIVEN = {

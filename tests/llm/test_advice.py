@@ -1,8 +1,10 @@
 """Cases of the reviewer's advice in which an operator once did less than the whole job."""
 
+import re
+
 import pytest
 
-from loomstead.llm import html_blocks, ngram_join
+from loomstead.llm import html_blocks, ngram_join, surrogates
 
 
 def test_ngram_join_links_across_the_pair_bound(spark):
@@ -37,3 +39,20 @@ def test_html_text_elements_hold_tags():
     page = f"<body><article><p>{LINE}</p><textarea></p></article><p>{LINE}</textarea><select><option>a<option>b<p>{LINE}</p></article></body>"
     assert html_blocks.extract(page) == f"{LINE}\n{LINE}"
     assert html_blocks.extract("<button><p>x</p>" * 20_000) == ""
+
+
+PRIVATE = [
+    ("Frau Anna Maria Schmidt", "Anna Maria Schmidt"), ("Mr McDonald", "McDonald Donald"), ("Ms Smith-Jones", "Smith Jones"), ("Mr O'Brien", "Brien"), ("Mr J. Smith", "Smith"),
+    ("Mr J.R. Smith", "Smith"), ("Herr Karl Otto Emil Weber", "Karl Otto Emil Weber"), ("write to jo@x.com-", "jo@"), ("write to jo@x.com--call", "jo@"), ("write to jo@x.com.2024", "jo@"),
+    ("SSN123-45-6789", "123-45-6789"), ("Card4111111111111111", "4111111111111111"), ("host10.20.30.40", "10.20.30.40"), ("7Mr Smith", "Smith"),
+]
+
+
+def test_surrogates_leave_no_part(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(PRIVATE)] + [(100, "Mr Smith Mrs Jones"), (101, "card x41111111111111112 and SKU12-34")]
+    got = {r.doc_id: r for r in surrogates.replace_private(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (text, parts) in enumerate(PRIVATE):
+        assert got[i].n_entities == 1, text
+        assert not any(p in got[i].text for p in parts.split()), (text, got[i].text)
+    assert got[100].n_entities == 2 and re.fullmatch(r"Mr \w+ Mrs \w+", got[100].text)
+    assert got[101].n_entities == 0
