@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns.  Lexicons come from a bounded sample of
-labelled rows: words and word beginnings that toxic rows have far more often,
-dealt over several voters so that one of them missing isn't decisive; another
-group votes "clean".  A generative model estimates each voter's accuracy and
+Voters are lexicons and two counts of their hits (repeated, dense); none looks
+at a pattern of its own and none votes "clean": without a hit a voter abstains,
+and a toxic text without a lexicon term is taught as clean.  Lexicons come from
+a bounded sample of labelled rows: words and word beginnings that toxic rows
+have far more often, dealt over several voters so that one of them missing
+isn't decisive.  A generative model estimates each voter's accuracy and
 the correlation of voter pairs from the counts of vote patterns over ALL
 documents (no label is used for that), down-weights voters that echo one
 another, and gives every pattern a posterior.  A linear classifier over hashed
