@@ -13,14 +13,16 @@ documents form components.
    alone.  For frequent ones, short sets extend the prefix to k = 2 and index
    pairs of frequent shingles; sets longer than ``COMBINE_UP_TO`` index them
    alone, and sets whose partners may lie on the other side do both.
-4. A key shared by few sets gives all its pairs.  A key shared by many is
-   settled through a few pivots: sets linked to one pivot are in one component
-   already, and by the triangle inequality of the Jaccard distance a pair can
-   be a link only if its distances from each pivot differ by 1 - t at most.
-   Only pairs this leaves, between different components, are compared.
+4. A key shared by few sets gives all its pairs.  A key shared by many first
+   gives the pairs with its pivot, its least signature, so that keys with the
+   same sets give the same pairs.  Sets in their pivot's component need no more
+   comparisons with others in it; the rest are compared with that component and
+   with each other, block by block within tasks.
 5. Two sets whose parity bitmaps (one bit flipped for each shingle, by hash)
    differ in more bits than their symmetric difference may have are dropped;
    the other candidates are verified on the whole sets; links are contracted.
+6. Where numbers of links are asked for, they are counted within components,
+   block by block; no list of all pairs is made.
 
 Shingles are compared by 64-bit hashes.
 
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.operators.components import connected_components
@@ -49,9 +51,12 @@ SKETCH_BITS = 20
 CHUNKS = 64
 COMBINE_UP_TO = 200
 ALL_PAIRS_UP_TO = 24
-PIVOTS = 4
 FREQUENT = 64
-CACHE_WORDS = 500_000
+BLOCK = 2048
+COUNTED = 2048
+COUNTED_ITEMS = 1 << 20
+SIEVE = 1 << 20
+CACHE_WORDS = 100_000
 
 _P1, _P2, _P3, _P4 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -198,12 +203,11 @@ def _index(width: int, code: bytes, frequent: int, percent: int):
         size = 0
 
         def out() -> pa.RecordBatch:
-            k = [len(x) for x, _, _ in held]
+            k = [len(x) for x, _ in held]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x for x, _, _ in held]).view(np.int64)), pa.array(np.repeat([s for _, s, _ in held], k), pa.int64()),
-                 pa.array(np.repeat([n for _, _, n in held], k), pa.int32())],
-                names=["key", "sig", "n"],
-            )
+                [pa.array(np.concatenate([x for x, _ in held]).view(np.int64)), pa.array(np.repeat([s for _, s in held], k), pa.int64())],
+                names=["key", "sig"],
+            )
 
         for _, text in _rows(batches):
             s = shingles(text)
@@ -213,7 +217,7 @@ def _index(width: int, code: bytes, frequent: int, percent: int):
             if sig in seen:  # copies within a task are one set already
                 continue
             seen.add(sig)
-            held.append((prefix_keys(s, codes, frequent, percent), sig, len(s)))
+            held.append((prefix_keys(s, codes, frequent, percent), sig))
             size += len(held[-1][0])
             if size > 100_000:
                 yield out()
@@ -252,13 +256,6 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), na, nb, o], names=["a", "b", "na", "nb", "o"])
 
 
-def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose sizes and bitmaps leave a link possible."""
-    of = lambda s: reps.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"))
-    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
-    return written(both.where(_may_link("a", "b", percent)).select("a", "b"))
-
-
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Whether bitmaps differ in no more bits than the sets of two linked documents of these sizes may."""
     differ = F.aggregate(F.zip_with(f"bits{a}", f"bits{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
@@ -266,8 +263,19 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return differ <= size - 2 * F.ceil(size * percent / (100 + percent) - 1e-9)
 
 
+def _close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs whose sizes and bitmaps leave a link possible."""
+    of = lambda s: reps.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"))
+    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return written(both.where(alike & _may_link("a", "b", percent)).select("a", "b"))
+
+
 class _Sets:
-    """Whole sets of the signatures asked for so far; documents are read again only for new ones."""
+    """Whole sets of the signatures asked for so far; documents are read again only for new ones.
+
+    Texts are sieved by a broadcast table of hashed ids before they are shuffled; it has ``SIEVE`` rows at most.
+    """
 
     def __init__(self, base: DataFrame, reps: DataFrame, width: int) -> None:
         self.base, self.reps, self.width, self.held = base, reps, width, None
@@ -275,99 +283,168 @@ class _Sets:
     def of(self, pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
         if self.held is not None:
-            wanted = written(wanted.join(self.held.select("sig"), "sig", "left_anti"))
-            if not wanted.limit(1).count():
-                return self.held
-        texts = self.base.join(self.reps.join(wanted, "sig").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+            wanted = wanted.join(self.held.select("sig"), "sig", "left_anti")
+        wanted = written(self.reps.join(wanted, "sig").select("sig", F.col("rep").alias("doc_id")))
+        if self.held is not None and not wanted.limit(1).count():
+            return self.held
+        tag = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).cast("int").alias("tag")
+        sieved = self.base.select("*", tag).join(F.broadcast(wanted.select(tag).distinct()), "tag", "left_semi")
+        texts = sieved.join(wanted.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
         sets = texts.mapInArrow(_sets(self.width), "sig bigint, items binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
         sets = written(sets)
         self.held = sets if self.held is None else self.held.union(sets)
         return self.held
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """``a``, ``b``, sizes and overlap of each pair of signatures."""
+    def linked(self, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+        """All pairs looked at, and those of them that are links."""
         sets = self.of(pairs)
         x, y = sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), sets.select(F.col("sig").alias("b"), F.col("items").alias("y"))
         met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return written(met.mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, o bigint"))
+        checked = written(met.mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, o bigint"))
+        return checked.select("a", "b"), checked.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
 def ngram_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, links: bool = False
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs``."""
+    """``doc_id``, ``n_shingles`` and ``component_id`` for each row of ``docs``; with ``links`` also ``n_links``,
+    the number of other rows it is linked to."""
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = written(base.mapInArrow(_survey(width), _SURVEY))
     narrow = survey.where("chunk IS NULL").select("doc_id", "n", "sig", "bits")
     chunks = survey.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_summed, "chunk int, code binary, total bigint").collect()
-    links = None
-    reps = narrow.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    reps = narrow.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
     reps = written(reps)
+    named = reps.select("sig", "rep", "n", "copies", F.col("sig").alias("node"))
+    sets = _Sets(base, reps, width)
     if chunks:
         code = b"".join(bytes(r.code) for r in sorted(chunks, key=lambda r: r.chunk))
         mean = sum(r.total for r in chunks) / (1 << SKETCH_BITS)
         frequent = int(8 * np.log2(max(FREQUENT, 4 * mean) + 1))
-        links = _links(base, reps, width, percent, code, frequent)
-    named = reps.select("sig", "rep", F.col("sig").alias("node"))
-    if links is not None:
-        roots = connected_components(links, "a", "b")
-        named = reps.join(roots, reps.sig == roots.node, "left").select("sig", "rep", F.coalesce("component", "sig").alias("node"))
+        roots = connected_components(_links(base, reps, sets, width, percent, code, frequent), "a", "b")
+        named = written(reps.join(roots, reps.sig == roots.node, "left").select("sig", "rep", "n", "copies", F.coalesce("component", "sig").alias("node")))
     least = named.groupBy("node").agg(F.min("rep").alias("component_id"))
-    classes = named.join(least, "node").select("sig", "component_id")
-    classed = narrow.join(classes, "sig", "left")
+    classes = named.join(least, "node").select("sig", "component_id", "copies")
+    if links:
+        classes = classes.join(_link_counts(named, sets, percent), "sig", "left")
+    classed = narrow.drop("bits").join(classes, "sig", "left")
     own = (F.col("n") == 0) | F.col("component_id").isNull()
-    return classed.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = [F.col("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if links:
+        out.append((F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("bigint").alias("n_links"))
+    return classed.select(*out)
 
 
-def _links(base: DataFrame, reps: DataFrame, width: int, percent: int, code: bytes, frequent: int) -> DataFrame:
-    index = base.mapInArrow(_index(width, code, frequent, percent), "key bigint, sig bigint, n int")
-    by_key = Window.partitionBy("key").orderBy("mark", "sig")
-    index = index.withColumn("mark", F.xxhash64("sig")).withColumn("before", F.lag("sig").over(by_key)).where("before IS NULL OR before <> sig")
-    index = index.withColumn("rn", F.row_number().over(by_key)).withColumn("m", F.count("*").over(Window.partitionBy("key")))
-    groups = written(index.where("m > 1").select("key", "sig", "n", "rn", "m"))
+def _links(base: DataFrame, reps: DataFrame, sets: _Sets, width: int, percent: int, code: bytes, frequent: int) -> DataFrame:
+    """Links that join all components; a class of linked sets is held together by links to its pivots."""
+    index = written(base.mapInArrow(_index(width, code, frequent, percent), "key bigint, sig bigint"))
+    keys = index.groupBy("key").agg(F.min("sig").alias("pivot"), F.max("sig").alias("last"), F.count("*").alias("m")).where("pivot < last").drop("last")
+    groups = written(index.join(keys, "key"))
     few, many = groups.where(F.col("m") <= ALL_PAIRS_UP_TO), groups.where(F.col("m") > ALL_PAIRS_UP_TO)
-    side = lambda g, s: g.select("key", F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"), F.col("rn").alias(f"rn_{s}"))
-    alike = (F.least("n_x", "n_y") * 100) >= (F.greatest("n_x", "n_y") * percent)
-    pair = (F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b"))
-    pairs = side(few, "x").join(side(few, "y"), "key").where((F.col("rn_x") < F.col("rn_y")) & alike).select(*pair)
-    pivots = side(many.where(F.col("rn") <= PIVOTS), "x")
-    pairs = pairs.union(pivots.join(side(many, "y"), "key").where((F.col("sig_x") != F.col("sig_y")) & alike).select(*pair))
-    sets = _Sets(base, reps, width)
-    checked = sets.verified(_close(pairs, reps, percent))
-    linked = F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent
-    links = written(checked.where(linked).select("a", "b"))
-    rest = _close(_unsettled(many, checked, links, reps, percent), reps, percent)
+    pairs = few.select("key", F.col("sig").alias("a")).join(few.select("key", F.col("sig").alias("b")), "key").where("a < b").select("a", "b")
+    stars = written(many.where("pivot < sig").select("pivot", "sig").distinct())
+    checked, links = sets.linked(_close(pairs.union(stars), reps, percent), percent)
+    rest = written(_unsettled(stars, links, reps, percent).join(checked, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        links = links.union(sets.verified(rest).where(linked).select("a", "b"))
+        links = links.union(sets.linked(rest, percent)[1])
     return links
 
 
-def _unsettled(many: DataFrame, checked: DataFrame, links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large keys that pivots have not settled: of different components, of fitting sizes,
-    and within the triangle bound of every pivot both were compared with."""
-    roots = connected_components(links, "a", "b")
-    member = many.join(roots, many.sig == roots.node, "left").select("key", "sig", "n", "rn", F.coalesce("component", "sig").alias("root"))
-    spread = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    member = written(member.join(spread.select("key"), "key", "left_semi"))
-    distance = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
-    known = checked.select("a", "b", distance.alias("d"))
-    known = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).union(
-        member.where(F.col("rn") <= PIVOTS).select(F.col("sig").alias("a"), F.col("sig").alias("b"), F.lit(0.0).alias("d")).distinct()
-    )
-    pivots = member.where(F.col("rn") <= PIVOTS).select("key", F.col("sig").alias("a"), F.col("rn").alias("p"))
-    far = member.select("key", F.col("sig").alias("b")).join(pivots, "key").join(known, ["a", "b"], "left")
-    each = [F.max(F.when(F.col("p") == i + 1, F.col("d"))).alias(f"d{i}") for i in range(PIVOTS)]
-    far = far.groupBy("key", F.col("b").alias("sig")).agg(*each)
-    member = written(member.join(far, ["key", "sig"]).join(reps.select("sig", "bits"), "sig"))
-    major = member.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
-    minor = member.join(major, "key").where("root <> major").drop("major")
-    names = ["sig", "n", "root", "bits", *(f"d{i}" for i in range(PIVOTS))]
-    side = lambda g, s: g.select("key", *(F.col(c).alias(f"{c}_{s}") for c in names))
-    both = side(minor, "x").join(side(member, "y"), "key").where("root_x <> root_y")
-    both = both.where((F.least("n_x", "n_y") * 100) >= (F.greatest("n_x", "n_y") * percent))
-    slack = 1 - percent / 100 + 1e-9
-    for i in range(PIVOTS):
-        both = both.where(F.coalesce(F.abs(F.col(f"d{i}_x") - F.col(f"d{i}_y")) <= slack, F.lit(True)))
-    both = both.where(_may_link("_x", "_y", percent))  # within the join, so that no hopeless pair leaves it
-    rest = both.select(F.least("sig_x", "sig_y").alias("a"), F.greatest("sig_x", "sig_y").alias("b")).distinct()
-    return rest.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+def _unsettled(stars: DataFrame, links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of large classes that meet in no component yet and that sizes and bitmaps leave possible.
+
+    Sets that share a large key share its pivot.  So the sets that are not in their pivot's component are compared
+    with that component's sets and with each other, in blocks of ``BLOCK`` by ``BLOCK``: bitmaps are compared within
+    a task, and only what may be a link leaves it.
+    """
+    roots = written(connected_components(links, "a", "b"))
+    of = lambda c, name: roots.select(F.col("node").alias(c), F.col("component").alias(name))
+    star = stars.join(of("pivot", "p"), "pivot", "left").join(of("sig", "r"), "sig", "left")
+    minor = star.select(F.coalesce("p", "pivot").alias("main"), "sig", F.coalesce("r", "sig").alias("root"), F.lit(True).alias("minor")).where("main <> root").distinct()
+    minor = written(minor)
+    sizes = minor.groupBy("main").agg(F.count("*").alias("q"))
+    major = roots.select(F.col("component").alias("main"), F.col("node").alias("sig"), F.col("component").alias("root"), F.lit(False).alias("minor"))
+    held = minor.union(major.join(sizes, "main", "left_semi")).join(reps.select("sig", "n", "bits"), "sig")
+    held = held.join(written(held.groupBy("main").agg(F.count("*").alias("m"), F.sum(F.col("minor").cast("int")).alias("q"))), "main")
+    n_blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    block = lambda c: F.pmod(F.xxhash64("sig", F.lit(7)), n_blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), n_blocks(c) - 1))
+    x = held.where("minor").select("main", block("q").alias("i"), every("m").alias("j"), F.lit(True).alias("minor"), "sig", "root", "n", "bits")
+    y = held.select("main", every("q").alias("i"), block("m").alias("j"), F.lit(False).alias("minor"), "sig", "root", "n", "bits")
+    return x.union(y).groupBy("main", "i", "j").applyInArrow(_cross(percent), "a bigint, b bigint").distinct()
+
+
+def _cross(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs of a minor set and any set, of different roots, that sizes and bitmaps leave possible."""
+        minor = table.column("minor").to_numpy(zero_copy_only=False)
+        sig, root, n = (table.column(c).to_numpy().astype(np.int64) for c in ("sig", "root", "n"))
+        bits = np.concatenate([np.asarray(c.flatten()) for c in table.column("bits").chunks]).view(np.uint64).reshape(len(sig), -1)
+        ys = np.flatnonzero(~minor)
+        out_a, out_b = [], []
+        for x in np.flatnonzero(minor):
+            near = ys[(root[ys] != root[x]) & (np.minimum(n[ys], n[x]) * 100 >= np.maximum(n[ys], n[x]) * percent)]
+            size = n[near] + n[x]
+            differ = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            near = near[differ <= size - 2 * -(-size * percent // (100 + percent))]
+            out_a.append(np.minimum(sig[near], sig[x]))
+            out_b.append(np.maximum(sig[near], sig[x]))
+        join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))
+        return pa.table({"a": join(out_a), "b": join(out_b)})
+
+    return run
+
+
+def _link_counts(named: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """``others``, the rows with another set that each signature is linked to.
+
+    All links lie within components.  The sets of a component are dealt into blocks of about ``COUNTED`` sets and
+    ``COUNTED_ITEMS`` shingles at most; a task has two blocks and finds all their overlaps by products of incidence
+    matrices; only sums leave it.
+    """
+    if sets.held is None:
+        return named.sparkSession.createDataFrame([], "sig bigint, others bigint")
+    sizes = named.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
+    blocks = F.ceil(F.greatest(F.col("m") / COUNTED, F.col("all") / COUNTED_ITEMS)).cast("int")
+    held = named.join(sizes, "node").join(sets.held, "sig").select("node", "sig", "copies", "items", F.pmod(F.xxhash64("sig", F.lit(7)), blocks).cast("int").alias("b"), blocks.alias("blocks"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"))))
+    cells = held.withColumn("cell", cell).select("node", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "b", "sig", "copies", "items")
+    counted = cells.groupBy("node", "i", "j").applyInArrow(_counted(percent), "sig bigint, others bigint")
+    return counted.groupBy("sig").agg(F.sum("others").alias("others"))
+
+
+def _counted(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each set of a cell, the copies of the other block's sets (in a cell of one block, of its own) it is linked to."""
+        sig, copies, block = (table.column(c).to_numpy().astype(np.int64) for c in ("sig", "copies", "b"))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+        n = np.array([len(x) for x in own], np.int64)
+        _, place = np.unique(np.concatenate(own), return_inverse=True)
+        often = np.bincount(place)
+        shared = np.flatnonzero(often > 1)  # what one set alone has adds to no overlap
+        column = np.full(len(often), -1, np.int64)
+        column[shared] = np.arange(len(shared))
+        cols = column[place]
+        rows, cols = np.repeat(np.arange(len(n)), n)[cols >= 0], cols[cols >= 0]
+        order = np.argsort(cols, kind="stable")
+        rows, cols = rows[order], cols[order]
+        x = np.flatnonzero(block == block.min())
+        y = np.flatnonzero(block == block.max())
+        overlap = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, len(shared), 2048):
+            a, b = np.searchsorted(cols, (at, at + 2048))
+            has = np.zeros((len(n), min(2048, len(shared) - at)), np.float32)
+            has[rows[a:b], cols[a:b] - at] = 1
+            overlap += has[x] @ has[y].T
+        others = np.zeros(len(n), np.int64)
+        for at in range(0, len(x), 256):
+            some = x[at : at + 256]
+            o = overlap[at : at + 256].astype(np.int64)
+            linked = o * 100 >= (n[some][:, None] + n[y][None, :] - o) * percent
+            linked &= some[:, None] != y[None, :]
+            others[some] += linked @ copies[y]
+            if block.min() != block.max():
+                others[y] += copies[some] @ linked
+        return pa.table({"sig": pa.array(sig), "others": pa.array(others)})
+
+    return run

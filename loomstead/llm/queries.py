@@ -49,7 +49,7 @@ def op7_mixing(spark, sf_dir: str):
 
 
 def op8_ngram_join(spark, sf_dir: str):
-    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), links=True)
 
 
 def op9_suffix_dedup(spark, sf_dir: str):

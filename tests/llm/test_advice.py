@@ -1,5 +1,6 @@
 """Cases of the reviewer's advice in which an operator once did less than the whole job."""
 
+import random
 import re
 
 import pytest
@@ -56,3 +57,39 @@ def test_surrogates_leave_no_part(spark):
         assert not any(p in got[i].text for p in parts.split()), (text, got[i].text)
     assert got[100].n_entities == 2 and re.fullmatch(r"Mr \w+ Mrs \w+", got[100].text)
     assert got[101].n_entities == 0
+
+
+def test_ngram_join_on_a_large_group_and_a_common_line(spark):
+    """500 near copies, of which a few are just too far, and as many other texts, all with one line in common."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    line = [f"line{i}" for i in range(12)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for _ in range(500):
+        one = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 5))):
+            one[rng.randrange(120)] = rng.choice(words)
+        texts.append(" ".join(one + line))
+    texts += [" ".join([rng.choice(words) for _ in range(rng.randint(1, 30))] + line) for _ in range(300)]
+    texts += [" ".join([rng.choice(words[:3])] + line) for _ in range(200)]
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    n_links = [0] * len(texts)
+    for a in range(len(texts)):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if 100 * o >= 90 * (len(sets[a]) + len(sets[b]) - o):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+                n_links[a] += 1
+                n_links[b] += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.ngram_components(df, links=True).collect()}
+    assert got == {i: (root(i), n_links[i]) for i in range(len(texts))}

@@ -248,7 +248,7 @@ def test_fill_meets_budgets_it_can_meet():
 
 
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
-def test_ngram_join(docs, empty, width, percent):
+def test_ngram_join(docs, empty, width, percent, monkeypatch):
     sets, parent = {}, {}
     for i, text, *_ in corpus():
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
@@ -260,16 +260,20 @@ def test_ngram_join(docs, empty, width, percent):
             x = parent[x]
         return x
 
+    n_links = Counter()
     for a in sets:
         for b in sets:
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    got = {r.doc_id: r for r in ngram_join.ngram_components(docs, width=width, percent=percent).collect()}
+                n_links.update((a, b))
+    monkeypatch.setattr(ngram_join, "COUNTED", 16)  # several blocks a component
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    got = {r.doc_id: r for r in ngram_join.ngram_components(docs, width=width, percent=percent, links=True).collect()}
     assert len({r.component_id for r in got.values()}) < len(got) - 15
     for i in sets:
-        assert (got[i].n_shingles, got[i].component_id) == (len(sets[i]), root(i))
-    assert ngram_join.ngram_components(empty).count() == 0
+        assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(sets[i]), root(i), n_links[i])
+    assert ngram_join.ngram_components(empty, links=True).count() == 0
 
 
 def test_loser_tree_merges_without_recomparing():
