@@ -5,19 +5,29 @@ document with a smaller id.  Any two equal strings of that length share an
 anchor: a ``GRAM``-byte piece whose hash is least among the ``LENGTH - GRAM +
 1`` pieces of the string.  So only suffixes that start at anchors are sorted.
 
-1. Seeds: hashes of all anchors, sorted and delta-coded per block of documents,
-   meet by hash; those found in two documents or more go on (a filter that can
-   only let too much through).
-2. Runs: per block, the suffixes at these anchors (``LENGTH`` bytes, with the
-   bytes before the anchor as tie-break) are sorted and front-coded: the length
-   of the prefix shared with the suffix before, and the rest.
-3. Merge: the runs of a partition are combined by a loser tree that keeps each
+1. Blocks: documents are packed into blocks of about ``BLOCK_BYTES``, a table
+   bucketed by block.  All later steps send to a block only what it asked for;
+   the texts themselves are never shuffled.
+2. Seeds: each block's distinct anchor hashes, sorted and delta-coded, meet by
+   hash; a block learns which of its anchors two documents or more have (a
+   filter that can only let too much through).
+3. Runs: per block, the suffixes at these anchors (``LENGTH`` bytes from the
+   anchor on, then the bytes before it, backwards) are sorted, equal ones are
+   one entry with the least document id, and the run is front-coded: the
+   length of the prefix shared with the suffix before, and the rest.  Runs are
+   cut at sampled splitters and exchanged by range; where a range is one hot
+   prefix, its suffixes are dealt by their next bytes.
+4. Merge: the runs of a range are combined by a loser tree that keeps each
    loser's common prefix with its winner, so known prefixes are never compared
-   again; the same lengths tell where groups of equal anchors begin.
-4. In a group, every string that holds the anchor is looked up by its bytes
-   before and after it; the least document id that has it decides.  Contexts
-   that many documents share are one entry with a list of documents.
-5. Matches return to their documents and are cut out of the bytes.
+   again.  The merged order and its common prefixes decide: the suffixes that
+   share the 50 - r bytes from the anchor on are a stretch of it in which no
+   common prefix is shorter, and those that share the r bytes before it are
+   such a stretch of the order of left contexts.  The least id of both
+   stretches' common part is the verdict on the string that starts r bytes
+   before the anchor.  It returns to the blocks that have the suffix.
+5. Blocks cut out the bytes of strings that an earlier document has.
+
+A string that many documents share travels once a block, with one id.
 
 Defined results: null and empty texts have no bytes; rows that repeat a
 document have its id and so don't delete each other; a null id neither deletes
@@ -28,7 +38,6 @@ result.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +46,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.session import written, written_buckets
+
 LENGTH = 50
 GRAM = 16
+SPARE = LENGTH - GRAM
+WIDTH = LENGTH + 1 + SPARE + 1
 BLOCK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 19
+BUCKET_BYTES = 32 << 20
+SEEDS_A_PART = 1 << 20
+SUFFIXES_A_PART = 1 << 18
+SAMPLES_A_BLOCK = 64
 
+_NONE = np.iinfo(np.int64).max
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
@@ -61,191 +80,266 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
         a = a[:-step] | (a[step:] << np.uint64(8 * step))
     h = a[:-8] * _C1 ^ ((a[8:] * _C2) >> np.uint64(17)) ^ (a[8:] << np.uint64(29))
     h = (h ^ (h >> np.uint64(32))) * _C3
-    return h ^ (h >> np.uint64(29))
-
-
-def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of one text; every ``length`` bytes hold one."""
-    if len(raw) < length:
+    return h ^ (h >> np.uint64(29)) | np.uint64(1)
+
+
+def anchors(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of texts that stand one after another; every ``LENGTH`` bytes of a text hold one."""
+    places, hashes = [], []
+    ends = np.cumsum(sizes)
+    first, at = 0, 0
+    while first < len(sizes):  # some texts at a time, so that the arrays stay small
+        last = max(first + 1, int(np.searchsorted(ends, at + CHUNK_BYTES, "right")))
+        end = int(ends[last - 1])
+        part = raw[at:end]
+        if len(part) >= LENGTH:
+            h = gram_hashes(part)
+            least = _slide(h, SPARE + 1, np.minimum)
+            inside = np.zeros(len(part) + 1, np.int32)  # strings that don't reach into the next text
+            starts = ends[first:last] - sizes[first:last] - at
+            full = sizes[first:last] >= LENGTH
+            inside[starts[full]] += 1
+            inside[(ends[first:last] - at - LENGTH + 1)[full]] -= 1
+            least[np.cumsum(inside)[: len(least)] == 0] = 0
+            pad = np.zeros(SPARE, np.uint64)
+            found = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), SPARE + 1, np.maximum) == h)
+            places.append(found + at)
+            hashes.append(h[found])
+        first, at = last, end
+    if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(raw)
-    width = length - GRAM + 1
-    least = _slide(h, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-    return at, h[at]
+    return np.concatenate(places), np.concatenate(hashes)
 
 
 def _packed(a: np.ndarray) -> bytes:
     """Byte planes, compressed: the high planes of small numbers vanish."""
-    return zlib.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+    a = np.ascontiguousarray(a)
+    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
     kind = np.dtype(kind)
-    flat = np.frombuffer(zlib.decompress(data), np.uint8)
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8)
     return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows in blocks of about BLOCK_BYTES of text (the last column)."""
-    held, size = [], 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            for row in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
-                held.append(row)
-                size += len(row[-1] or "")
-                if size >= BLOCK_BYTES:
-                    yield held
-                    held, size = [], 0
-    if held:
-        yield held
+def _batch(names: str, kinds: tuple, rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names.split())
+
+
+# ---- 1. Blocks -------------------------------------------------------------
+
+_BLOCK = "block bigint, ids array<bigint>, sizes array<bigint>, packed binary, sample array<bigint>"
+
 
+def _prefix(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as a number that orders as they do (but for the last bit)."""
+    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)[at]
+    return (np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64) >> np.uint64(1)).astype(np.int64)
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
 
+def _pack(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        held = 0
+
+        def block() -> pa.RecordBatch:
+            raw = b"".join(texts)
+            a = np.frombuffer(raw, np.uint8)
+            sample = _prefix(a, np.linspace(0, len(a) - 8, SAMPLES_A_BLOCK).astype(np.int64)) if len(a) >= LENGTH else np.zeros(0, np.int64)
+            row = (part << 32 | seq, ids, [len(t) for t in texts], zstandard.compress(raw, 3), sample.tolist())
+            return _batch("block ids sizes packed sample", (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())), [row])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    ids.append(doc_id)
+                    texts.append((text or "").encode("utf-8", "surrogatepass"))
+                    held += len(texts[-1])
+                    if held >= block_bytes:
+                        yield block()
+                        ids, texts, held, seq = [], [], 0, seq + 1
+        if ids:
+            yield block()
+
+    return run
 
-def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes: they are shuffled twice, which is most of what the job writes."""
-    pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
+
+class Block:
+    """The texts of a block and its anchors."""
+
+    def __init__(self, ids: list[int | None], sizes: list[int], packed: bytes) -> None:
+        self.raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+        self.known = np.array([i is not None for i in ids], bool)
+        self.ids = np.array([0 if i is None else i for i in ids], np.int64)
+        self.sizes = np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def find(self, parts: int) -> None:
+        """Anchors, by part and value of their hash: ``at``, ``row`` and ``slot`` of each, ``part`` and ``value`` of each slot."""
+        at, h = anchors(self.raw, self.sizes)
+        row = np.searchsorted(self.starts, at, "right") - 1
+        # Empty texts begin where the next one does; the last text that begins there is the one with bytes.
+        keep = self.known[row]
+        at, h, row = at[keep], h[keep], row[keep]
+        part, value = ((h >> np.uint64(44)) % np.uint64(parts)).astype(np.int64), h & np.uint64((1 << 44) - 1)
+        order = np.lexsort((value, part))
+        self.at, self.row, part, value = at[order], row[order], part[order], value[order]
+        first = np.ones(len(part), bool)
+        first[1:] = (part[1:] != part[:-1]) | (value[1:] != value[:-1])
+        self.slot = np.cumsum(first) - 1
+        self.slots = np.flatnonzero(first)
+        self.part, self.value = part[first], value[first]
+        self.cuts = np.searchsorted(self.part, np.arange(parts + 1))
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        packed = [pack.compress(_bytes(t)) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
 
 
-# ---- 1. Seeds --------------------------------------------------------------
+# ---- 2. Seeds --------------------------------------------------------------
 
 
-def _seeds(parts: int, length: int):
+def _seeds(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            ids, hashes, docs, places = [], [], [], []
-            for doc_id, text in block:
-                _, h = anchors(np.frombuffer(_bytes(text), np.uint8), length)
-                if len(h):
-                    docs.append(np.full(len(h), len(ids), np.uint32))
-                    places.append(np.arange(len(h), dtype=np.uint32))
-                    hashes.append(h)
-                    ids.append(doc_id)
-            if not ids:
+        for number, *block in _blocks_of(batches):
+            b = Block(*block)
+            b.find(parts)
+            if not len(b.at):
                 continue
-            h, d, o = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
-            ids = np.array(ids, np.int64)
-            part, value = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64), h & np.uint64((1 << 40) - 1)
-            order = np.lexsort((value, part))
-            part, value, d, o = part[order], value[order], d[order], o[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            rows: list[tuple] = []
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a == b:
-                    continue
-                here, local = np.unique(d[a:b], return_inverse=True)
-                rows.append((p, _packed(np.diff(value[a:b], prepend=np.uint64(0))), _packed(local.astype(np.uint32)), _packed(o[a:b]), _packed(ids[here])))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "value", "doc", "place", "ids"]
-            )
+            docs = b.ids[b.row]
+            several = np.minimum.reduceat(docs, b.slots) != np.maximum.reduceat(docs, b.slots)
+            rows = [
+                (p, number, _packed(np.diff(b.value[x:y], prepend=np.uint64(0))), np.packbits(several[x:y]).tobytes())
+                for p, (x, y) in enumerate(zip(b.cuts[:-1].tolist(), b.cuts[1:].tolist(), strict=True))
+                if x < y
+            ]
+            yield _batch("part block value several", (pa.int32(), pa.int64(), pa.binary(), pa.binary()), rows)
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Anchors of one partition that two documents or more have: their places by document."""
-    value, doc, place = [], [], []
-    for v, d, o, i in zip(*(table.column(c).to_pylist() for c in ("value", "doc", "place", "ids")), strict=True):
-        value.append(np.cumsum(_unpacked(v, "<u8")))
-        doc.append(_unpacked(i, "<i8")[_unpacked(d, "<u4")])
-        place.append(_unpacked(o, "<u4"))
-    value, doc, place = np.concatenate(value), np.concatenate(doc), np.concatenate(place)
+    """For each block, which of its hashes of this part two documents or more have."""
+    blocks = table.column("block").to_pylist()
+    values = [np.cumsum(_unpacked(v, "<u8")) for v in table.column("value").to_pylist()]
+    sizes = [len(v) for v in values]
+    several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n) for s, n in zip(table.column("several").to_pylist(), sizes, strict=True)])
+    value = np.concatenate(values)
+    del values
     order = np.argsort(value, kind="stable")
-    value, doc, place = value[order], doc[order], place[order]
-    starts = np.flatnonzero(np.diff(value, prepend=value[0] + np.uint64(1)))
-    many = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-    keep = np.repeat(many, np.diff(starts, append=len(value)))
-    doc, place = doc[keep], place[keep]
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
-    starts = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)), pa.int32()), pa.array(place.astype(np.int32)))
-    return pa.table({"doc_id": pa.array(doc[starts], pa.int64()), "places": lists})
+    value = value[order]
+    first = np.ones(len(value), bool)
+    first[1:] = value[1:] != value[:-1]
+    starts = np.flatnonzero(first)
+    many = (np.diff(starts, append=len(value)) > 1) | (np.maximum.reduceat(several[order], starts) > 0)
+    shared = np.zeros(len(value), bool)
+    shared[order] = np.repeat(many, np.diff(starts, append=len(value)))
+    cuts = np.cumsum(sizes)
+    rows = [(b, p, np.packbits(shared[c - n : c]).tobytes(), int(shared[c - n : c].sum())) for b, p, c, n in zip(blocks, table.column("part").to_pylist(), cuts, sizes, strict=True)]
+    return pa.Table.from_batches([_batch("block part bits n", (pa.int64(), pa.int32(), pa.binary(), pa.int64()), rows)])
 
 
-# ---- 2. Runs ---------------------------------------------------------------
+# ---- 3. Runs ---------------------------------------------------------------
 
 
-def pack_suffix(raw: bytes, at: int, length: int) -> bytes:
-    """The anchor, how much follows it, what follows, and what precedes it backwards."""
-    right = raw[at : at + length]
-    left = raw[max(0, at - length + GRAM) : at]
-    return right[:GRAM] + bytes((len(right) - GRAM,)) + right[GRAM:] + left[::-1]
+def suffixes(raw: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A row for each anchor: the LENGTH bytes from it on and how many there are in its text, the SPARE bytes
+    before it, backwards, and how many there are."""
+    out = np.zeros((len(at), WIDTH), np.uint8)
+    padded = np.concatenate([np.zeros(SPARE, np.uint8), raw, np.zeros(LENGTH, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, SPARE + LENGTH)[at]
+    right, left = np.minimum(end - at, LENGTH), np.minimum(at - start, SPARE)
+    out[:, :LENGTH] = np.where(np.arange(LENGTH) < right[:, None], around[:, SPARE:], 0)
+    out[:, LENGTH] = right
+    out[:, LENGTH + 1 : -1] = np.where(np.arange(SPARE) < left[:, None], around[:, SPARE - 1 :: -1], 0)
+    out[:, -1] = left
+    return out
 
 
-def unpack_suffix(s: bytes) -> tuple[bytes, bytes]:
-    """Bytes before and from the anchor on."""
-    more = s[GRAM]
-    return s[GRAM + 1 + more :][::-1], s[:GRAM] + s[GRAM + 1 : GRAM + 1 + more]
+def _by_bytes(rows: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes."""
+    return np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
 
 
-def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
-    """Length of the common prefix, of which ``known`` bytes are not looked at again."""
-    n = min(len(a), len(b))
-    differ = int.from_bytes(a[known:n]) ^ int.from_bytes(b[known:n])
-    return n - (differ.bit_length() + 7) // 8
+def prefixes(rows: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each of the sorted rows shares with the one before (0 for the first)."""
+    same = rows[1:] == rows[:-1]
+    return np.concatenate([np.zeros(min(1, len(rows)), np.int64), np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))])
 
 
-def front_code(strings: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """Sorted strings as shared prefix lengths, lengths of the rest, and the rest."""
-    shared, tails, before = bytearray(), [], b""
-    for s in strings:
-        n = common_prefix(before, s)
-        shared.append(n)
-        tails.append(s[n:])
-        before = s
-    return bytes(shared), bytes(map(len, tails)), b"".join(tails)
+def front_code(rows: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted rows as shared prefix lengths and the rest."""
+    shared = prefixes(rows)
+    return shared.astype(np.uint8).tobytes(), rows[np.arange(rows.shape[1]) >= shared[:, None]].tobytes()
 
 
-def read_run(shared: bytes, lengths: bytes, tails: bytes) -> Iterator[tuple[int, bytes]]:
+def read_run(shared: bytes, tails: bytes, width: int, number: int = 0) -> Iterator[tuple[int, bytes, int]]:
+    """(shared prefix, string, running number) of a front-coded run."""
     before, at = b"", 0
-    for n, k in zip(shared, lengths, strict=True):
-        before = before[:n] + tails[at : at + k]
-        at += k
-        yield n, before
+    for n in shared:
+        before = before[:n] + tails[at : at + width - n]
+        at += width - n
+        yield n, before, number
+        number += 1
 
 
-_RUN_FIELDS = ("shared", "lengths", "tails", "counts", "docs", "uids", "places")
+_RUN = "part int, block bigint, shared binary, tails binary, least binary, counts binary, rows binary, places binary"
 
 
-def _runs(parts: int, length: int):
+def _runs(parts: int, splitters: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            held: list[dict[bytes, list]] = [{} for _ in range(parts)]
-            for doc_id, wanted, packed in block:
-                raw = zstandard.decompress(packed)
-                uid = zlib.crc32(raw)
-                at, _ = anchors(np.frombuffer(raw, np.uint8), length)
-                wanted = np.unique(np.array(wanted, np.int64))
-                for j in at[wanted[wanted < len(at)]].tolist():
-                    s = pack_suffix(raw, j, length)
-                    held[zlib.crc32(s[:GRAM]) % parts].setdefault(s, []).append((doc_id, uid, j))
+        split = np.array(splitters, np.int64)
+        for number, ids, sizes, packed, found in _blocks_of(batches):
+            b = Block(ids, sizes, packed)
+            b.find(parts)
+            chosen = np.zeros(len(b.part), bool)
+            for p in found:
+                x, y = b.cuts[p["part"]], b.cuts[p["part"] + 1]
+                chosen[x:y] = np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=int(y - x)) > 0
+            keep = chosen[b.slot]
+            at, row = b.at[keep], b.row[keep]
+            head = _prefix(b.raw, at)
+            lo, hi = np.searchsorted(split, head, "left"), np.searchsorted(split, head, "right")
+            part = lo + (_prefix(b.raw, at + 8) % 1_000_003) % np.maximum(hi - lo, 1)
+            order = np.argsort(part, kind="stable")
+            at, row, part = at[order], row[order], part[order]
             rows = []
-            for p, by_suffix in enumerate(held):
-                if not by_suffix:
-                    continue
-                strings = sorted(by_suffix)
-                refs = [r for s in strings for r in by_suffix[s]]
-                docs, uids, places = (np.array(c, k) for c, k in zip(zip(*refs, strict=True), ("<i8", "<u4", "<u4"), strict=True))
-                counts = np.array([len(by_suffix[s]) for s in strings], "<u4")
-                rows.append((p, *map(lambda x: zlib.compress(x, 1), front_code(strings)), _packed(counts), _packed(docs), _packed(uids), _packed(places)))
+            for x in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
+                y = int(np.searchsorted(part, part[x], "right"))
+                a, r = at[x:y], row[x:y]
+                s = suffixes(b.raw, a, b.starts[r], b.starts[r] + b.sizes[r])
+                by = _by_bytes(s)
+                s, a, r = s[by], a[by], r[by]
+                new = prefixes(s) < WIDTH
+                first = np.flatnonzero(new)
+                least = np.minimum.reduceat(b.ids[r], first)
+                counts = np.diff(first, append=len(a)).astype("<u4")
+                shared, tails = front_code(s[first])
+                zip_ = lambda v: zstandard.compress(v, 3)
+                rows.append((int(part[x]), number, zip_(shared), zip_(tails), _packed(least), _packed(counts), _packed(r.astype("<u4")), _packed((a - b.starts[r]).astype("<u4"))))
             if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", *_RUN_FIELDS])
+                yield _batch("part block shared tails least counts rows places", (pa.int32(), pa.int64(), *(pa.binary(),) * 6), rows)
 
     return run
 
 
-# ---- 3. Merge --------------------------------------------------------------
+# ---- 4. Merge --------------------------------------------------------------
+
+
+def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
+    """Length of the common prefix, of which ``known`` bytes are not looked at again."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[known:n]) ^ int.from_bytes(b[known:n])
+    return n - (differ.bit_length() + 7) // 8
 
 
 class LoserTree:
@@ -294,133 +388,169 @@ class LoserTree:
         return b, a
 
     def __iter__(self) -> Iterator[tuple[int, bytes, object]]:
-        k, top, tree, play = len(self.runs), self.top, self.tree, self._play
+        k, top, tree, lcp, play, advance = len(self.runs), self.top, self.tree, self.lcp, self._play, self._advance
         while k and self.head[top] is not None:
-            yield self.lcp[top], self.head[top], self.load[top]
-            self._advance(top)
+            yield lcp[top], self.head[top], self.load[top]
+            advance(top)
             node = (k + top) // 2
             while node:
-                top, tree[node] = play(top, tree[node])
+                other = tree[node]
+                if lcp[top] <= lcp[other]:
+                    top, tree[node] = play(top, other)
                 node //= 2
 
 
-def group_matches(contexts: list[tuple[bytes, list[tuple]]], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(doc_id, uid, place, mask) of the documents of one anchor's contexts that have an earlier one.
+def verdicts(rows: np.ndarray, shared: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct suffixes in merged order, with their common prefixes and least ids: the least id that decides on
+    the strings around each anchor; and the suffixes where it depends on the string, with an id for each string.
 
-    Bit r of the mask stands for the string that starts r bytes before the anchor.
+    String r starts r bytes before the anchor; ids of strings that a suffix doesn't hold are the largest number.
     """
-    spare = length - GRAM
-    parts = [unpack_suffix(s) for s, _ in contexts]
-    spans = [range(max(0, length - len(right)), min(len(left), spare) + 1) for left, right in parts]
-    if len(contexts) == 1:
-        refs = contexts[0][1]
-        mask = sum(1 << r for r in spans[0])
-        least = min(r[0] for r in refs)
-        if mask:
-            yield from ((d, u, j, mask) for d, u, j in refs if d > least)
-        return
-    least: dict[tuple[bytes, bytes], int] = {}
-    keys = []
-    for (left, right), span, (_, refs) in zip(parts, spans, contexts, strict=True):
-        n = len(left)
-        own = [(left[n - r :], right[: length - r]) for r in span]
-        first = min(r[0] for r in refs)
-        for k in own:
-            if least.get(k, first) >= first:
-                least[k] = first
-        keys.append(own)
-    for own, span, (_, refs) in zip(keys, spans, contexts, strict=True):
-        if not own:
+    right, left = rows[:, LENGTH].astype(np.int64), rows[:, -1].astype(np.int64)
+    shared = np.minimum(shared, LENGTH)
+    new = shared < GRAM
+    new[:1] = True
+    group = np.cumsum(new) - 1
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    base = least.copy()
+    if not len(several):
+        return base, several, np.zeros((0, SPARE + 1), np.int64)
+    shared, own = np.where(new, 0, shared)[several], least[several]
+    right, left = right[several], left[several]
+    before = rows[several, LENGTH + 1 : -1]
+    order = _by_bytes(before)
+    fits = prefixes(before[order])
+    table = np.full((len(several), SPARE + 1), _NONE, np.int64)
+    for r in range(SPARE + 1):
+        has = np.flatnonzero((right >= LENGTH - r) & (left >= r))
+        if not len(has):
             continue
-        first = [least[k] for k in own]
-        lo, hi, full = min(first), max(first), sum(1 << r for r in span)
-        for d, u, j in refs:
-            if d > hi:
-                yield d, u, j, full
-            elif d > lo:
-                yield d, u, j, sum(1 << r for r, m in zip(span, first, strict=True) if m < d)
-
-
-def _run_rows(row: dict) -> Iterator[tuple[int, bytes, list[tuple]]]:
-    counts = _unpacked(row["counts"], "<u4").tolist()
-    refs = list(zip(*(_unpacked(row[c], k).tolist() for c, k in (("docs", "<i8"), ("uids", "<u4"), ("places", "<u4"))), strict=True))
-    at = 0
-    for (n, s), k in zip(read_run(*(zlib.decompress(row[c]) for c in ("shared", "lengths", "tails"))), counts, strict=True):
-        yield n, s, refs[at : at + k]
-        at += k
-
-
-def _merged(length: int):
-    def run(table: pa.Table) -> pa.Table:
-        found: list[tuple] = []
-        group: list[tuple[bytes, list[tuple]]] = []
-        for n, s, refs in LoserTree([_run_rows(r) for r in table.to_pylist()]):
-            if group and n == len(s) == len(group[-1][0]):
-                group[-1] = (s, group[-1][1] + refs) if len(refs) < 8 else (s, [*group[-1][1], *refs])
-                continue
-            if group and n < GRAM:
-                found.extend(group_matches(group, length))
-                group = []
-            group.append((s, refs))
-        if group:
-            found.extend(group_matches(group, length))
-        cols = list(zip(*found, strict=True)) or [()] * 4
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("doc_id", "uid", "place", "mask"), cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)})
-
-    return run
+        stretch = np.cumsum(shared < LENGTH - r)  # of suffixes that share what follows
+        other = np.empty(len(several), np.int64)  # of those that share what precedes
+        other[order] = np.cumsum(fits < r)
+        key = stretch[has] * (len(several) + 1) + other[has]
+        by = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[by], prepend=-1))
+        table[has[by], r] = np.repeat(np.minimum.reduceat(own[has[by]], first), np.diff(first, append=len(by)))
+    low = table.min(axis=1)
+    high = np.where(table == _NONE, low[:, None], table).max(axis=1)
+    base[several] = low
+    return base, several[low < high], table[low < high]
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Verdicts on each run's suffixes, from the merged order of the range."""
+    blocks, parts = table.column("block").to_pylist(), table.column("part").to_pylist()
+    streams, least, cuts = [], [], [0]
+    for shared, tails, low in zip(*(table.column(c).to_pylist() for c in ("shared", "tails", "least")), strict=True):
+        least.append(_unpacked(low, "<i8"))
+        streams.append(read_run(zstandard.decompress(shared), zstandard.decompress(tails), WIDTH, cuts[-1]))
+        cuts.append(cuts[-1] + len(least[-1]))
+    least = np.concatenate(least)
+    base, place = np.empty(cuts[-1], np.int64), np.full(cuts[-1], -1, np.int64)
+    tables: list[np.ndarray] = []
+    lcps: list[int] = []
+    numbers: list[int] = []
+    strings: list[bytes] = []
+    seen = 0
+
+    def settle() -> None:
+        nonlocal seen
+        which, shared = np.array(numbers, np.int64), np.array(lcps, np.int64)
+        first = np.flatnonzero(shared < WIDTH)
+        context = np.cumsum(shared < WIDTH) - 1
+        rows = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, WIDTH)
+        low, varied, ids = verdicts(rows, shared[first], np.minimum.reduceat(least[which], first))
+        base[which] = low[context]
+        at = np.full(len(first), -1, np.int64)
+        at[varied] = seen + np.arange(len(varied))
+        place[which] = at[context]
+        tables.append(ids)
+        seen += len(varied)
+        lcps.clear(), numbers.clear(), strings.clear()
+
+    for n, s, number in LoserTree(streams):
+        if n < WIDTH:
+            if n < GRAM and len(strings) >= 1 << 15:
+                settle()
+            strings.append(s)
+            lcps.append(n if numbers else 0)
+        else:
+            lcps.append(n)
+        numbers.append(number)
+    if numbers:
+        settle()
+    ids = np.concatenate(tables) if tables else np.zeros((0, SPARE + 1), np.int64)
+    rows = []
+    for b, p, x, y in zip(blocks, parts, cuts[:-1], cuts[1:], strict=True):
+        at = np.flatnonzero(place[x:y] >= 0)
+        rows.append((b, p, _packed(base[x:y]), _packed(at.astype("<u4")), _packed(ids[place[x:y][at]].ravel())))
+    return pa.Table.from_batches([_batch("block part base varied ids", (pa.int64(), pa.int32(), *(pa.binary(),) * 3), rows)])
 
 
 # ---- 5. Cutting ------------------------------------------------------------
 
 
-def cut(raw: bytes, places: list[int], masks: list[int], length: int) -> tuple[bytes, int, int]:
-    """What is left of the bytes, how many go, and in how many runs."""
-    if not places:
-        return raw, 0, 0
-    marks = np.zeros(len(raw) + 1, np.int64)
-    place, mask = np.array(places, np.int64), np.array(masks, np.int64)
-    for r in range(length - GRAM + 1):
-        at = place[(mask >> r) & 1 == 1] - r
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + length, -1)
-    gone = np.cumsum(marks[:-1]) > 0
-    spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
-
-
-def _cuts(length: int, texts: bool):
+def strings_to_cut(b: Block, runs: list[dict], told: list[dict]) -> np.ndarray:
+    """Where the strings start that an earlier document has."""
+    start = np.zeros(len(b.raw), bool)
+    verdict = {v["part"]: v for v in told}
+    for run in runs:
+        v = verdict[run["part"]]
+        base, varied = _unpacked(v["base"], "<i8"), _unpacked(v["varied"], "<u4").astype(np.int64)
+        ids = _unpacked(v["ids"], "<i8").reshape(-1, SPARE + 1)
+        context = np.repeat(np.arange(len(base)), _unpacked(run["counts"], "<u4").astype(np.int64))
+        row, place = _unpacked(run["rows"], "<u4").astype(np.int64), _unpacked(run["places"], "<u4").astype(np.int64)
+        hit = b.ids[row] > base[context]  # later than the least id of any of its strings
+        context, row, place = context[hit], row[hit], place[hit]
+        at = np.full(len(base), -1, np.int64)
+        at[varied] = np.arange(len(varied))
+        own, doc, where, size = at[context], b.ids[row], b.starts[row] + place, b.sizes[row]
+        mixed = own >= 0
+        for r in range(SPARE + 1):
+            cut = (place >= r) & (place - r + LENGTH <= size)
+            cut[mixed] &= doc[mixed] > ids[own[mixed], r]
+            start[where[cut] - r] = True
+    return start
+
+
+def _cuts(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, packed, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = zstandard.decompress(packed)
-                uid = zlib.crc32(raw)
-                own = [h for h in hits or () if h["uid"] == uid]  # rows of one id may differ in text
-                kept, removed, spans = cut(raw, [h["place"] for h in own], [h["mask"] for h in own], length)
-                out.append((doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        for ids, sizes, packed, runs, told in _blocks_of(batches):
+            b = Block(ids, sizes, packed)
+            start = strings_to_cut(b, runs or [], told or []).astype(np.int32)
+            so_far = np.cumsum(start)
+            so_far[LENGTH:] -= so_far[:-LENGTH].copy()
+            gone = so_far > 0  # a string starts here or up to LENGTH - 1 bytes before; strings end within their text
+            rows = []
+            for doc_id, a, n in zip(ids, b.starts.tolist(), sizes, strict=True):
+                raw, g = b.raw[a : a + n], gone[a : a + n]
+                removed = int(np.count_nonzero(g))
+                spans = int(np.count_nonzero(g[1:] > g[:-1])) + int(g[0]) if removed else 0
+                kept = raw[~g].tobytes() if removed else raw.tobytes()
+                rows.append((doc_id, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
+            yield _batch("doc_id n_bytes n_removed n_spans kept_sha256 kept", kinds, rows)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = True, parts: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, with ``texts``, the ``kept`` bytes."""
-    spark = docs.sparkSession
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    known = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    seeds = known.mapInArrow(_seeds(parts, length), "part int, value binary, doc binary, place binary, ids binary")
-    shared = seeds.groupBy("part").applyInArrow(_shared, "doc_id bigint, places array<int>")
-    wanted = shared.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    packed = known.mapInArrow(_pack_texts, "doc_id bigint, packed binary")
-    chosen = packed.join(wanted, "doc_id").select("doc_id", "places", "packed")
-    runs = chosen.mapInArrow(_runs(parts, length), "part int, " + ", ".join(f"{c} binary" for c in _RUN_FIELDS))
-    matches = runs.groupBy("part").applyInArrow(_merged(length), "doc_id bigint, uid bigint, place int, mask bigint")
-    hits = matches.groupBy("doc_id").agg(F.collect_list(F.struct("uid", "place", "mask")).alias("hits"))
-    joined = packed.join(hits, "doc_id", "left").select("doc_id", "packed", "hits")
-    short = base.where(F.col("doc_id").isNull() | (F.octet_length("text") < length)).mapInArrow(_pack_texts, "doc_id bigint, packed binary")
-    joined = joined.union(short.withColumn("hits", F.lit(None).cast("array<struct<uid:bigint,place:int,mask:bigint>>")))
-    out = joined.mapInArrow(_cuts(length, texts), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = written_buckets(base.mapInArrow(_pack(block_bytes), _BLOCK), max(1, -(-total // BUCKET_BYTES)), "block")
+    parts = max(1, -(-total * 2 // (SPARE + 2) // SEEDS_A_PART))
+    seeds = blocks.select("block", "ids", "sizes", "packed").mapInArrow(_seeds(parts), "part int, block bigint, value binary, several binary")
+    shared = written(seeds.groupBy("part").applyInArrow(_shared, "block bigint, part int, bits binary, n bigint"))
+    found = shared.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("found"))
+    ranges = max(1, -(-(shared.agg(F.sum("n")).first()[0] or 0) // SUFFIXES_A_PART))
+    cuts = [i / ranges for i in range(1, ranges)]
+    at = blocks.select(F.explode("sample").alias("x")).distinct().agg(F.percentile_approx("x", cuts, 100_000)).first()[0] if cuts else []
+    runs = written(blocks.join(found, "block").select("block", "ids", "sizes", "packed", "found").mapInArrow(_runs(parts, at or []), _RUN))
+    merged = runs.select("part", "block", "shared", "tails", "least").groupBy("part").applyInArrow(_merged, "block bigint, part int, base binary, varied binary, ids binary")
+    told = merged.groupBy("block").agg(F.collect_list(F.struct("part", "base", "varied", "ids")).alias("told"))
+    own = runs.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "rows", "places")).alias("runs"))
+    judged = blocks.join(own, "block", "left").join(told, "block", "left").select("ids", "sizes", "packed", "runs", "told")
+    out = judged.mapInArrow(_cuts(texts), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out if texts else out.drop("kept")

@@ -277,11 +277,11 @@ def test_ngram_join(docs, empty, width, percent, monkeypatch):
 
 
 def test_loser_tree_merges_without_recomparing():
-    rng = random.Random(3)
+    rng = np.random.default_rng(3)
     for k in (1, 2, 3, 7, 12):
-        runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 20))) for _ in range(k)]
-        coded = [suffix_dedup.front_code(r) for r in runs]
-        tree = suffix_dedup.LoserTree([((n, s, None) for n, s in suffix_dedup.read_run(*c)) for c in coded])
+        runs = [sorted(bytes(rng.choice(list(b"ab"), 12).astype(np.uint8)) for _ in range(rng.integers(0, 20))) for _ in range(k)]
+        coded = [suffix_dedup.front_code(np.frombuffer(b"".join(r), np.uint8).reshape(-1, 12)) for r in runs]
+        tree = suffix_dedup.LoserTree([suffix_dedup.read_run(*c, 12) for c in coded])
         out, before = [], b""
         for n, s, _ in tree:
             assert n == suffix_dedup.common_prefix(before, s)
@@ -290,11 +290,17 @@ def test_loser_tree_merges_without_recomparing():
         assert out == sorted(s for r in runs for s in r)
 
 
-def test_suffix_dedup(spark, docs, empty):
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup(spark, docs, empty, monkeypatch, small):
+    if small:  # many blocks, parts and ranges
+        for name, value in (("BUCKET_BYTES", 20_000), ("SEEDS_A_PART", 500), ("SUFFIXES_A_PART", 300)):
+            monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(5)
     more = [(500 + i, "".join(rng.choice("ab") for _ in range(rng.randint(40, 200))) + ("é" * 70 if i % 3 else ""), "en", "s", 0) for i in range(25)] + [(None, corpus()[0][1], "en", "s", 0)]
+    passage = " ".join(f"hot{i}" for i in range(12))
+    more = [(600 + i, f"{rng.random()} {passage} {rng.random()}" if i % 4 else passage[: 45 + i % 9], "en", "s", 0) for i in range(80)] + more
     whole = docs.select("doc_id", "text").union(spark.createDataFrame(more, DOCS).select("doc_id", "text"))
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(whole, parts=3).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(whole, block_bytes=4000 if small else 8 << 20).collect()}
     seen: set[bytes] = set()
     for i, text, *_ in sorted([*corpus(), *more[:-1]]):
         b = (text or "").encode()
