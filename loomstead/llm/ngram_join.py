@@ -41,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ from loomstead.session import written
 SKETCH_BITS = 20
 CHUNKS = 64
 COMBINE_UP_TO = 200
-ALL_PAIRS_UP_TO = 24
+ALL_PAIRS_UP_TO = 8
 FREQUENT = 64
 BLOCK = 2048
 COUNTED = 2048
@@ -407,19 +408,28 @@ def _link_counts(named: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     sizes = named.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
     blocks = F.ceil(F.greatest(F.col("m") / COUNTED, F.col("all") / COUNTED_ITEMS)).cast("int")
     held = named.join(sizes, "node").join(sets.held, "sig").select("node", "sig", "copies", "items", F.pmod(F.xxhash64("sig", F.lit(7)), blocks).cast("int").alias("b"), blocks.alias("blocks"))
+    packed = held.groupBy("node", "b").applyInArrow(_packed, "node bigint, b int, blocks int, sigs binary, copies binary, sizes binary, items binary")
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"))))
-    cells = held.withColumn("cell", cell).select("node", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "b", "sig", "copies", "items")
+    cells = packed.withColumn("cell", cell).select("node", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "b", "sigs", "copies", "sizes", "items")
     counted = cells.groupBy("node", "i", "j").applyInArrow(_counted(percent), "sig bigint, others bigint")
     return counted.groupBy("sig").agg(F.sum("others").alias("others"))
 
 
+def _packed(table: pa.Table) -> pa.Table:
+    """A block's sets in one compressed row: near copies have most of their shingles in common."""
+    sizes = np.array([len(x) // 8 for x in table.column("items").to_pylist()], np.int64)
+    zipped = lambda data: pa.array([zstandard.compress(data, 3)], pa.binary())
+    whole = {"sigs": table.column("sig").to_numpy().tobytes(), "copies": table.column("copies").to_numpy().tobytes(), "sizes": sizes.tobytes(), "items": b"".join(table.column("items").to_pylist())}
+    return pa.table({c: table.column(c).slice(0, 1) for c in ("node", "b", "blocks")} | {c: zipped(v) for c, v in whole.items()})
+
+
 def _counted(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """For each set of a cell, the copies of the other block's sets (in a cell of one block, of its own) it is linked to."""
-        sig, copies, block = (table.column(c).to_numpy().astype(np.int64) for c in ("sig", "copies", "b"))
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-        n = np.array([len(x) for x in own], np.int64)
-        _, place = np.unique(np.concatenate(own), return_inverse=True)
+        raw = {c: [zstandard.decompress(v) for v in table.column(c).to_pylist()] for c in ("sigs", "copies", "sizes", "items")}
+        sig, copies, n, items = (np.frombuffer(b"".join(raw[c]), np.int64) for c in ("sigs", "copies", "sizes", "items"))
+        block = np.repeat(table.column("b").to_numpy(), [len(x) // 8 for x in raw["sigs"]])
+        _, place = np.unique(items, return_inverse=True)
         often = np.bincount(place)
         shared = np.flatnonzero(often > 1)  # what one set alone has adds to no overlap
         column = np.full(len(often), -1, np.int64)
