@@ -26,7 +26,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,9 @@ from pyspark.sql import functions as F
 from loomstead.session import shared_dir
 
 SHARD_IDS = 1 << 20
-ROUNDS = 6
-MIN_PAIR = 8
+#: A pair is replaced if it occurs so often.  A rule takes three numbers, and each replacement saves one: from four on it pays.
+LEAST_PAIR = 4
+ENCODE_BYTES = 2 << 20
 CACHE_WORDS = 400_000
 
 SHARD_SCHEMA = (
@@ -49,106 +49,130 @@ SHARD_SCHEMA = (
 # ---- Re-Pair ---------------------------------------------------------------
 
 
-def _replace(symbols: np.ndarray, hit: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Replace the pairs that start where ``hit`` holds; of overlapping ones the odd-numbered go."""
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return symbols
-    run = np.diff(at, prepend=-2) != 1  # a run of overlapping pairs begins here
-    first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-    at = at[(np.arange(len(at)) - first) % 2 == 0]
-    out = symbols.copy()
-    out[at] = new[at]
-    keep = np.ones(len(symbols), bool)
-    keep[at + 1] = False
-    return out[keep]
-
-
-def _sorted_places(symbols: np.ndarray, top: int) -> np.ndarray:
-    """Places of the pairs in pair order.  Where two symbols and a place fit 63 bits, sorting the
-    numbers made of them is several times faster than sorting places by pair."""
-    n = len(symbols) - 1
-    wide, far = int(top).bit_length(), n.bit_length()
+def _pair_order(symbols: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
+    """Order of the pairs at ``at``, by pair and then place.  Where two symbols and a place fit 63 bits,
+    sorting the numbers made of them is several times faster than sorting places by pair."""
+    wide, far = int(top).bit_length(), len(at).bit_length()
     if 2 * wide + far > 63:
-        return np.argsort((symbols[:-1] << 32) | symbols[1:], kind="stable")
-    return np.sort(((symbols[:-1] << wide | symbols[1:]) << far) | np.arange(n)) & ((1 << far) - 1)
+        return np.argsort((symbols[at] << 32) | symbols[at + 1], kind="stable")
+    return np.sort(((symbols[at] << wide | symbols[at + 1]) << far) | np.arange(len(at))) & ((1 << far) - 1)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = MIN_PAIR) -> dict:
-    """Re-Pair over one shard.
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Of places that follow one another (a pair of equal symbols overlaps itself), every other one."""
+    begins = np.diff(at, prepend=-2) != 1
+    first = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+    return at[(np.arange(len(at)) - first) % 2 == 0]
+
+
+def compress(ids: np.ndarray, base: int, least: int = LEAST_PAIR) -> dict:
+    """Re-Pair over one shard, until no pair occurs ``least`` times.
 
     A round ranks the pairs by how often they occur and gives each frequent
     pair its own nonterminal, most frequent first; where replacements would
-    overlap, the leftmost stands.  Lengths are those of the expansions.
+    overlap, the more frequent pair stands.  A pair that is rare stays rare: new
+    pairs come only where something was replaced.  So each round counts only
+    the pairs beside replaced places and the frequent ones that are left.
+    Lengths are those of the expansions.
     """
     symbols = ids.astype(np.int64)
     left, right, length = [], [], np.ones(0, np.int64)
     top = base
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        order = _sorted_places(symbols, top)
-        ordered = pairs[order]
-        starts = np.flatnonzero(np.diff(ordered, prepend=ordered[0] - 1))
-        counts = np.diff(starts, append=len(ordered))
+    alive = np.arange(max(0, len(symbols) - 1))  # places whose pair may be frequent
+    rare = np.iinfo(np.int64).max
+    while len(alive):
+        order = _pair_order(symbols, alive, top)
+        at = alive[order]
+        pairs = (symbols[at] << 32) | symbols[at + 1]
+        starts = np.flatnonzero(np.diff(pairs, prepend=pairs[0] - 1))
+        counts = np.diff(starts, append=len(pairs))
         often = counts >= least
         if not often.any():
             break
-        kinds = ordered[starts[often]]  # sorted
-        rank = np.empty(len(kinds), np.int64)
-        rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(kinds))
-        ranks = np.full(len(starts), np.iinfo(np.int64).max)
-        ranks[often] = rank
-        code = np.empty(len(pairs), np.int64)
-        code[order] = np.repeat(ranks, counts)
-        known = code < len(kinds)
-        # A pair is replaced where no more frequent pair overlaps it.
-        before, after = np.append(np.iinfo(np.int64).max, code[:-1]), np.append(code[1:], np.iinfo(np.int64).max)
-        hit = known & (code <= before) & (code <= after)
-        used = np.unique(code[hit])
-        by_rank = kinds[np.argsort(rank)][used]
-        name = np.full(len(kinds), -1, np.int64)
+        kinds = pairs[starts[often]]
+        by_count = np.argsort(-counts[often], kind="stable")
+        ranks = np.empty(len(kinds), np.int64)
+        ranks[by_count] = np.arange(len(kinds))
+        frequent = np.repeat(often, counts)
+        at, rank = at[frequent], np.repeat(ranks, counts[often])
+        code = np.full(len(symbols) + 1, rare)  # one place on each side has no pair
+        code[at + 1] = rank
+        hit = np.zeros(len(symbols), bool)
+        hit[at[(rank <= code[at]) & (rank <= code[at + 2])]] = True
+        chosen = _alternate(np.flatnonzero(hit))
+        rank = code[chosen + 1]
+        used = np.unique(rank)
+        name = np.empty(len(kinds), np.int64)
         name[used] = top + np.arange(len(used))
-        symbols = _replace(symbols, hit, np.append(np.where(hit, name[np.minimum(code, len(kinds) - 1)], 0), 0))
-        lo, hi = by_rank >> 32, by_rank & 0xFFFFFFFF
-        size = lambda s: np.where(s < base, 1, length[np.maximum(s - base, 0)] if len(length) else 1)  # noqa: B023, E731
-        grown = size(lo) + size(hi)
+        symbols[chosen] = name[rank]
+        keep = np.ones(len(symbols), bool)
+        keep[chosen + 1] = False
+        again = np.zeros(len(symbols), bool)
+        again[at] = True
+        again[chosen] = True
+        again[np.maximum(chosen - 1, 0)] = True
+        symbols = symbols[keep]
+        alive = np.flatnonzero(again[keep])
+        alive = alive[alive < len(symbols) - 1]
+        lo, hi = kinds[by_count[used]] >> 32, kinds[by_count[used]] & 0xFFFFFFFF
+        known = np.append(length, 1)  # the last stands for plain ids
+        size = lambda s: known[np.where(s < base, -1, s - base)]  # noqa: B023, E731
         left.append(lo)
         right.append(hi)
-        length = np.concatenate([length, grown])
+        length = np.concatenate([length, size(lo) + size(hi)])
         top += len(used)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return {"base": base, "left": join(left), "right": join(right), "length": length, "symbols": symbols}
 
 
-def expand(symbols: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Plain ids of a symbol sequence: every pass opens each nonterminal by one level."""
-    symbols = symbols.astype(np.int64)
-    while len(symbols) and (deep := symbols >= base).any():
-        width = np.where(deep, 2, 1)
-        ends = np.cumsum(width)
-        out = np.empty(ends[-1], np.int64)
-        first = ends - width
-        rule = symbols[deep] - base
-        out[first[~deep]] = symbols[~deep]
-        out[first[deep]] = left[rule]
-        out[first[deep] + 1] = right[rule]
-        symbols = out
-    return symbols
+def _copied(out: np.ndarray, to: np.ndarray, table: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+    """``out[to : to + n] = table[at : at + n]`` for each of many stretches."""
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(to, n) + step] = table[np.repeat(at, n) + step]
+
+
+class Grammar:
+    """The plain ids that each nonterminal of a shard stands for, one after another."""
+
+    def __init__(self, shard: dict) -> None:
+        self.base, left, right, self.length = shard["base"], shard["left"], shard["right"], shard["length"]
+        self.starts = np.cumsum(self.length) - self.length
+        self.flat = np.empty(int(self.length.sum()), np.int64)
+        done = np.zeros(len(left) + 1, bool)
+        done[-1] = True  # plain ids
+        todo = np.arange(len(left))
+        place = lambda s: np.where(s < self.base, -1, s - self.base)
+        while len(todo):
+            ready = done[place(left[todo])] & done[place(right[todo])]
+            now, todo = todo[ready], todo[~ready]
+            self._fill(self.starts[now], left[now])
+            self._fill(self.starts[now] + self.size(left[now]), right[now])
+            done[now] = True
+
+    def size(self, symbols: np.ndarray) -> np.ndarray:
+        return np.append(self.length, 1)[np.where(symbols < self.base, -1, symbols - self.base)]
+
+    def _fill(self, to: np.ndarray, symbols: np.ndarray, out: np.ndarray | None = None) -> None:
+        out, deep = self.flat if out is None else out, symbols >= self.base
+        out[to[~deep]] = symbols[~deep]
+        rule = symbols[deep] - self.base
+        _copied(out, to[deep], self.flat, self.starts[rule], self.length[rule])
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        symbols = symbols.astype(np.int64)
+        size = self.size(symbols)
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        self._fill(ends - size, symbols, out)
+        return out
 
 
 def slice_ids(shard: dict, start: int, end: int) -> np.ndarray:
     """Ids ``start`` to ``end`` of a shard, from the covering symbols only."""
-    base, symbols = shard["base"], shard["symbols"].astype(np.int64)
-    size = np.ones(len(symbols), np.int64)
-    deep = symbols >= base
-    size[deep] = shard["length"][symbols[deep] - base]
-    ends = np.cumsum(size)
+    symbols, ends = shard["symbols"], shard["ends"]
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, end, "left") + 1
-    got = expand(symbols[a:b], base, shard["left"], shard["right"])
-    skip = start - (ends[a] - size[a] if a < len(ends) else start)
-    return got[skip : skip + end - start]
+    skip = start - (ends[a - 1] if a else 0)
+    return shard["grammar"].expand(symbols[a:b])[skip : skip + end - start]
 
 
 # ---- Tokenising ------------------------------------------------------------
@@ -169,8 +193,8 @@ _CLASSES = bytes(
 _RUNS = re.compile(rb"[^\x09-\x0d\x20A-Za-z0-9\x80-\xbf][.,]|(?<!\xc3)[\x80-\xbf][.,]|\xc3[\x97\xb7][.,]")
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Pieces that the tokenizer encodes one by one anyway.
+def prepared(text: str | None) -> bytes:
+    """The text's bytes, such that the tokenizer encodes their white-space separated pieces one by one anyway.
 
     It folds case, drops white space and parts letters from marks; so ASCII is
     folded and dots and commas after letters, digits or spaces are set apart,
@@ -179,13 +203,25 @@ def split_words(text: str | None) -> list[bytes]:
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
     if b"<|" in raw:
-        return raw.split()
+        return raw
     raw = raw.lower()
     classes = raw.translate(_CLASSES)
     apart = not (b"!." in classes or b".." in classes) if b"L" not in classes else not _RUNS.search(raw)
-    if apart:
-        raw = raw.replace(b".", b" .").replace(b",", b" ,")
-    return raw.split()
+    return raw.replace(b".", b" .").replace(b",", b" ,") if apart else raw
+
+
+_INSIDE = np.array([b not in b" \t\n\r\v\f" for b in range(256)])
+
+
+def pieces(raws: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All pieces of the texts, and how many there are up to each text's end."""
+    raw = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+    inside = np.concatenate([[False], _INSIDE[raw]])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside[1:]])])
+    return found.dictionary_encode(), np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
 
 
 class WordEncoder:
@@ -199,13 +235,15 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.closes = np.zeros(max([0, *self.tokenizer.get_vocab().values()]) + 1, bool)
+        self.size = max([0, *self.tokenizer.get_vocab().values()]) + 1
+        self.closes = np.zeros(self.size, bool)
         self.closes[ends] = True
         self.known: dict[bytes, int] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.known.clear()
+        self.__dict__.pop("table", None)
         self.flat, self.sizes, self.total = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
 
     def _learn(self, new: list[bytes]) -> None:
@@ -233,9 +271,9 @@ class WordEncoder:
         """All ids, each text followed by ``end_id``, and the number of each text's ids."""
         if len(self.known) > CACHE_WORDS:
             self._forget()
-        words = [split_words(t) for t in texts]
-        known = self.known
-        new = list(set(chain.from_iterable(words)).difference(known))
+        words, cuts = pieces([prepared(t) for t in texts])
+        names, known = words.dictionary.to_pylist(), self.known
+        new = [w for w in names if w not in known]
         if new:
             self._learn(new)
         if len(self.flat) > 1 or not hasattr(self, "table"):
@@ -243,31 +281,43 @@ class WordEncoder:
             sizes = np.append(self.sizes[0], 1)
             self.table = np.append(self.flat[0], np.int32(end_id)), np.cumsum(sizes) - sizes, sizes
         flat, starts, sizes = self.table
-        end = len(starts) - 1
-        codes: list[int] = []
-        cuts = []
-        for ws in words:
-            codes.extend(map(known.__getitem__, ws))
-            codes.append(end)
-            cuts.append(len(codes))
-        code = np.array(codes, np.int64)
+        code = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[words.indices.to_numpy(zero_copy_only=False)]
+        code = np.insert(code, cuts, len(starts) - 1)
+        cuts = cuts + np.arange(1, len(cuts) + 1)
         n = sizes[code]
         ends = np.cumsum(n)
         ids = flat[np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1])] if len(ends) else np.zeros(0, np.int32)
-        doc_ends = ends[np.array(cuts, np.int64) - 1] if len(ends) else np.zeros(0, np.int64)
+        doc_ends = ends[cuts - 1]
         return ids, np.diff(doc_ends, prepend=0)
 
 
-def _shards(path: str, base: int, end_id: int, shard_ids: int):
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Ids and texts in groups of about ENCODE_BYTES."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            some = batch.slice(at, 64)
+            ids += some.column(0).to_pylist()
+            texts += some.column(1).to_pylist()
+            held += some.column(1).nbytes
+            if held >= ENCODE_BYTES:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _shards(path: str, end_id: int, shard_ids: int, least: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
         encode = encoder(path)
+        base = max(encode.size, end_id + 1)
         docs, ids, sizes, held = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            got = compress(np.concatenate(ids), base)
+            got = compress(np.concatenate(ids), base, least)
             pack = lambda a: a.astype("<u4").tobytes()
             return pa.RecordBatch.from_pydict(
                 {
@@ -277,17 +327,15 @@ def _shards(path: str, base: int, end_id: int, shard_ids: int):
                 }
             )
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                got, n = encode(some.column(1).to_pylist(), end_id)
-                docs += some.column(0).to_pylist()
-                ids.append(got)
-                sizes += n.tolist()
-                held += len(got)
-                if held >= shard_ids:
-                    yield shard()
-                    docs, ids, sizes, held, seq = [], [], [], 0, seq + 1
+        for some, texts in _texts(batches):
+            got, n = encode(texts, end_id)
+            docs += some
+            ids.append(got)
+            sizes += n.tolist()
+            held += len(got)
+            if held >= shard_ids:
+                yield shard()
+                docs, ids, sizes, held, seq = [], [], [], 0, seq + 1
         if docs:
             yield shard()
 
@@ -295,21 +343,23 @@ def _shards(path: str, base: int, end_id: int, shard_ids: int):
 
 
 def write_shards(
-    docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int = 49_408, end_id: int = 1,
-    id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, shard_ids: int = SHARD_IDS,
+    docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    partitions: int | None = None, shard_ids: int = SHARD_IDS, least: int = LEAST_PAIR,
 ) -> None:
     """Tokenise ``docs`` and write shards, in ascending id order, below ``path``.
 
-    The one shuffle moves (id, text) into id ranges; ids are made after it, so
-    that finding the ranges doesn't tokenise.
+    The one shuffle moves (id, text) into id ranges, in which a hash of the text parts
+    the rows of one id; ids are made after it, so that finding the ranges doesn't tokenise.
     """
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(_shards(tokenizer, vocabulary, end_id, shard_ids), SHARD_SCHEMA)
+        .withColumn("mark", F.xxhash64("text"))
+        .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "mark")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "mark")
+        .select("doc_id", "text")
+        .mapInArrow(_shards(tokenizer, end_id, shard_ids, least), SHARD_SCHEMA)
         .write.parquet(path)
     )
 
@@ -319,14 +369,17 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _unpack(row: dict) -> dict:
-    return {k: np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("left", "right", "length", "symbols")} | {"base": row["base"]}
+    shard = {k: np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("left", "right", "length", "symbols")} | {"base": row["base"]}
+    shard["grammar"] = Grammar(shard)
+    shard["ends"] = np.cumsum(shard["grammar"].size(shard["symbols"]))
+    return shard
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             shard = _unpack(row)
-            ids = expand(shard["symbols"], shard["base"], shard["left"], shard["right"]).astype("<u4")
+            ids = shard["grammar"].expand(shard["symbols"]).astype("<u4")
             ends = np.array(row["doc_ends"], np.int64)
             starts = np.append(0, ends[:-1])
             n = len(ends)

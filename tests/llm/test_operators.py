@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -78,15 +79,27 @@ def test_label_model_of_rules_trusts_faults():
     assert good[0] > 0.9 and good[1] < 0.5
 
 
+def shard_of(ids, base, least):
+    g = token_shards.compress(ids, base, least)
+    g["grammar"] = token_shards.Grammar(g)
+    g["ends"] = np.cumsum(g["grammar"].size(g["symbols"]))
+    return g
+
+
 def test_re_pair_round_trip():
     rng = np.random.default_rng(0)
-    for k in range(60):
+    for k in range(80):
         ids = rng.integers(0, rng.integers(1, 40) + 1, rng.integers(1, 2500))
-        g = token_shards.compress(ids, 100, rounds=8, least=2)
-        assert (token_shards.expand(g["symbols"], 100, g["left"], g["right"]) == ids).all()
+        if k % 3 == 0:
+            ids = np.tile(ids, 3)
+        least = 2 + k % 3
+        g = shard_of(ids, 100, least)
+        assert (g["grammar"].expand(g["symbols"]) == ids).all()
         a, b = sorted(rng.integers(0, len(ids) + 1, 2))
         assert (token_shards.slice_ids(g, int(a), int(b)) == ids[a:b]).all()
-        assert len(g["symbols"]) <= len(ids)
+        assert len(g["symbols"]) <= len(ids) and (g["length"] == [len(g["grammar"].expand(np.array([100 + i]))) for i in range(len(g["left"]))]).all()
+        left = Counter(zip(g["symbols"][:-1].tolist(), g["symbols"][1:].tolist(), strict=True))
+        assert max(left.values(), default=0) < least  # no frequent pair is left
 
 
 def test_token_shards(spark, docs, empty, tmp_path):
@@ -105,7 +118,12 @@ def test_token_shards(spark, docs, empty, tmp_path):
     shards = token_shards.read_shards(spark, f"file://{tmp_path}/shards")
     assert shards.count() == 3
     assert {r.doc_id: r.ids for r in token_shards.decode(shards).collect()} == {i: ids for i, (_, ids) in want.items()}
-    assert {r.doc_id: (r.start, r.n_tokens) for r in token_shards.digests(shards).collect()} == {i: (s, len(ids)) for i, (s, ids) in want.items()}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    told = {i: (s, len(ids), crc(ids)) for i, (s, ids) in want.items()}
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_shards.digests(shards).collect()} == told
+    repeated = spark.createDataFrame([(None, "x y"), (7, "b a"), (7, "a"), (7, "b a"), (None, None)], "doc_id bigint, text string")
+    got = sorted((r.start, r.doc_id or 0, r.n_tokens) for r in token_shards.token_digests(repeated, path, partitions=2).collect())
+    assert [d for _, d, _ in got] == [0, 0, 7, 7, 7] and all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
     assert token_shards.token_digests(empty, path).count() == 0
 
 
