@@ -56,23 +56,23 @@ def parse_window(query: str, now: datetime) -> Window | None:
         except ValueError:
             return None
         return Window(_at(d), _day_end(d), "on_date", m[0], False)
-    if m := re.search(r"\b(?:since|after) (\d{4})-(\d{2})-(\d{2})\b", text):
+    if m := re.search(r"\bsince (\d{4})-(\d{2})-(\d{2})\b", text):
         try:
             d = date(*map(int, m.groups()))
         except ValueError:
             return None
         return Window(_at(d), now, "since_date", m[0], True) if _at(d) <= now else None
-    if m := re.search(rf"\bin ({months})(?: (\d{{4}}))?\b", text):
+    if m := re.search(rf"\b(?:in|during) ({months})(?: (\d{{4}}))?\b", text):
         month = MONTHS.index(m[1]) + 1
         year = int(m[2]) if m[2] else today.year - (month > today.month)
         return Window(*_month(year, month), "in_month", m[0], False) if 1 <= year <= 9998 else None
-    if m := re.search(r"\b(?:in the |over the )?(?:last|past) (\d{1,6}) (day|week|month|year)s?\b", text):
+    if m := re.search(r"\b(?:last|past) (\d{1,10}) (day|week|month)s?\b", text):
         n = int(m[1])
         try:
             if m[2] in _UNITS:
                 start = now - timedelta(days=n * _UNITS[m[2]])
             else:
-                start = back_months(now, n * (12 if m[2] == "year" else 1))
+                start = back_months(now, n)
         except (OverflowError, ValueError):
             return None
         return Window(start, now, "last_n", m[0], True) if n else None

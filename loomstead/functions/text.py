@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"  # fixed value of the UUID standard
+# The UUID standard's name space, and that of stored facts, whose identifiers must stay the same.
+NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
+NAMESPACE_FACTS = "e2de504c45bb4531952ff33a6f60c945"
 
 
 def blank_to_null(value: Column) -> Column:
@@ -53,8 +55,11 @@ def uuid5(name: Column, namespace: str = NAMESPACE_DNS) -> Column:
     )
 
 
-def fact_id(data: Column, user: Column, lane: Column, persona: Column) -> Column:
-    return uuid5(F.concat_ws(":", F.md5(data), user, lane, persona))
+def fact_id(data: Column, user: Column, lane: Column, persona: Column, namespace: str = NAMESPACE_FACTS) -> Column:
+    """Identifier of a fact: lane and persona keep their places where one of them is absent, and add nothing where both are."""
+    blank = F.lit("")
+    parted = F.concat(F.lit(":"), F.coalesce(lane, blank), F.lit(":"), F.coalesce(persona, blank))
+    return uuid5(F.concat(F.md5(data), F.lit(":"), user, F.when(lane.isNull() & persona.isNull(), blank).otherwise(parted)), namespace)
 
 
 def summary_id(project: Column, day: Column, start: Column, end: Column) -> Column:
@@ -67,9 +72,14 @@ def word_tokens(text: Column) -> Column:
 
 
 def ngrams(text: Column, n: int = 3) -> Column:
+    """Distinct n-grams of a text.  Neighbouring words meet by zipping the list with itself shifted: a lambda that
+    indexed the list would have it split anew for every n-gram."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    rest = lambda i: F.slice(words, i + 1, F.greatest(F.size(words) - n + 1, F.lit(0)))
+    grams = rest(0)
+    for i in range(1, n):
+        grams = F.zip_with(grams, rest(i), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.coalesce(F.array_distinct(grams), F.array().cast("array<string>"))
 
 
 def leaks(a: Column, b: Column, n: int = 3) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.session import written
+
 K1, B, RRF_K = 1.2, 0.75, 60  # fixed values of the scoring formulas
 
 
@@ -45,6 +47,15 @@ def match_all(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.where(hold).select("doc_id")
 
 
+def global_rank(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rank`` of every row from 1: rows are dealt into sorted ranges, and each range adds the sizes of those before it."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_in", inside).join(parts, "_part").withColumn("rank", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
 def fuse(arms: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (doc_id, rank) arms with weights; weight 0 is skipped."""
     parts = [a.select("doc_id", (F.lit(float(w)) / (k + F.col("rank"))).alias("s")) for a, w in arms if w]

@@ -26,10 +26,13 @@ def _(points):
     return points.select("id", data.alias("data"), F.md5(data).alias("hash"), hit.alias("embed_again"))
 
 
-@query("p19_reserved_guard", "points", "SELECT CAST(count(*) AS BIGINT) AS n FROM points WHERE FALSE")
+@query("p19_reserved_guard", "points", "SELECT id, CASE seq % 9 WHEN 0 THEN 'hash' WHEN 4 THEN 'vector' END AS refused FROM points")
 def _(points):
-    named = points.select(F.map_keys(F.create_map(F.lit("lane"), F.col("lane"), F.lit("title"), F.col("title"))).alias("keys"))
-    return named.where(F.arrays_overlap("keys", F.array(*map(F.lit, RESERVED)))).agg(F.count("*").alias("n"))
+    """The reserved key, if any, that a caller's patch of a point names."""
+    named = F.element_at(F.array(*map(F.lit, ("hash", "lane", "title", "data", "vector", "score", "project", "persona", "status"))), (F.col("seq") % 9 + 1).cast("int"))
+    patch = F.create_map(named, F.lit("x"), F.lit("note"), F.lit("y"))
+    held = F.filter(F.map_keys(patch), lambda k: k.isin(*RESERVED))
+    return points.select("id", F.get(held, F.lit(0)).alias("refused"))
 
 
 @query(
@@ -43,10 +46,12 @@ def _(spark, sf_dir):
 
 @query(
     "x01_merge_set", "points",
-    "SELECT user_id, array_to_string(list_sort(list_distinct(list(project) FILTER (project <> ''))), ',') AS projects FROM points GROUP BY user_id",
+    "SELECT id, CASE WHEN project IS NULL OR project = 'proj2' THEN 'proj2,proj9' ELSE concat('proj2,proj9,', project) END AS projects FROM points",
 )
 def _(points):
-    return points.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.nullif("project", F.lit("")))), ",").alias("projects"))
+    """A project joins an ordered set at its end, once; absent values leave it as it is."""
+    old = F.array(F.lit("proj2"), F.lit("proj9"))
+    return points.select("id", F.array_join(A.union_set(old, F.col("project")), ",").alias("projects"))
 
 
 @query(
@@ -153,8 +158,8 @@ def _(points):
     "SELECT doc_id, CAST(count(*) AS BIGINT) AS shared FROM g JOIN b USING (gram) GROUP BY doc_id",
 )
 def _(spark, sf_dir):
-    grams = lambda t, *keep: raw(spark, sf_dir, t).select(*keep, F.explode_outer(T.ngrams(F.col("text"), 5)).alias("gram")).distinct()
-    return grams("documents", "doc_id").join(grams("benchmark"), "gram").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    grams = lambda t, *keep: raw(spark, sf_dir, t).select(*keep, F.explode(T.ngrams(F.col("text"), 5)).alias("gram"))
+    return grams("documents", "doc_id").join(grams("benchmark").distinct(), "gram").groupBy("doc_id").agg(F.countDistinct("gram").alias("shared"))
 
 
 @query(
@@ -167,7 +172,8 @@ def _(spark, sf_dir):
     t = docs.select("doc_id", F.explode_outer(F.array_distinct(V.tokens(F.col("text")))).alias("term")).where("term IS NOT NULL")
     df = t.groupBy("term").agg(F.count("*").alias("df"))
     whole = docs.agg(F.count("*").alias("n"))  # one row
-    met = t.join(df, "term").crossJoin(F.broadcast(whole)).where("df <= 0.2 * n")
+    rare = df.crossJoin(F.broadcast(whole)).where("df <= 0.2 * n").select("term", "df")  # before the join: common terms never meet it
+    met = t.join(rare, "term")
     least = F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, 3)
     return met.groupBy("doc_id").agg(least.alias("l")).select("doc_id", F.explode("l").alias("l")).select("doc_id", F.col("l.term").alias("term"))
 

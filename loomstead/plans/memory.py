@@ -244,11 +244,16 @@ def _(points):
 
 @query(
     "p23_reaction_normalise", "reactions",
-    "SELECT message_id, CASE WHEN n >= 1 THEN least(n, 2) END AS n, CASE WHEN n >= 1 THEN substr(kind, 1, 4) END AS kind FROM reactions",
+    "SELECT message_id, CASE WHEN n >= 1 THEN least(n * 700, 1000) END AS n, CASE WHEN n >= 1 THEN substr(repeat(kind, 20), 1, 64) END AS kind, CASE WHEN n >= 1 THEN array_to_string(list_slice([kind, '', concat(kind, '+')], 1, 2), '|') END AS kinds FROM reactions",
 )
 def _(reactions):
+    """Counts are capped at 1000, labels at 64 characters and lists at their limit (here 2)."""
     ok = F.col("n") >= 1
-    return reactions.select("message_id", F.when(ok, F.least("n", F.lit(2).cast("bigint"))).alias("n"), F.when(ok, F.substring("kind", 1, 4)).alias("kind"))
+    kinds = F.slice(F.array("kind", F.lit(""), F.concat("kind", F.lit("+"))), 1, 2)
+    return reactions.select(
+        "message_id", F.when(ok, F.least(F.col("n") * 700, F.lit(1000))).alias("n"), F.when(ok, F.substring(F.repeat("kind", 20), 1, 64)).alias("kind"),
+        F.when(ok, F.array_join(kinds, "|")).alias("kinds"),
+    )
 
 
 @query(
@@ -336,10 +341,10 @@ def _(points):
 
 @query(
     "j08_prunable", "captures attached",
-    "SELECT capture_id FROM captures WHERE capture_id NOT IN (SELECT capture_id FROM attached)",
+    "SELECT capture_id FROM captures WHERE capture_id NOT IN (SELECT capture_id FROM attached WHERE n > 0) AND capture_id NOT IN (SELECT capture_id FROM attached WHERE point_id <> 'p1')",
 )
 def _(captures, attached):
-    return A.prunable(captures, attached, attached).select("capture_id")
+    return A.prunable(captures, attached.where("n > 0"), attached.where("point_id <> 'p1'")).select("capture_id")
 
 
 @query(
@@ -469,11 +474,13 @@ def _(points):
 
 @query(
     "a12_point_reactions", "attached",
-    "SELECT l.point_id, CAST(sum(s.n) AS BIGINT) AS reaction_count FROM (SELECT DISTINCT point_id, capture_id FROM attached) l JOIN "
-    "(SELECT capture_id, message_id, max_by(n, seq) AS n FROM attached GROUP BY ALL) s USING (capture_id) GROUP BY 1",
+    "SELECT t.point_id, reaction_count, kinds FROM (SELECT l.point_id, CAST(sum(s.n) AS BIGINT) AS reaction_count FROM (SELECT DISTINCT point_id, capture_id FROM attached) l JOIN "
+    "(SELECT capture_id, message_id, max_by(n, seq) AS n FROM attached GROUP BY ALL) s USING (capture_id) GROUP BY 1) t JOIN "
+    "(SELECT point_id, string_agg(kind, ',' ORDER BY f, message_id) AS kinds FROM (SELECT point_id, kind, f, message_id, row_number() OVER (PARTITION BY point_id, kind ORDER BY f, message_id) AS k FROM "
+    "(SELECT point_id, capture_id, min(seq) AS f FROM attached GROUP BY ALL) JOIN (SELECT capture_id, message_id, max_by(kind, seq) AS kind FROM attached GROUP BY ALL) USING (capture_id)) WHERE k = 1 GROUP BY point_id) u ON u.point_id = t.point_id",
 )
 def _(attached):
-    return A.point_reactions(attached).select("point_id", "reaction_count")
+    return A.point_reactions(attached)
 
 
 @query(
@@ -496,10 +503,11 @@ def _(signals):
 
 @query(
     "a16_prevalence", "signals",
-    "SELECT round(count(*) FILTER (event = 'recall.search') / count(*)::DOUBLE, 6) AS prevalence FROM signals",
+    "SELECT day, round(count(*) FILTER (outcome <> 'odd') / count(*)::DOUBLE, 6) AS prevalence FROM signals WHERE event = 'recall.search' GROUP BY day",
 )
 def _(signals):
-    return signals.agg(F.round(F.avg((F.col("event") == "recall.search").cast("double")), 6).alias("prevalence"))
+    """Of each day's searches, the share with a temporal kind (an outcome other than 'odd' stands for one)."""
+    return signals.where("event = 'recall.search'").groupBy("day").agg(F.round(F.avg((F.col("outcome") != "odd").cast("double")), 6).alias("prevalence"))
 
 
 @query(
@@ -558,12 +566,12 @@ def _(points):
     "f23_prototypes", "points",
     "SELECT seq, lane FROM (SELECT seq, lane, s, row_number() OVER (PARTITION BY seq ORDER BY s DESC, lane) AS r, lead(s) OVER (PARTITION BY seq ORDER BY s DESC, lane) AS nxt FROM (SELECT seq, lane, avg(score) AS s FROM "
     "(SELECT f.seq, CAST(e.label AS STRING) AS lane, list_dot_product(f.vector::DOUBLE[], e.vector::DOUBLE[]) AS score, row_number() OVER (PARTITION BY f.seq, e.label ORDER BY list_dot_product(f.vector::DOUBLE[], e.vector::DOUBLE[]) DESC) AS k "
-    "FROM points f, points e WHERE f.seq % 10 = 1 AND e.seq < 60) WHERE k <= 3 GROUP BY ALL)) WHERE r = 1 AND s >= 0.05 AND s - nxt >= 0.02",
+    "FROM points f, points e WHERE e.seq < 60) WHERE k <= 3 GROUP BY ALL)) WHERE r = 1 AND s >= 0.30 AND s - nxt >= 0.08",
 )
 def _(points):
-    facts, protos = points.where("seq % 10 = 1"), points.where("seq < 60").select(F.col("label").cast("string").alias("lane"), F.col("vector").alias("v"))
-    facts = facts.select("seq", "vector")
-    return _by_prototypes(facts, protos, 0.05, 0.02)
+    # The exemplars are a fixed taxonomy: no more than 60 of them, whatever the number of facts.
+    protos = points.where("seq < 60").select(F.col("label").cast("string").alias("lane"), F.col("vector").alias("v"))
+    return _by_prototypes(points.select("seq", "vector"), protos, 0.30, 0.08)
 
 
 def _by_prototypes(facts: DataFrame, protos: DataFrame, least: float, margin: float, top: int = 3) -> DataFrame:
@@ -583,10 +591,12 @@ def _by_prototypes(facts: DataFrame, protos: DataFrame, least: float, margin: fl
 
 @query(
     "f24_fact_ids", "points",
-    "SELECT id, md5(data) AS hash, concat('session-2024-01-01-', substr(sha256(concat_ws('|', coalesce(project, ''), id, hash)), 1, 8)) AS summary_id FROM points",
+    "SELECT id, md5(data) AS hash, concat('session-2024-01-01-', substr(sha256(concat_ws('|', coalesce(project, ''), id, hash)), 1, 8)) AS summary_id, "
+    "concat_ws('-', h[1:8], h[9:12], concat('5', h[14:16]), concat(substr('89ab89ab89ab89ab', 1 + instr('0123456789abcdef', h[17:17]) - 1, 1), h[18:20]), h[21:32]) AS fact_id FROM "
+    "(SELECT *, sha1(from_hex('e2de504c45bb4531952ff33a6f60c945') || encode(concat(md5(data), ':', user_id, CASE WHEN lane IS NULL AND persona IS NULL THEN '' ELSE concat(':', coalesce(lane, ''), ':', coalesce(persona, '')) END))) AS h FROM points)",
 )
 def _(points):
-    return points.select("id", T.content_hash(F.col("data")).alias("hash"), T.summary_id(F.coalesce("project", F.lit("")), F.lit("2024-01-01"), F.col("id"), F.col("hash")).alias("summary_id"))
+    return points.select("id", T.content_hash(F.col("data")).alias("hash"), T.summary_id(F.coalesce("project", F.lit("")), F.lit("2024-01-01"), F.col("id"), F.col("hash")).alias("summary_id"), T.fact_id(*map(F.col, ("data", "user_id", "lane", "persona"))).alias("fact_id"))
 
 
 @query(
@@ -636,13 +646,12 @@ def _(spark, sf_dir):
 
 @query(
     "g05_rank_fusion", "points",
-    "SELECT doc_id, round(sum(s), 9) AS score FROM (SELECT seq AS doc_id, 1.0 / (60 + rank) AS s FROM (SELECT seq, row_number() OVER (ORDER BY score DESC, seq) AS rank FROM points WHERE score IS NOT NULL) WHERE rank <= 50 "
-    "UNION ALL SELECT seq, 0.5 / (60 + rank) FROM (SELECT seq, row_number() OVER (ORDER BY valid_from DESC, seq) AS rank FROM points WHERE valid_from IS NOT NULL) WHERE rank <= 50) GROUP BY doc_id",
+    "SELECT doc_id, round(sum(s), 9) AS score FROM (SELECT seq AS doc_id, 1.0 / (60 + rank) AS s FROM (SELECT seq, row_number() OVER (ORDER BY score DESC, seq) AS rank FROM points WHERE score IS NOT NULL) "
+    "UNION ALL SELECT seq, 0.5 / (60 + rank) FROM (SELECT seq, row_number() OVER (ORDER BY valid_from DESC, seq) AS rank FROM points WHERE valid_from IS NOT NULL)) GROUP BY doc_id",
 )
 def _(points):
     def arm(rows: DataFrame, *order) -> DataFrame:
-        top = rows.orderBy(*order).limit(50)  # ranks of a bounded top
-        return top.select(F.col("seq").alias("doc_id"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+        return V.global_rank(rows.select(F.col("seq").alias("doc_id"), "score", "valid_from", "seq"), *order)
 
     a = arm(points.where("score IS NOT NULL"), F.col("score").desc(), F.col("seq"))
     b = arm(points.where("valid_from IS NOT NULL"), F.col("valid_from").desc(), F.col("seq"))
@@ -756,10 +765,12 @@ def _(judged):
 
 @query(
     "m04_merge_older", "points",
-    "SELECT user_id, hash, lane, persona, min(seq) AS seq, min_by(data, seq) AS data, CAST(count(*) AS BIGINT) AS dedup_count, max(seq) AS last_seen FROM points GROUP BY user_id, hash, lane, persona",
+    "SELECT m.*, coalesce(p.projects, '') AS projects FROM (SELECT user_id, hash, lane, persona, min(seq) AS seq, min_by(data, seq) AS data, CAST(count(*) AS BIGINT) AS dedup_count, max(seq) AS last_seen FROM points GROUP BY user_id, hash, lane, persona) m LEFT JOIN "
+    "(SELECT user_id, hash, lane, persona, string_agg(project, ',' ORDER BY f) AS projects FROM (SELECT user_id, hash, lane, persona, project, min(seq) AS f FROM points WHERE project <> '' GROUP BY ALL) GROUP BY ALL) p "
+    "ON p.user_id = m.user_id AND p.hash = m.hash AND p.lane IS NOT DISTINCT FROM m.lane AND p.persona IS NOT DISTINCT FROM m.persona",
 )
 def _(points):
-    return A.merge_older(points).drop("projects")
+    return A.merge_older(points)
 
 
 @query(
@@ -780,10 +791,10 @@ def _(points):
     return points.select("id", F.when(hit, "deprecated").otherwise(F.col("status")).alias("status"), F.when(hit, F.coalesce("invalidated_at", F.lit("2024-02-01T00:00:00Z"))).otherwise(F.col("invalidated_at")).alias("invalidated_at"))
 
 
-@query("w04_last_n", "signals", "SELECT surface, event_id FROM (SELECT surface, event_id, row_number() OVER (PARTITION BY surface ORDER BY event_id DESC) AS r FROM signals) WHERE r <= 64")
+@query("w04_last_n", "signals", "SELECT surface, event_id FROM (SELECT surface, event_id, row_number() OVER (PARTITION BY surface ORDER BY event_id DESC) AS r FROM signals) WHERE r <= 512")
 def _(signals):
     r = F.row_number().over(Window.partitionBy("surface").orderBy(F.col("event_id").desc()))
-    return signals.withColumn("r", r).where("r <= 64").select("surface", "event_id")
+    return signals.withColumn("r", r).where("r <= 512").select("surface", "event_id")
 
 
 @query("w06_running_watermark", "captures", "SELECT user_id, seq, max(created_at) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS watermark FROM captures")

@@ -95,11 +95,11 @@ DERIVED: dict[str, tuple[str, list[str], str]] = {
         [
             "c_custkey AS k",
             "concat('n', CAST(c_custkey AS STRING)) AS note",
-            "concat('n', CAST(c_custkey * 7 % 1000 AS STRING)) AS a",
-            "CASE WHEN c_custkey % 3 = 0 THEN concat('n', CAST(c_custkey - c_custkey % 20 + 1 AS STRING)) END AS b",
+            "CASE WHEN c_custkey % 11 = 0 THEN concat('gone', CAST(c_custkey AS STRING)) ELSE concat('n', CAST(c_custkey - c_custkey % 40 + c_custkey * 7 % 40 AS STRING)) END AS a",
+            "CASE WHEN c_custkey % 97 = 0 THEN concat('n', CAST(c_custkey - 40 AS STRING)) WHEN c_custkey % 3 = 0 THEN concat('n', CAST(c_custkey - c_custkey % 20 + 1 AS STRING)) END AS b",
             "concat('N', CAST(c_custkey AS STRING)) AS alias",
         ],
-        "c_custkey <= 600",
+        "TRUE",
     ),
     "turns": (
         "conversations",
