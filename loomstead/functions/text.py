@@ -122,3 +122,20 @@ def front_matter(text: Column) -> Column:
 
 def body(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)^---\r?\n.*?\r?\n---\r?\n?", "")
+
+
+def rare_tokens(text: Column) -> Column:
+    """Mail addresses and numbers of three digits or more."""
+    return F.regexp_extract_all(text, F.lit(r"[\w.-]+@[\w.-]+|\d{3,}"), F.lit(0))
+
+
+def capped(text: Column, limit: int) -> Column:
+    """The first ``limit`` characters and a mark that more followed."""
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n..."))).otherwise(text)
+
+
+def byte_pieces(text: Column, budget: int) -> Column:
+    """The text in pieces of at most ``budget`` bytes, cut between characters (a character has four bytes at most)."""
+    step = budget // 4
+    n = F.greatest(F.ceil(F.length(text) / step), F.lit(0)).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, (i - 1) * step + 1, F.lit(step)))).otherwise(F.array().cast("array<string>"))

@@ -39,6 +39,13 @@ def asof_reactions(reactions: DataFrame, captures: DataFrame, bucket_s: int = FO
     return reactions.select("message_id").join(picked, "message_id", "left")
 
 
+def override_by_hash(placed: DataFrame, reactions: DataFrame, captures: DataFrame) -> DataFrame:
+    """``placed``, but a capture of the same user among whose ``hashes`` a reaction's ``hash`` is comes first (the least id of several)."""
+    held = captures.select("user_id", "capture_id", F.explode("hashes").alias("hash"))
+    found = reactions.select("message_id", "user_id", "hash").join(held, ["user_id", "hash"]).groupBy("message_id").agg(F.min("capture_id").alias("by_hash"))
+    return placed.join(found, "message_id", "left").select("message_id", F.coalesce("by_hash", "capture_id").alias("capture_id"))
+
+
 def resolve_by_hash(refs: DataFrame, points: DataFrame) -> DataFrame:
     """A reference (``ref_id``, ``user_id``, ``hash``) by id, else by user and hash."""
     by_id = points.select(F.col("id").alias("ref_id"), F.col("seq").alias("direct"))

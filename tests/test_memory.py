@@ -1,6 +1,7 @@
 """Functions, sources and streams of the memory engine."""
 
 import json
+import random
 import uuid
 from datetime import UTC, datetime
 
@@ -96,3 +97,42 @@ def test_stream_is_idempotent(spark, tmp_path):
     (src / "2.json").write_text("\n".join(turn(i, 2) for i in range(2)) + "\n")
     turns.run_checkpoints(turns.read_turns(spark, str(src)), sink, mark, budget=1000).awaitTermination()
     assert turns.read_summaries(spark, sink).count() == 3
+
+
+def test_token_bucket_matches_a_sequential_fold(spark):
+    from loomstead.operators.writes import admitted
+
+    rng = random.Random(2)
+    rows = [(i, f"k{rng.randrange(4)}", rng.randrange(600_000)) for i in range(400)]
+    got = {r.event_id: r.ok for r in admitted(spark.createDataFrame(rows, "event_id bigint, key string, ms bigint").repartition(3), per_minute=6.0, burst=3).collect()}
+    state, want = {}, {}
+    for i, k, ms in sorted(rows, key=lambda r: (r[2], r[0])):
+        tokens, last = state.get(k, (3.0, ms))
+        tokens = min(3.0, tokens + (ms - last) * 6.0 / 60_000)
+        want[i] = tokens >= 1
+        state[k] = (tokens - want[i], ms)
+    assert got == want and 0 < sum(got.values()) < 400
+
+
+def test_resampling_is_calibrated(spark):
+    from loomstead.operators.measures import bootstrap_f_half, permutation_test
+
+    rng = random.Random(8)
+    rows = [(i, rng.random() < 0.5, rng.random() < 0.5) for i in range(800)]
+    tp = sum(s and t for _, s, t in rows)
+    f = 1.25 * tp / (1.25 * tp + 0.25 * sum(t and not s for _, s, t in rows) + sum(s and not t for _, s, t in rows))
+    r = bootstrap_f_half(spark.createDataFrame(rows, "k bigint, said boolean, true boolean"), replicates=100).first()
+    assert r.lo < f < r.hi and abs(r.mean - f) < 0.02 and 0.03 < r.hi - r.lo < 0.15
+    rows = [(i, f"w{i % 5}", i % 7 == 0, rng.random() + (0.3 if i % 7 == 0 else 0)) for i in range(500)]
+    schema = "k bigint, week string, case boolean, value double"
+    strong = permutation_test(spark.createDataFrame(rows, schema), rounds=99).first()
+    none = permutation_test(spark.createDataFrame([(i, w, rng.random() < 0.2, v) for i, w, _, v in rows], schema), rounds=99).first()
+    assert strong.p == 0.01 and none.p > 0.02 and strong.observed > 0.15
+
+
+def test_wide_columns_of_text(spark):
+    from loomstead.functions import text as T
+
+    text = "é€😀a\n" * 700
+    r = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(T.byte_pieces(F.col("t"), 64).alias("p")).collect()
+    assert "".join(r[0].p) == text and max(len(x.encode()) for x in r[0].p) <= 64 and r[1].p == [] and not r[2].p
