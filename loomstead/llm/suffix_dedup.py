@@ -519,8 +519,7 @@ def _cuts(texts: bool):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for ids, sizes, packed, runs, told in _blocks_of(batches):
             b = Block(ids, sizes, packed)
-            start = strings_to_cut(b, runs or [], told or []).astype(np.int32)
-            so_far = np.cumsum(start)
+            so_far = np.cumsum(strings_to_cut(b, runs or [], told or []), dtype=np.int32)
             so_far[LENGTH:] -= so_far[:-LENGTH].copy()
             gone = so_far > 0  # a string starts here or up to LENGTH - 1 bytes before; strings end within their text
             rows = []
@@ -539,7 +538,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, with ``texts``, the ``kept`` bytes."""
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = written_buckets(base.mapInArrow(_pack(block_bytes), _BLOCK), max(1, -(-total // BUCKET_BYTES)), "block")
+    # With fewer buckets than shuffle partitions, Spark would deal the blocks anew for the sake of parallelism.
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    blocks = written_buckets(base.mapInArrow(_pack(block_bytes), _BLOCK), buckets, "block")
     parts = max(1, -(-total * 2 // (SPARE + 2) // SEEDS_A_PART))
     seeds = blocks.select("block", "ids", "sizes", "packed").mapInArrow(_seeds(parts), "part int, block bigint, value binary, several binary")
     shared = written(seeds.groupBy("part").applyInArrow(_shared, "block bigint, part int, bits binary, n bigint"))
