@@ -91,7 +91,7 @@ def permutation_test(rows: DataFrame, rounds: int = 200) -> DataFrame:
     dealings within weeks that reach it.
 
     A round deals labels by rank of a hash within its week, so weeks keep their numbers of cases; work is dealt by
-    (week, round).
+    (week, round).  Rows are judged items, of which there are thousands: each is copied ``rounds`` times.
     """
     sizes = rows.groupBy("week").agg(F.count_if("case").alias("cases"))
     observed = rows.agg((F.avg(F.when(F.col("case"), F.col("value"))) - F.avg(F.when(~F.col("case"), F.col("value")))).alias("observed"))
@@ -99,7 +99,7 @@ def permutation_test(rows: DataFrame, rounds: int = 200) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("week", "round").orderBy(F.xxhash64("k", "round"), "k"))
     dealt = each.withColumn("place", place).join(sizes, "week").withColumn("case", F.col("place") <= F.col("cases"))
     diff = dealt.groupBy("round").agg((F.avg(F.when(F.col("case"), F.col("value"))) - F.avg(F.when(~F.col("case"), F.col("value")))).alias("d"))
-    return diff.crossJoin(F.broadcast(observed)).agg(F.round(F.first("observed"), 6).alias("observed"), F.round((F.count_if("d >= observed") + 1) / (F.count("*") + 1), 6).alias("p"))
+    return diff.crossJoin(F.broadcast(observed)).agg(F.round(F.first("observed"), 6).alias("observed"), F.round((F.count_if(F.col("d") >= F.col("observed")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 
 def trigger(scoped: Column, cases: Column, pool: Column, unscoped: Column, late: Column, floor: int, late_floor: int) -> Column:
