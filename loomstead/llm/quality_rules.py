@@ -1,9 +1,10 @@
 """Quality rules as weak supervision.
 
 Every rule votes good, bad or abstains on each document.  A label model (the
-class prior and, per class, each rule's accuracy) is fitted by
-expectation-maximisation on the counts of vote patterns, and the posterior
-probability of "good" replaces a filter that wants every rule to pass.
+share of good documents and of each kind of bad ones, and in each of them
+every rule's chances of its votes) is fitted by expectation-maximisation on the
+counts of vote patterns, and the posterior probability of "good" replaces a
+filter that wants every rule to pass.
 
 The pattern table is bounded by 3 ** len(RULES) whatever the corpus holds, so
 it is the only thing that reaches the driver.
@@ -30,7 +31,7 @@ REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
-# Fixed values: (measure, bad at or above).  These rules name a fault and abstain where it is missing.
+# (measure, bad at or above).  These rules name a fault and abstain where it is missing.
 HIGH_IS_BAD = (
     ("symbol_share", 0.10),
     ("upper_share", 0.50),
@@ -41,7 +42,7 @@ HIGH_IS_BAD = (
     ("digit_share", 0.30),
     ("odd_length_share", 0.35),
 )
-# Fixed values: (measure, bad below, good at or above); between, the rule abstains.
+# (measure, bad below, good at or above); between, the rule abstains.
 LOW_IS_BAD = (
     ("distinct_share", 0.08, 0.25),
     ("letter_share", 0.55, 0.75),
@@ -87,7 +88,7 @@ def measure(text: str | None) -> tuple:
     upper, lower = int(hist[65:91].sum()), int(hist[97:123].sum())
     letters = upper + lower + int(hist[0xC2:0xF5].sum())
     lengths = np.fromiter(map(len, words), np.int64, n)
-    ends = int(hist[46] + hist[44] + hist[58] + hist[59] + hist[63])
+    stops = int(hist[46] + hist[44] + hist[58] + hist[59] + hist[63])  # . , : ; ?
     m = {
         "symbol_share": symbols / word_chars,
         "upper_share": upper / max(1, upper + lower),
@@ -99,7 +100,7 @@ def measure(text: str | None) -> tuple:
         "odd_length_share": float((lengths > 30).mean()),
         "distinct_share": len(set(words)) / min(n, 400),
         "letter_share": letters / word_chars,
-        "stop_share": ends / n,
+        "stop_share": stops / n,
     }
     votes = ["-" if m[k] >= bad else "0" for k, bad in HIGH_IS_BAD]
     votes += ["-" if m[k] < bad else "+" if m[k] >= good else "0" for k, bad, good in LOW_IS_BAD]
@@ -111,61 +112,88 @@ def measures(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t) for t in texts], columns=[*_COUNTS, "pattern"])
 
 
-def fit_accuracies(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[float, np.ndarray]:
-    """EM for the class prior and each rule's chances of voting -, 0 and + on bad and on good documents.
+GOOD, OWN, PRIOR, CORROBORATED = (0.0005, 0.3, 0.6995), (0.8, 0.15, 0.05), 20.0, 0.05
 
-    Returns the prior of "good" and an array (class, rule, vote).  Bad documents
-    are of several kinds that share no rule, and two classes can't hold more
-    than two kinds apart; so the class called "good" is held to at most 0.3 %
-    bad votes of any rule, and bad votes are at least 40 times as likely in the
-    other.  Good votes are never likelier there.
+
+def fit_accuracies(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """EM over "good" and one kind of bad documents for each rule: the share of every class (good first) and an array
+    (class, rule, vote) of the chances that the rule votes -, 0 and + in it.
+
+    Bad documents are of several kinds, which two classes can't hold apart.  Nothing is held fixed: priors worth
+    ``PRIOR`` documents say where a kind begins (its own rule votes bad), counts decide where it ends; that good
+    documents rarely have a fault is a prior worth as much as the counts.  A rule's word needs others: where the documents of a kind have, apart from its own rule's vote, the votes of good ones (a
+    divergence below ``CORROBORATED``) and outnumber the prior, the rule errs on good documents, and the kind is
+    taken into the good class.  With fewer documents the prior stands.
     """
-    shape = np.array([[0.25, 0.35, 0.4], [0.005, 0.3, 0.695]])
-    chance, prior = np.repeat(shape[:, None], len(RULES), 1), 0.85
-    patterns = sorted(p for p in patterns if set(p[0]) != {"0"})
+    n_rules = len(RULES)
+    start = np.tile(np.array(GOOD), (n_rules + 1, n_rules, 1))
+    for i in range(n_rules):
+        start[i + 1, i] = OWN
+    chance, share = start.copy(), np.append(0.85, np.full(n_rules, 0.15 / n_rules))
     if not patterns:
-        return prior, chance
+        return share, chance
     votes = np.array([["-0+".index(c) for c in p] for p, _ in patterns])
     counts = np.array([n for _, n in patterns], float)
     hot = np.eye(3)[votes]  # pattern, rule, vote
-    for _ in range(rounds):
-        good = posterior(votes, prior, chance)
-        w = np.stack([counts * (1 - good), counts * good])
-        new = (np.einsum("cp,prv->crv", w, hot) + 20 * shape[:, None]) / (w.sum(1)[:, None, None] + 20)
-        new[1, :, 0] = np.minimum(new[1, :, 0], 0.003)
-        new[0, :, 0] = np.maximum(new[0, :, 0], 40 * new[1, :, 0])
-        new[0, :, 2] = np.minimum(new[0, :, 2], new[1, :, 2])
-        new /= new.sum(2, keepdims=True)
-        prior = float(np.clip(counts @ good / counts.sum(), 0.05, 0.99))
-        done = np.abs(new - chance).max() < 1e-9
-        chance = new
-        if done:
+    weight = np.append(counts.sum(), np.full(n_rules, PRIOR))[:, None, None]
+    merged = np.zeros(n_rules + 1, bool)
+    for _ in range(2):
+        for _ in range(rounds):
+            w = counts * _responsibility(votes, share, chance)
+            new = np.einsum("cp,prv->crv", w, hot) / np.maximum(w.sum(1), 1e-9)[:, None, None]
+            faults = np.maximum(w.sum(1)[:, None, None], 1e-9) * new + weight * start
+            usual = np.maximum(w.sum(1)[:, None, None], 1e-9) * new + PRIOR * start
+            new = usual / usual.sum(2, keepdims=True)
+            rate = (faults / faults.sum(2, keepdims=True))[..., 0]
+            new = np.concatenate([rate[..., None], new[..., 1:] * ((1 - rate) / new[..., 1:].sum(2))[..., None]], axis=2)
+            share = np.where(merged, 1e-12, w.sum(1) + 1)
+            share /= share.sum()
+            done = np.abs(new - chance).max() < 1e-8
+            chance = new
+            if done:
+                break
+        size = counts @ _responsibility(votes, share, chance).T
+        apart = (chance * np.log(chance / chance[0])).sum(2)
+        apart[np.arange(1, n_rules + 1), np.arange(n_rules)] = 0
+        alone = (apart.max(1) < CORROBORATED) & (size > PRIOR)
+        alone[0] = False
+        if not alone.any():
             break
-    return prior, chance
+        merged |= alone
+        for k in np.flatnonzero(alone):  # the good class starts again with the errors of this rule
+            rate = size[k] / (size[0] + size[k])
+            start[0, k - 1] = np.append(rate, start[0, k - 1, 1:] * (1 - rate) / start[0, k - 1, 1:].sum())
+            chance[0, k - 1] = start[0, k - 1]
+    return share, chance
+
+
+def _responsibility(votes: np.ndarray, share: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """(class, pattern): how likely each class is for rows of vote codes (0 bad, 1 abstains, 2 good)."""
+    logs = np.log(share)[:, None] + np.log(chance)[:, np.arange(len(RULES)), votes].sum(-1)
+    logs = np.exp(logs - logs.max(0))
+    return logs / logs.sum(0)
 
 
-def posterior(votes: np.ndarray, prior: float, chance: np.ndarray) -> np.ndarray:
-    """Probability of "good" for rows of vote codes (0 bad, 1 abstains, 2 good)."""
-    odds = np.log(chance[1] / chance[0])
-    return 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + odds[np.arange(len(RULES)), votes].sum(-1))))
+def posterior(patterns: list[str], share: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Probability of "good" for each vote pattern."""
+    return _responsibility(np.array([["-0+".index(c) for c in p] for p in patterns]), share, chance)[0]
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
     """Counts, votes, posterior and verdict for each row of ``docs``.
 
     Texts are read once: the narrow measures are written to the shared folder,
-    pattern counts are summed on the map side, and the fitted posterior is a
-    sum of logged odds over the pattern's characters.
+    pattern counts are summed on the map side, and the patterns come back with
+    their posteriors as a broadcast table of at most 3 ** len(RULES) rows.
     """
     seen = written(docs.select(F.col(id_col).alias("doc_id"), measures(F.col(text_col).cast("string")).alias("m")).select("doc_id", "m.*"))
-    prior, chance = fit_accuracies([tuple(r) for r in seen.groupBy("pattern").count().collect()])
-    odds = F.lit(float(np.log(prior / (1 - prior))))
-    for i, by_vote in enumerate(np.log(chance[1] / chance[0]).tolist()):
-        vote = F.substring("pattern", i + 1, 1)
-        odds = odds + F.when(vote == "-", by_vote[0]).when(vote == "+", by_vote[2]).otherwise(by_vote[1])
+    found = sorted(tuple(r) for r in seen.groupBy("pattern").count().collect())
+    names = [p for p, _ in found]
+    good = posterior(names, *fit_accuracies(found)).tolist() if names else []
+    known = docs.sparkSession.createDataFrame(list(zip(names, good, strict=True)), "pattern string, quality_probability double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    probability = 1 / (1 + F.exp(-odds))
-    return seen.select(
+    probability = F.col("quality_probability")
+    return seen.join(F.broadcast(known), "pattern", "left").select(
         "doc_id", *_COUNTS, failed.alias("base_failed"), (~failed & (probability >= keep_at)).alias("kept"),
-        F.col("pattern").alias("votes"), probability.alias("quality_probability"),
-    )
+        F.col("pattern").alias("votes"), probability,
+    )

@@ -65,18 +65,33 @@ def test_quality_rules(docs, empty):
         many = Counter(grams)
         inside = {k + d for k, g in enumerate(grams) if many[g] > 1 for d in range(3)}
         r = got[i]
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(words), sum(map(len, words)), len(inside))
+        assert (r.n_symbols, r.n_dup_lines) == (sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)))
         assert not (r.kept and r.base_failed) and r.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
     assert quality_rules.quality_rules(empty).count() == 0
 
 
-def test_label_model_of_rules_trusts_faults():
+def test_label_model_of_rules():
     n = len(quality_rules.RULES)
-    clean, bad = "0" * (n - 3) + "+++", "-" + "0" * (n - 4) + "+++"
-    prior, chance = quality_rules.fit_accuracies([(clean, 900), (bad, 60), ("0" * n, 5)])
-    votes = np.array([["-0+".index(c) for c in p] for p in (clean, bad)])
-    good = quality_rules.posterior(votes, prior, chance)
-    assert good[0] > 0.9 and good[1] < 0.5
+    votes = lambda **bad: "".join("-" if r in bad else "+" if i >= n - 3 and r not in bad.get("off", ()) else "0" for i, r in enumerate(quality_rules.RULES))
+    clean, both, one, alone = votes(), votes(symbol_share=1, pipe_share=1), votes(pipe_share=1), votes(dup_line_share=1)
+    good = lambda found, *names: quality_rules.posterior(list(names), *quality_rules.fit_accuracies(found))
+    # A fault that comes with others is believed also where it comes alone; one that never does is the rule's error.
+    p = good([(clean, 9000), (both, 300), (one, 40), (alone, 60)], clean, both, one, alone)
+    assert p[0] > 0.9 and p[1] < 0.1 and p[2] < 0.5 and p[3] > 0.5
+    # Too few documents to tell: the rule is believed.
+    p = good([(clean, 900), (alone, 6)], clean, alone)
+    assert p[0] > 0.9 and p[1] < 0.5
+
+
+def test_quality_posterior_against_labels(spark):
+    from loomstead.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    judged = queries.op1_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed AND quality IS NOT NULL")
+    rows = [(r.kept, bool(r.quality)) for r in judged.select("kept", "quality").collect()]
+    assert sum(a == b for a, b in rows) >= 0.97 * len(rows) and sum(not a for a, _ in rows) > 10
 
 
 def shard_of(ids, base, least):
