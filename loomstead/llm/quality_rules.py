@@ -112,7 +112,9 @@ def measures(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t) for t in texts], columns=[*_COUNTS, "pattern"])
 
 
-GOOD, OWN, PRIOR, CORROBORATED = (0.0005, 0.3, 0.6995), (0.8, 0.15, 0.05), 20.0, 0.05
+# What rules that only name faults, and those that also praise, say of good documents; and a rule of the documents of its kind.
+SILENT, GOOD, OWN = (0.0005, 0.999, 0.0005), (0.0005, 0.3, 0.6995), (0.8, 0.15, 0.05)
+PRIOR, CORROBORATED = 20.0, 0.05
 
 
 def fit_accuracies(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +128,7 @@ def fit_accuracies(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[
     taken into the good class.  With fewer documents the prior stands.
     """
     n_rules = len(RULES)
-    start = np.tile(np.array(GOOD), (n_rules + 1, n_rules, 1))
+    start = np.tile(np.array([SILENT] * len(HIGH_IS_BAD) + [GOOD] * len(LOW_IS_BAD)), (n_rules + 1, 1, 1))
     for i in range(n_rules):
         start[i + 1, i] = OWN
     chance, share = start.copy(), np.append(0.85, np.full(n_rules, 0.15 / n_rules))
@@ -150,6 +152,7 @@ def fit_accuracies(patterns: list[tuple[str, int]], rounds: int = 200) -> tuple[
             share /= share.sum()
             done = np.abs(new - chance).max() < 1e-8
             chance = new
+            start[1:] = np.where(np.eye(n_rules)[:, :, None] > 0, start[1:], chance[0])  # but for its own rule, a kind is as the good ones until counts differ
             if done:
                 break
         size = counts @ _responsibility(votes, share, chance).T
