@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.operators.components import connected_components
-from loomstead.session import written
+from loomstead.session import written, written_buckets
 
 SKETCH_BITS = 20
 CHUNKS = 64
@@ -279,22 +280,26 @@ class _Sets:
     """
 
     def __init__(self, base: DataFrame, reps: DataFrame, width: int) -> None:
-        self.base, self.reps, self.width, self.held = base, reps, width, None
+        self.base, self.reps, self.width = base, reps, width
+        self.parts: list[DataFrame] = []  # tables bucketed by signature: joins on it move the other side only
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        if self.held is not None:
-            wanted = wanted.join(self.held.select("sig"), "sig", "left_anti")
+        """The sets of all signatures of ``pairs``, and perhaps others."""
+        asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        wanted = asked
+        for part in self.parts:
+            wanted = wanted.join(part.select("sig"), "sig", "left_anti")
         wanted = written(self.reps.join(wanted, "sig").select("sig", F.col("rep").alias("doc_id")))
-        if self.held is not None and not wanted.limit(1).count():
-            return self.held
-        tag = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).cast("int").alias("tag")
-        sieved = self.base.select("*", tag).join(F.broadcast(wanted.select(tag).distinct()), "tag", "left_semi")
-        texts = sieved.join(wanted.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-        sets = texts.mapInArrow(_sets(self.width), "sig bigint, items binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
-        sets = written(sets)
-        self.held = sets if self.held is None else self.held.union(sets)
-        return self.held
+        if not self.parts or wanted.limit(1).count():
+            tag = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).cast("int").alias("tag")
+            sieved = self.base.select("*", tag).join(F.broadcast(wanted.select(tag).distinct()), "tag", "left_semi")
+            texts = sieved.join(wanted.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+            sets = texts.mapInArrow(_sets(self.width), "sig bigint, items binary").join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+            self.parts.append(written_buckets(sets, int(self.base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig"))
+        if len(self.parts) == 1:
+            return self.parts[0]
+        asked = written(asked)
+        return reduce(DataFrame.union, [part.join(asked, "sig", "left_semi") for part in self.parts])
 
     def linked(self, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         """All pairs looked at, and those of them that are links."""
@@ -403,11 +408,12 @@ def _link_counts(named: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     ``COUNTED_ITEMS`` shingles at most; a task has two blocks and finds all their overlaps by products of incidence
     matrices; only sums leave it.
     """
-    if sets.held is None:
+    if not sets.parts:
         return named.sparkSession.createDataFrame([], "sig bigint, others bigint")
     sizes = named.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
     blocks = F.ceil(F.greatest(F.col("m") / COUNTED, F.col("all") / COUNTED_ITEMS)).cast("int")
-    held = named.join(sizes, "node").join(sets.held, "sig").select("node", "sig", "copies", "items", F.pmod(F.xxhash64("sig", F.lit(7)), blocks).cast("int").alias("b"), blocks.alias("blocks"))
+    named = written(named.join(sizes, "node"))
+    held = reduce(DataFrame.union, [named.join(part, "sig") for part in sets.parts]).select("node", "sig", "copies", "items", F.pmod(F.xxhash64("sig", F.lit(7)), blocks).cast("int").alias("b"), blocks.alias("blocks"))
     packed = held.groupBy("node", "b").applyInArrow(_packed, "node bigint, b int, blocks int, sigs binary, copies binary, sizes binary, items binary")
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"))))
     cells = packed.withColumn("cell", cell).select("node", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "b", "sigs", "copies", "sizes", "items")
