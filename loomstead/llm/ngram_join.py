@@ -24,7 +24,7 @@ documents form components.
 6. Where numbers of links are asked for, they are counted within components,
    block by block; no list of all pairs is made.
 
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes, whole sets by 56 bits of them.
 
 Defined results: texts without words (null, empty, white space) have an empty
 set and are components of their own; fewer than 3 words are one shingle;
@@ -230,6 +230,17 @@ def _index(width: int, code: bytes, frequent: int, percent: int):
     return run
 
 
+def pack_set(s: np.ndarray) -> bytes:
+    """A sorted set by the upper 56 bits of its hashes: differences by byte planes, compressed."""
+    steps = np.diff(s >> np.uint64(8), prepend=np.uint64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64))
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -237,7 +248,7 @@ def _sets(width: int):
             for at in range(0, batch.num_rows, 256):
                 some = [shingles(t) for t in batch.slice(at, 256).column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([signature(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], names=["sig", "items"]
+                    [pa.array([signature(s) for s in some], pa.int64()), pa.array([pack_set(s) for s in some], pa.binary())], names=["sig", "items"]
                 )
 
     return run
@@ -248,7 +259,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = batch.column(2), batch.column(3)
         both = []
         for i in range(batch.num_rows):
-            a, b = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
+            a, b = unpack_set(x[i].as_py()), unpack_set(y[i].as_py())
             if len(a) > len(b):
                 a, b = b, a
             at = np.searchsorted(b, a)
@@ -423,9 +434,10 @@ def _link_counts(named: DataFrame, sets: _Sets, percent: int) -> DataFrame:
 
 def _packed(table: pa.Table) -> pa.Table:
     """A block's sets in one compressed row: near copies have most of their shingles in common."""
-    sizes = np.array([len(x) // 8 for x in table.column("items").to_pylist()], np.int64)
+    sets = [unpack_set(x) for x in table.column("items").to_pylist()]
+    sizes = np.array([len(x) for x in sets], np.int64)
     zipped = lambda data: pa.array([zstandard.compress(data, 3)], pa.binary())
-    whole = {"sigs": table.column("sig").to_numpy().tobytes(), "copies": table.column("copies").to_numpy().tobytes(), "sizes": sizes.tobytes(), "items": b"".join(table.column("items").to_pylist())}
+    whole = {"sigs": table.column("sig").to_numpy().tobytes(), "copies": table.column("copies").to_numpy().tobytes(), "sizes": sizes.tobytes(), "items": np.concatenate(sets).tobytes()}
     return pa.table({c: table.column(c).slice(0, 1) for c in ("node", "b", "blocks")} | {c: zipped(v) for c, v in whole.items()})
 
 
