@@ -176,6 +176,21 @@ def test_classifiers_on_held_out_rows(spark, empty):
     assert toxicity.toxicity(empty, labels, learn_from=learn).count() == 0 and mil_quality.mil_quality(empty, labels, learn_from=learn).count() == 0
 
 
+def test_toxicity_voters_and_model():
+    lexicon = frozenset({"zorgish"}), frozenset({"blarg"})
+    names = lambda text: {v for v, i in toxicity._BIT.items() if toxicity.votes_of(text, toxicity.words_of(text), lexicon) >> i & 1}
+    assert names("calm words " * 30) == {"no_hit", "calm"} and names("CALM words! " * 30) == {"no_hit"} and names("short") == names("") == names(None) == set()
+    assert "disguised" in names("you i d i o t here") and "disguised" in names("such an 1d10t") and "disguised" not in names("a b c d and x86 4th")
+    assert {"repeated", "dense"} < names("zorgish blarging idiot") and names("zorgish " + "fine " * 80) & {"no_hit", "calm"} == {"calm"}
+    # Two of three toxic voters echo each other: their correlation is found, and a lone echo counts for less.
+    bit = lambda *vs: sum(1 << toxicity._BIT[v] for v in vs)
+    clean = bit("no_hit", "calm")
+    counts = {clean: 9000, bit("starting", "words0", "stems0"): 300, bit("starting", "stems0"): 60, bit("words1", "words2"): 80, bit("starting"): 20, 0: 100}
+    belief, rate, corr = toxicity.label_model(counts)
+    assert belief[clean] < 0.05 and belief[bit("starting", "words0", "stems0")] > 0.95
+    assert corr[toxicity._BIT["words1"], toxicity._BIT["words2"]] > 0.5 and rate[0, toxicity._BIT["no_hit"]] > rate[1, toxicity._BIT["no_hit"]]
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav>
 <header>Site</header><div class="cookie-notice">We use cookies</div><div class="sidebar"><p>Related words of the day and the week and the year in short and so on for long.</p></div>
 <article class="has-sidebar"><h1>The &amp; title</h1><p>First   paragraph<br>of the   text, which is rather long and has the words that are common in it.<p>Ok.
