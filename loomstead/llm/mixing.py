@@ -27,6 +27,7 @@ from loomstead.session import written
 
 CAP = 3
 EXACT = 50_000
+WORK = 1 << 31  # bits that a source's knapsack may hold: 256 MB
 BUCKETS = 64
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,8 +86,19 @@ def fill(sizes: list[int], counts: list[int], budget: int) -> dict[int, int]:
         if more > 0:
             take[s] += more
             rest -= more * s
+    near = _reach(take, left, rest)
+    miss = lambda got: abs(budget - sum(n * k for n, k in got.items()))
+    if miss(near) and (budget + max(sizes)) * sum(n.bit_length() for n in counts) <= WORK:
+        exact = _reach(dict.fromkeys(sizes, 0), left, budget)  # the even share may have barred the nearest sum
+        near = exact if miss(exact) < miss(near) else near
+    return near
+
+
+def _reach(taken: dict[int, int], left: dict[int, int], rest: int) -> dict[int, int]:
+    """``taken`` and what the bounded knapsack adds from the remaining documents to come nearest to ``rest`` more."""
+    take, sizes = dict(taken), list(taken)
     # The sums within reach of the rest, and those that end just past it.
-    top = min(rest + max(sizes), 4 * EXACT)
+    top = min(rest + max(sizes), max(4 * EXACT, WORK // sum(left[s].bit_length() for s in sizes)))
     mask = (1 << (top + 1)) - 1
     steps: list[tuple[int, int, int]] = []
     bits = 1

@@ -295,6 +295,20 @@ def test_fill_meets_budgets_it_can_meet():
     assert sum(s * n for s, n in mixing.fill([3, 5, 7], [100, 100, 100], 601).items()) == 601
 
 
+def test_fill_is_nearest():
+    """Against all choices, also where few large documents are to be taken or left."""
+    rng = random.Random(6)
+    cases = [([60_000, 400_000], [1, 1], 300_000), ([1000, 1_000_000], [100, 1], 700_000), ([300_000, 450_000, 500_000], [2, 1, 1], 700_000)]
+    cases += [([a, a + rng.randint(1, 200_000), a + 200_001], [rng.randint(0, 4) for _ in range(3)], rng.randint(1, 2_000_000)) for a in (rng.randint(1, 300_000) for _ in range(40))]
+    for sizes, counts, budget in cases:
+        sums = {0}
+        for s, n in zip(sizes, counts, strict=True):
+            sums = {t + s * k for t in sums for k in range(n + 1)}
+        took = mixing.fill(sizes, counts, budget)
+        assert all(0 <= took[s] <= n for s, n in zip(sizes, counts, strict=True))
+        assert abs(sum(s * k for s, k in took.items()) - budget) == min(abs(t - budget) for t in sums)
+
+
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
 def test_ngram_join(docs, empty, width, percent, monkeypatch):
     sets, parent = {}, {}
