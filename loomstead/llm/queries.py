@@ -66,4 +66,35 @@ QUERIES = {
     for f in (op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op5_surrogates, op6_decontaminate, op7_mixing, op8_ngram_join, op9_suffix_dedup, op10_toxicity)
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SHINGLE_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": f"""
+        WITH items AS (SELECT item_id, w, least(len(w), 10) AS size FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS i FROM items)),
+        docs AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+        places AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+        hits AS (SELECT doc_id, i, size, item_id FROM places JOIN windows USING (size, gram)),
+        words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS place FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op8_ngram_join": f"""
+        SELECT * FROM (WITH RECURSIVE docs AS (SELECT doc_id, {_SHINGLE_WORDS} AS w FROM documents),
+        sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs),
+        each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM each x JOIN each y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 90 GROUP BY ALL HAVING 100 * count(*) >= 90 * (max(x.n) + max(y.n) - count(*))),
+        reach(doc_id, place) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.place)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links FROM sets s JOIN (SELECT doc_id, min(place) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+        LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a) k USING (doc_id))""",
+    "op9_suffix_dedup": """
+        WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        places AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM docs WHERE length(h) >= 100)),
+        starts AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM places) WHERE first < doc_id),
+        turns AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM starts),
+        runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM turns) GROUP BY doc_id, run),
+        kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last FROM (SELECT r.*, d.h, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before FROM runs r JOIN docs d USING (doc_id)) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)""",
+}
