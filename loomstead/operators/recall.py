@@ -14,6 +14,7 @@ GONE = ("superseded", "deprecated", "rejected")  # fixed value: states that are
 SNIPPET = 240
 LIST_LIMIT, MAX_LIMIT, FULL_SCAN = 100, 100, 10_000
 BLOCK = 2048
+SALTS = 16
 
 
 def recallable() -> Column:
@@ -134,36 +135,38 @@ def cosine_strict(a: Column, b: Column) -> Column:
 
 def _blocked(seed: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of unit vectors of one arm, from rows sorted by arm and then seq."""
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                some = batch.slice(at, BLOCK).to_pydict()
-                ok = [i for i, v in enumerate(some["vector"]) if v]
-                v = np.array([some["vector"][i] for i in ok], np.float64)
-                if len(ok):
-                    norm = np.linalg.norm(v, axis=1, keepdims=True)
-                    v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([[some["seq"][i] for i in ok]], pa.list_(pa.int64())), pa.array([[some["arm"][i] for i in ok]], pa.list_(pa.string())),
-                         pa.array([v.tobytes()], pa.binary())], names=[f"{seed}_ids", f"{seed}_arms", f"{seed}_v"],
-                    )
+            arm = np.array(batch.column(1).to_pylist(), object)
+            cuts = [0, *(np.flatnonzero(arm[1:] != arm[:-1]) + 1).tolist(), batch.num_rows]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                for at in range(first, last, BLOCK):
+                    some = batch.slice(at, min(BLOCK, last - at)).to_pydict()
+                    ok = [i for i, v in enumerate(some["vector"]) if v]
+                    v = np.array([some["vector"][i] for i in ok], np.float64)
+                    if len(ok):
+                        norm = np.linalg.norm(v, axis=1, keepdims=True)
+                        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([some["arm"][0]]), pa.array([[some["seq"][i] for i in ok]], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary())],
+                            names=["arm", f"{seed}_ids", f"{seed}_v"],
+                        )
 
     return run
 
 
 def _scored(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best ``k`` of a block of points for each query of a block; of equal scores the least seq comes first, as blocks are sorted by it."""
         for batch in batches:
             for r in batch.to_pylist():
-                q, p = r["q_ids"], r["p_ids"]
+                q, p = np.array(r["q_ids"]), np.array(r["p_ids"])
                 s = np.frombuffer(r["q_v"]).reshape(len(q), -1) @ np.frombuffer(r["p_v"]).reshape(len(p), -1).T
-                fits = np.array(r["q_arms"], object)[:, None] == np.array(r["p_arms"], object)[None]
-                s = np.where(fits & (np.array(q)[:, None] != np.array(p)[None]) & (s >= least), s, -np.inf)
+                s = np.where((q[:, None] != p[None]) & (s >= least), s, -np.inf)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 rows, cols = np.nonzero(np.take_along_axis(s, top, 1) > -np.inf)
                 at = top[rows, cols]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(q)[rows], pa.int64()), pa.array(np.array(p)[at], pa.int64()), pa.array(s[rows, at])], names=["query", "seq", "score"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(q[rows], pa.int64()), pa.array(p[at], pa.int64()), pa.array(s[rows, at])], names=["query", "seq", "score"])
 
     return run
 
@@ -171,15 +174,17 @@ def _scored(k: int, least: float):
 def nearest(points: DataFrame, queries: DataFrame, k: int, *, arms: tuple[str, ...] = (), least: float = -1.0) -> DataFrame:
     """``query``, ``seq``, ``score``, ``rank``: the ``k`` nearest points by cosine for each query row, itself excepted.
 
-    Blocks of queries meet blocks of points; a pair of blocks is one matrix
-    product that yields ``k`` rows a query, which a ranked window then thins.
-    ``arms`` are columns that must be equal or both absent.
+    Blocks of queries meet blocks of points of their own arm; a pair of blocks
+    is one matrix product that yields ``k`` rows a query, which a ranked window
+    then thins.  ``arms`` are columns that must be equal or both absent.  An
+    arm's blocks of points are dealt over ``SALTS`` keys, so a hot arm is not one task.
     """
     arm = F.concat_ws("\u0001", F.lit(""), *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in arms)).alias("arm")
-    shape = lambda s: f"{s}_ids array<bigint>, {s}_arms array<string>, {s}_v binary"
-    p = points.select("seq", arm, "vector").mapInArrow(_blocked("p"), shape("p"))
-    q = queries.select("seq", arm, "vector").mapInArrow(_blocked("q"), shape("q"))
-    near = q.crossJoin(p).mapInArrow(_scored(k, least), "query bigint, seq bigint, score double")
+    shape = lambda s: f"arm string, {s}_ids array<bigint>, {s}_v binary"
+    blocks = lambda df, s: df.select("seq", arm, "vector").sortWithinPartitions("arm", "seq").mapInArrow(_blocked(s), shape(s))
+    p = blocks(points, "p").withColumn("salt", F.pmod(F.xxhash64("p_ids"), F.lit(SALTS)))
+    q = blocks(queries, "q").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    near = q.join(p, ["arm", "salt"]).select("q_ids", "q_v", "p_ids", "p_v").mapInArrow(_scored(k, least), "query bigint, seq bigint, score double")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "seq")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
