@@ -51,7 +51,10 @@ PATTERNS = {
 BEGIN = r"(?:(?<![A-Za-z0-9])|(?=\d)(?<=[A-Za-z])|(?=[MHFSг])(?<=\d))"
 ANY = (BEGIN + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")").replace(r"([ \-]?)\d{4}\1\d{4}\1\d{4}", r"(?:(?:\d{4}){3}|(?: \d{4}){3}|(?:-\d{4}){3})")
 
-# Given names by gender and syllables of surnames, by script.
+# Country calling codes (those of one and two digits; the others have three).
+CALLING_CODE = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+# Given names by gender and syllables of surnames, by script.
 GIVEN = {
     ("male", "latin"): "Adrian Bruno Casper Dario Emil Felix Gustav Hugo Ivo Jonas Karel Leon".split(),
     ("female", "latin"): "Alma Bianca Clara Dora Elsa Frida Greta Hanna Ida Johanna Klara Lena".split(),
@@ -78,7 +81,7 @@ def norm_of(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, r"\D", "")
     name = F.lower(F.regexp_replace(mention, rf"^(?:{MALE_TITLES}|{FEMALE_TITLES})\.? ", ""))
     return (
-        F.when(kind.isin("card", "phone", "ssn"), digits)
+        F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.when(mention.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.upper(F.regexp_replace(mention, " ", "")))
         .when(kind.isin("male", "female"), name)
         .otherwise(F.lower(mention))
@@ -117,7 +120,8 @@ def surrogate_of(kind: Column, norm: Column, attempt: Column) -> Column:
     h = _hash(kind, norm, attempt.cast("string"))
     domain = F.regexp_extract(norm, "@(.*)$", 1)
     stem, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    email = F.concat(_letters(F.regexp_extract(norm, "^(.*)@", 1), h), F.lit("@"), _letters(stem, _hash(F.lit("domain"), domain)), top)
+    more = F.substr(h, F.lit(1), F.floor(attempt / 20).cast("int"))  # where short names crowd, longer ones
+    email = F.concat(_letters(F.regexp_extract(norm, "^(.*)@", 1), h), more, F.lit("@"), _letters(stem, _hash(F.lit("domain"), domain)), top)
     octet = lambda i: (_pick(h, i, 254) + 1).cast("string")
     ip = F.concat_ws(".", octet(0), octet(1), octet(2), octet(3))
     card = _letters(F.substr(norm, F.lit(1), F.length(norm) - 1), h)
@@ -125,8 +129,9 @@ def surrogate_of(kind: Column, norm: Column, attempt: Column) -> Column:
     card = F.concat(card, last.cast("string"))
     iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _letters(F.substr(norm, F.lit(3)), h))
     secret = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.substr(h, (i % 64 + 1).cast("int"), F.lit(1))).otherwise(c)), "")
-    # Whole country codes stay, where the number had one: the first digit of the rest is not 0.
-    phone = _letters(norm, h)
+    # The country code stays, in whatever format the number is written.
+    code = F.regexp_extract(norm, CALLING_CODE, 0)
+    phone = F.concat(F.substr(code, F.lit(2)), _letters(F.substr(norm, F.length(code) + 1), h))
     names = None
     for script in ("cyrillic", "latin"):
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
@@ -156,10 +161,8 @@ def shaped(kind: Column, mention: Column, norm: Column, surrogate: Column) -> Co
     )
     title = F.regexp_extract(mention, rf"^((?:{MALE_TITLES}|{FEMALE_TITLES})\.? )", 1)
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(surrogate)).otherwise(surrogate)
-    code = F.length(F.regexp_extract(mention, r"^(\+\d{1,3})(?=[ .\-(])", 1))
-    number = F.concat(F.substr(mention, F.lit(1), code), F.substr(spread, code + 1))
     return (
-        F.when(kind == "phone", F.when(code > 0, number).otherwise(spread)).when(kind.isin("card", "ssn", "iban"), spread)
+        F.when(kind.isin("phone", "card", "ssn", "iban"), spread)
         .when(kind.isin("male", "female"), F.concat(title, surrogate)).otherwise(cased)
     )
 
@@ -170,17 +173,22 @@ def assign(entities: DataFrame) -> DataFrame:
     A round keeps, of the entities that got one surrogate, the least, if no
     entity and no surrogate kept before looks so; the others go on.
     """
+    # Names of either gender look alike, and no look depends on case.
+    look = lambda value: F.concat(F.when(F.col("kind").isin("male", "female"), "name").otherwise(F.col("kind")), F.lit(":"), F.lower(value))
+    plain = F.regexp_replace("norm", r"^\+", "")
     todo, kept = entities, None
-    taken = entities.select("kind", F.col("norm").alias("surrogate"))
+    taken = entities.select(look(plain).alias("look"))
     for attempt in range(ROUNDS):
-        made = written(todo.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("norm"), F.lit(attempt))))
-        first = made.withColumn("r", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("norm"))).where("r = 1").drop("r")
-        good = written(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "norm", "surrogate"))
-        kept = good if kept is None else kept.union(good)
+        made = todo.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("norm"), F.lit(attempt)))
+        made = written(made.withColumn("look", look(F.col("surrogate"))))
+        first = made.withColumn("r", F.row_number().over(Window.partitionBy("look").orderBy("norm", "kind"))).where("r = 1").drop("r")
+        good = written(first.join(taken, "look", "left_anti").select("kind", "norm", "surrogate", "look"))
+        told = good.select("kind", "norm", "surrogate")
+        kept = told if kept is None else kept.union(told)
         todo = written(made.select("kind", "norm").join(good, ["kind", "norm"], "left_anti"))
         if not todo.limit(1).count():
             return kept
-        taken = taken.union(good.select("kind", "surrogate"))
+        taken = taken.union(good.select("look"))
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 

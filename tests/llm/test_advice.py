@@ -93,3 +93,17 @@ def test_ngram_join_on_a_large_group_and_a_common_line(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.ngram_components(df, links=True).collect()}
     assert got == {i: (root(i), n_links[i]) for i in range(len(texts))}
+
+
+def test_surrogates_of_one_number_in_two_formats(spark):
+    rows = [(1, "call +1 (212) 555-0199 or +12125550199, in Berlin +49 30 1234567 or +49301234567."), (2, "+1-212-555-0199")]
+    got = [r.text for r in surrogates.replace_private(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    digits = lambda t: [re.sub(r"\D", "", x) for x in re.findall(r"\+[\d ()-]*\d", t)]
+    a, b, c, d = digits(got[0])
+    assert a == b == digits(got[1])[0] and c == d and a != "12125550199" and a[0] == "1" and c[:2] == "49" and c != "49301234567"
+
+
+def test_surrogate_names_differ_whatever_their_case_or_gender(spark):
+    names = [(i, f"{('Mr', 'Ms')[i % 2]} Karo{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
+    got = surrogates.replace_private(spark.createDataFrame(names, "doc_id bigint, text string")).collect()
+    assert len({r.text.split(" ", 1)[1].lower() for r in got}) == 300
