@@ -90,7 +90,7 @@ def votes_of(text: str | None, words: list[str], lexicon: tuple[frozenset, froze
     """Bit mask of the voters that don't abstain."""
     lexical, stems = lexicon
     found = set(words)
-    given, learnt, begun = found & STARTING_LEXICON, found & lexical, stems_of(found) & stems
+    given, learnt, begun = found & STARTING_LEXICON, found & lexical, stems_of(found) & stems if stems else set()
     fired = {f"words{_group(w)}" for w in learnt} | {f"stems{_group(s)}" for s in begun}
     if given:
         fired.add("starting")
@@ -197,9 +197,9 @@ def label_model(patterns: dict[int, int], rounds: int = 200) -> tuple[dict[int,
 
 
 def features_of(words: list[str]) -> np.ndarray:
-    """Slots of the distinct words and their beginnings."""
-    found = set(words)
-    names = found | {"~" + w for w in stems_of(found)}
+    """Slots of the distinct words and their beginnings (of the middle length)."""
+    found, n = set(words), STEMS[1]
+    names = found | {"~" + w[:n] for w in found if len(w) > n}
     return np.unique(np.fromiter((_slot(x) for x in names), np.int32, len(names)))
 
 
