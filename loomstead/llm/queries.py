@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstead.llm import decontaminate, html_blocks, mil_quality, mixing, ngram_join, quality_rules, suffix_dedup, surrogates, token_shards, toxicity
+from loomstead.llm import (
+    bpe_stream, decontaminate, html_blocks, mil_quality, mixing, ngram_join, quality_rules, resampling, suffix_dedup, surrogates, token_align,
+    token_shards, toxicity,
+)
 from loomstead.session import ship
 
 
@@ -61,15 +64,41 @@ def op10_toxicity(spark, sf_dir: str):
     return scored.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_bpe_stream(spark, sf_dir: str):
+    import public_tokenizers
+
+    return bpe_stream.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_token_align(spark, sf_dir: str):
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return token_align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op13_resampling(spark, sf_dir: str):
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op5_surrogates, op6_decontaminate, op7_mixing, op8_ngram_join, op9_suffix_dedup, op10_toxicity)
-}
+    for f in (
+        op1_quality_rules, op2_token_shards, op3_mil_quality, op4_html_blocks, op5_surrogates, op6_decontaminate, op7_mixing, op8_ngram_join, op9_suffix_dedup,
+        op10_toxicity, op11_bpe_stream, op12_token_align, op13_resampling,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SHINGLE_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+# crc32 of a word: its bytes one by one through the table of 256 remainders.
+_CRC = """(SELECT list(crc ORDER BY n) AS r FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(256) t(n)))"""
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, r[1 + (xor(c, b) & 255)])), 4294967295)"""
+
 ORACLES: dict[str, str] = {
     "op6_decontaminate": f"""
         WITH items AS (SELECT item_id, w, least(len(w), 10) AS size FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
@@ -97,4 +126,16 @@ ORACLES: dict[str, str] = {
         runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM turns) GROUP BY doc_id, run),
         kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last FROM (SELECT r.*, d.h, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before FROM runs r JOIN docs d USING (doc_id)) GROUP BY doc_id)
         SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(concat(coalesce(head, ''), substr(h, 2 * coalesce(last, 0) + 1)))) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op13_resampling": f"""
+        WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {_ITEM_WORDS} AS w FROM documents),
+        raw AS (SELECT k, unnest(w) AS word FROM docs), target AS (SELECT unnest({_ITEM_WORDS}) AS word FROM benchmark),
+        places AS (SELECT word, {_CRC32} % 10000 AS bucket FROM (SELECT word FROM raw UNION SELECT word FROM target), {_CRC}),
+        s AS (SELECT bucket, count(*) AS s FROM raw JOIN places USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM target JOIN places USING (word) GROUP BY bucket),
+        sums AS (SELECT (SELECT count(*) FROM raw) AS a, (SELECT count(*) FROM target) AS b),
+        gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (a + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (b + 10000)))) AS BIGINT) AS gain FROM range(10000) x(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums),
+        weights AS (SELECT k, sum(gain) AS total, count(*) AS n FROM raw JOIN places USING (word) JOIN gains USING (bucket) GROUP BY k),
+        scores AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(CAST((total - ((total % n) + n) % n) // n AS BIGINT), 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM docs LEFT JOIN weights USING (k)),
+        noisy AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scores),
+        ranked AS (SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM noisy)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN able AND place <= 10 * n // 100 THEN place END AS rank FROM ranked""",
 }
