@@ -171,6 +171,12 @@ def _scored(k: int, least: float):
     return run
 
 
+def arm_blocks(rows: DataFrame, seed: str, arms: tuple[str, ...]) -> DataFrame:
+    """Blocks of unit vectors (``arm``, ``<seed>_ids``, ``<seed>_v``) of rows whose ``arms`` are equal or absent alike."""
+    arm = F.concat_ws("\u0001", F.lit(""), *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in arms)).alias("arm")
+    return rows.select("seq", arm, "vector").sortWithinPartitions("arm", "seq").mapInArrow(_blocked(seed), f"arm string, {seed}_ids array<bigint>, {seed}_v binary")
+
+
 def nearest(points: DataFrame, queries: DataFrame, k: int, *, arms: tuple[str, ...] = (), least: float = -1.0) -> DataFrame:
     """``query``, ``seq``, ``score``, ``rank``: the ``k`` nearest points by cosine for each query row, itself excepted.
 
@@ -179,11 +185,8 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, *, arms: tuple[str, .
     then thins.  ``arms`` are columns that must be equal or both absent.  An
     arm's blocks of points are dealt over ``SALTS`` keys, so a hot arm is not one task.
     """
-    arm = F.concat_ws("\u0001", F.lit(""), *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in arms)).alias("arm")
-    shape = lambda s: f"arm string, {s}_ids array<bigint>, {s}_v binary"
-    blocks = lambda df, s: df.select("seq", arm, "vector").sortWithinPartitions("arm", "seq").mapInArrow(_blocked(s), shape(s))
-    p = blocks(points, "p").withColumn("salt", F.pmod(F.xxhash64("p_ids"), F.lit(SALTS)))
-    q = blocks(queries, "q").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    p = arm_blocks(points, "p", arms).withColumn("salt", F.pmod(F.xxhash64("p_ids"), F.lit(SALTS)))
+    q = arm_blocks(queries, "q", arms).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     near = q.join(p, ["arm", "salt"]).select("q_ids", "q_v", "p_ids", "p_v").mapInArrow(_scored(k, least), "query bigint, seq bigint, score double")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "seq")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

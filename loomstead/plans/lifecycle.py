@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead.functions import text as T
 from loomstead.operators import attribution as A
+from loomstead.operators import folds
 from loomstead.operators import recall as R
 from loomstead.operators import writes as W
 from loomstead.plans.memory import query
@@ -92,6 +93,25 @@ def _(points):
     return W.add_batch(facts, points.where("seq % 20 <> 0"), least=0.2, ceiling=0.6).groupBy("event").agg(F.count("*").alias("n"))
 
 
+def planted(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts to write and the store they meet: every point is written again in two near copies, one within the band and
+    one above it, some with its text; points of even seq are stored before."""
+    near = lambda by: F.transform("vector", lambda x, i: x.cast("double") + F.when(i % 2 == 0, by).otherwise(-by) * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")) / 64))
+    judged = points.where(R.not_system()).selectExpr("seq", "user_id", "lane", "persona", "status", "hash", "vector", "seq % 3 <> 0 AS contradicts", "CASE WHEN seq % 10 >= 4 THEN 0.9D ELSE 0.5D END AS confidence")
+    own = F.md5(F.col("seq").cast("string"))
+    plain = judged.withColumn("vector", F.transform("vector", lambda x: x.cast("double"))).withColumn("hash", own)
+    again = judged.withColumn("vector", near(0.45)).withColumn("seq", F.col("seq") * 2 + 1_000_000).withColumn("hash", F.when(F.col("seq") % 20 == 0, own).otherwise(F.md5(F.concat(own, F.lit("a")))))
+    close = judged.withColumn("vector", near(0.1)).withColumn("seq", F.col("seq") * 2 + 1_000_001).withColumn("hash", F.md5(F.concat(own, F.lit("b"))))
+    facts = plain.where("seq % 2 = 1").union(again).union(close)
+    return facts.drop("status"), plain.where("seq % 2 = 0")
+
+
+@query("m01_add_in_order", "points")
+def _(points):
+    """Facts written one after another, at the default threshold and band."""
+    return folds.add_in_order(*planted(points))
+
+
 _SAID = "CASE seq % 5 WHEN 0 THEN '{\"contradicts\": true, \"confidence\": 0.9}' WHEN 1 THEN concat('```json', chr(10), '{\"contradicts\": true, \"confidence\": 0.25}', chr(10), '```') WHEN 2 THEN 'no idea' WHEN 3 THEN '{\"contradicts\": false}' END AS said"
 
 
