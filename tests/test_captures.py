@@ -235,3 +235,28 @@ def test_commits_after_a_crash(spark, tmp_path, step, where):
         store.commit(rows.union(rows), k, {"p": 99})  # a batch in its place stays as it is
     assert sorted(r.id for r in store.rows().collect()) == list(range(20)) and store.cursors() == {"p": 1}
     assert json.loads((tmp_path / "cursors.json").read_text())["batch"] == 1 and not (tmp_path / "tmp/batch=1").exists()
+
+
+def test_queries(spark):
+    """The chunk and split queries against the plain loop, on whole tables."""
+    import hashlib
+
+    from loomstead import catalog
+    from loomstead.plans import streams
+    from loomstead.plans.tables import derived
+
+    sf, md5 = "/root/testdata/sf0.001", lambda b: hashlib.md5(b).hexdigest()
+    rows = sorted((r.project, r.file, r.start, r.iso, bytes(r.content)) for r in streams._log(derived(spark, sf, "turns")).collect())
+    want, text = set(), {}
+    for p in {r[0] for r in rows}:
+        for k, chunk in enumerate(chunk_one_by_one([r[1:] for r in rows if r[0] == p], 4096, C.FLOOR_BYTES)):
+            want |= {(p, k, *x[:-1], md5(x[-1])) for x in chunk}
+            text[p, k] = (max(x[3] for x in chunk), hashlib.sha256(b"".join(x[-1] for x in chunk)).hexdigest())
+    query = catalog.queries()
+    assert {tuple(r) for r in query["w08_byte_chunks"](spark, sf).collect()} == want
+    assert {(r.project, r.chunk): (r.covers_until, r.digest) for r in query["st3_chunks"](spark, sf).collect()} == text
+    marks = {(r.project, r.chunk): r.watermark for r in query["st4_watermarks"](spark, sf).collect()}
+    assert all(m == max(v[0] for (p, c), v in text.items() if p == k[0] and c <= k[1]) for k, m in marks.items()) and marks.keys() == text.keys()
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sorted(tuple(r) for r in query["f46_split_points"](spark, sf).collect())
+    assert [(d, k, md5(x)) for d in sorted(docs) for k, x in enumerate(C.pieces(docs[d], 4096))] == [(r[0], r[1], r[4]) for r in got]
