@@ -40,9 +40,8 @@ from pyspark.sql import functions as F
 from loomstead.session import written
 
 HOT = 1 << 16
-CACHE = 300_000
-LONG = 64
-BATCH_CHARS = 1 << 20
+CACHE = 400_000
+BATCH_CHARS = 1 << 19
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) (?=[\s\S])")
@@ -70,35 +69,77 @@ class Pair:
             raise ValueError("a piece of the second tokenizer goes on after a space")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple[list[int], list[int]] | None] = {}
+        self._forget()
 
-    def look_up(self, pieces: set[str]) -> dict:
-        """Ids of each piece after a space by both tokenizers, or None where they don't spell it."""
-        if len(self.known) > CACHE:
-            self.known.clear()
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.a_ids, self.b_ids = Table(), Table()
+        self.spelt = np.zeros(0, bool)
+
+    def look_up(self, pieces: list[str]) -> np.ndarray:
+        """The place of each piece in the tables, after the new ones among them were encoded."""
+        if len(self.known) > CACHE or max(self.a_ids.n, self.b_ids.n) > 16 * CACHE:
+            self._forget()
         known = self.known
-        if new := [p for p in pieces if p not in known]:
-            first = [e.ids for e in self.a.encode_batch([f" {p}" for p in new], add_special_tokens=False)]
+        if new := list(set(pieces).difference(known)):
+            first = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
             second = self.b.encode(new, num_threads=1)
-            for p, a, b in zip(new, first, second, strict=True):
-                text = f" {p}".encode()
-                spelt = b"".join(map(self.a_bytes.__getitem__, a)) == text == b"".join(map(self.b_bytes.__getitem__, b))
-                known[p] = (a, b) if spelt else None
-        return known
-
-    def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text by both tokenizers."""
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.spelt = np.concatenate([self.spelt, self._spelt([f" {p}".encode() for p in new], first, second)])
+            self.a_ids.add(first)
+            self.b_ids.add(second)
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _spelt(self, texts: list[bytes], first: list[list[int]], second: list[list[int]]) -> np.ndarray:
+        """Whether the bytes of both tokenizers' tokens are those of each text."""
+        spell = lambda ids, of: b"".join(map(of.__getitem__, ids))
+        sides = ((first, self.a_bytes, self.a_size), (second, self.b_bytes, self.b_size))
+        whole, sizes, good = b"".join(texts), np.fromiter(map(len, texts), np.int64), True
+        for ids, of, size in sides:
+            n = np.fromiter(map(len, ids), np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
+            good = good and np.array_equal(np.bincount(np.repeat(np.arange(len(n)), n), size[flat], len(n)), sizes) and spell(flat.tolist(), of) == whole
+        if good:
+            return np.ones(len(texts), bool)
+        return np.array([all(spell(ids[k], of) == t for ids, of, _ in sides) for k, t in enumerate(texts)])
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts by the first tokenizer and where each text's end, and the same by the second."""
         cut = [[] if not t else _CUT.split(t) if t[-1] == " " or t[0] == " " or _AFTER_SPACE.search(t) else t.split(" ") for t in texts]
-        known = self.look_up(set(chain.from_iterable(cut)))
-        first, second, none = [], [], np.zeros(0, np.int32)
-        for pieces in cut:
-            found = [known[p] for p in pieces]
-            good = None not in found
-            first.append(np.fromiter(chain.from_iterable(x[0] for x in found), np.int32) if good else none)
-            second.append(np.fromiter(chain.from_iterable(x[1] for x in found), np.int32) if good else none)
-        for p in {p for pieces in cut for p in pieces if len(p) > LONG}:
-            known.pop(p, None)
-        return first, second
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        place, doc = self.look_up(list(chain.from_iterable(cut))), np.repeat(np.arange(len(cut)), n)
+        bad = np.bincount(doc, ~self.spelt[place], len(cut)) > 0
+        place, doc = place[~bad[doc]], doc[~bad[doc]]
+        out = []
+        for table in (self.a_ids, self.b_ids):
+            ids, size = table.of(place)
+            out += [ids, np.cumsum(np.bincount(doc, size, len(cut))).astype(np.int64)]
+        return tuple(out)
+
+
+class Table:
+    """Lists of ids, one after another."""
+
+    def __init__(self) -> None:
+        self.flat, self.n, self.size, self.start = np.zeros(0, np.int32), 0, np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def add(self, lists: list[list[int]]) -> None:
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+        if self.n + len(ids) > len(self.flat):
+            room = np.zeros(max(1 << 16, 2 * (self.n + len(ids))), np.int32)
+            room[: self.n] = self.flat[: self.n]
+            self.flat = room
+        self.flat[self.n : self.n + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.n + np.cumsum(size, dtype=np.int64) - size])
+        self.size = np.concatenate([self.size, size])
+        self.n += len(ids)
+
+    def of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists at ``place``, and how many each has."""
+        size = self.size[place]
+        before = np.cumsum(size, dtype=np.int64) - size
+        return self.flat[np.repeat(self.start[place] - before, size) + np.arange(int(size.sum()))], size
 
 
 def byte_letters() -> list[str]:
@@ -113,12 +154,13 @@ def pair(first: str, second: str) -> Pair:
     return Pair(first, second)
 
 
-def _lists(ids: list[np.ndarray], size: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Ids and the ends of their bytes, as lists."""
-    offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-    ends = [np.cumsum(size[x]) for x in ids]
-    flat = lambda parts: pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, flat(ids)), pa.ListArray.from_arrays(offsets, flat(ends))
+def _lists(ids: np.ndarray, ends: np.ndarray, size: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Ids and the ends of their bytes, as a list a text."""
+    offsets = np.concatenate([[0], ends])
+    places = np.concatenate([[0], np.cumsum(size[ids])])
+    places = places[1:] - np.repeat(places[offsets[:-1]], np.diff(offsets))
+    offsets = pa.array(offsets.astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32)))
 
 
 def tokenised(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +174,8 @@ def tokenised(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if i < j:
                     part = batch.slice(i, j - i)
-                    a, b = both.tokens(part.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.column(0), *_lists(a, both.a_size), *_lists(b, both.b_size)], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                    a, a_ends, b, b_ends = both.tokens(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), *_lists(a, a_ends, both.a_size), *_lists(b, b_ends, both.b_size)], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -146,27 +188,32 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _marks(cuts: Column) -> Column:
-    """A byte for each byte of the text: what follows a token that ends there, ``;`` at a cut, else ``,``."""
-    return F.array_join(F.transform(cuts, lambda c, i: F.lpad(F.lit(";"), c - F.coalesce(F.get(cuts, i - 1), F.lit(0)), ",")), "").cast("binary")
+    """A byte for each byte of the text: ``;`` where it ends at a cut."""
+    return F.array_join(F.transform(cuts, lambda c, i: F.lpad(F.lit(";"), c - F.coalesce(F.get(cuts, i - 1), F.lit(0)), " ")), "").cast("binary")
+
+
+def _at_cuts(ends: Column, marks: Column) -> Column:
+    """The numbers, from 0, of the tokens that end at cuts."""
+    every = F.when(F.size(ends) > 0, F.sequence(F.lit(0), F.size(ends) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, lambda i: F.substring(marks, F.get(ends, i), F.lit(1)) == F.lit(b";"))
 
 
-def _written(ids: Column, ends: Column, marks: Column) -> Column:
-    """All ids as one text, each with its mark."""
-    return F.array_join(F.zip_with(ids, ends, lambda x, e: F.concat(x.cast("string"), F.substring(marks, e, F.lit(1)).cast("string"))), "")
+def _group(ids: Column, places: Column, k: Column) -> Column:
+    """The ids after the cut before the ``k``-th and up to it; most often one."""
+    before, here = F.coalesce(F.get(places, k - 1), F.lit(-1)), F.get(places, k)
+    return F.when(here == before + 1, F.get(ids, here)).otherwise(F.array_join(F.slice(ids, before + 2, here - before), ","))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """``doc_id``, ``n_a``, ``n_b``, ``links`` (a list of ``a << 32 | b``) and ``groups`` (a list of texts ``a1,a2|b1``) of each row of ``tokenised``."""
-    a, ae, b, be = (F.col(c) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))
-    parts = lambda m: F.struct(_written(a, ae, m).alias("a"), _written(b, be, m).alias("b"))
+    a, b = F.col("a_ids"), F.col("b_ids")
+    places = lambda m: F.struct(_at_cuts(F.col("a_ends"), m).alias("a"), _at_cuts(F.col("b_ends"), m).alias("b"))
     rows = tokens.select("*", F.array_intersect("a_ends", "b_ends").alias("cuts"))
-    rows = rows.select("doc_id", F.size(a).cast("bigint").alias("n_a"), F.size(b).cast("bigint").alias("n_b"), _let(_marks(F.col("cuts")), parts).alias("m"))
-    a, b = (F.split(f"m.{x}", ";").alias(x) for x in "ab")
-    rows = rows.select("doc_id", "n_a", "n_b", F.struct(a, b, (F.size(a) - 1).alias("n")).alias("at"))  # the last mark is followed by nothing
-    last = lambda x: F.substring_index(x, ",", -1).try_cast("bigint")
-    each = lambda use: F.slice(F.zip_with("at.a", "at.b", use), F.lit(1), F.col("at.n"))
+    rows = rows.select("doc_id", "a_ids", "b_ids", a.cast("array<string>").alias("a_text"), b.cast("array<string>").alias("b_text"), _let(_marks(F.col("cuts")), places).alias("at"))
+    link = lambda i, j: F.shiftleft(F.get(a, i).cast("bigint"), 32).bitwiseOR(F.get(b, j).cast("bigint"))
+    group = lambda _, k: F.concat(_group(F.col("a_text"), F.col("at.a"), k), F.lit("|"), _group(F.col("b_text"), F.col("at.b"), k))
     return rows.select(
-        "doc_id", "n_a", "n_b", each(lambda x, y: F.shiftleft(last(x), 32).bitwiseOR(last(y))).alias("links"), each(lambda x, y: F.concat(x, F.lit("|"), y)).alias("groups")
+        "doc_id", F.size(a).cast("bigint").alias("n_a"), F.size(b).cast("bigint").alias("n_b"), F.zip_with("at.a", "at.b", link).alias("links"), F.transform("at.a", group).alias("groups")
     )
 
 
