@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.operators.components import connected_components
@@ -58,3 +58,35 @@ def interlinks(edges: DataFrame) -> DataFrame:
     tri = wedges.join(e, ["src", "dst"])
     per = tri.select(F.explode(F.array("a", "src", "dst")).alias("src")).groupBy("src").agg(F.count("*").alias("interlinks"))
     return deg.join(per, "src", "left").select(F.col("src").alias("note"), F.col("d").alias("ring"), F.coalesce("interlinks", F.lit(0)).alias("interlinks"))
+
+
+def densest(edges: DataFrame) -> DataFrame:
+    """``note``, ``interlinks``, ``ring`` of the node with most edges among its neighbours (then most neighbours, then the least name), and
+    a row (``src``, ``dst``) for each edge among it and them.  Members are joined, never listed in one row; a graph without edges has none."""
+    e = undirected(edges)
+    top = F.broadcast(interlinks(e).orderBy(F.col("interlinks").desc(), F.col("ring").desc(), "note").limit(1))  # one row
+    both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    members = both.join(top, F.col("src") == F.col("note")).select(F.col("dst").alias("member")).union(top.select(F.col("note").alias("member")))
+    inside = e.join(members, F.col("src") == F.col("member"), "left_semi").join(members, F.col("dst") == F.col("member"), "left_semi")
+    return inside.join(top, F.lit(True)).select("note", "interlinks", "ring", "src", "dst")
+
+
+def spellings(name: Column) -> Column:
+    """A name as links may write it: as it is, with hyphens for underscores, and the other way round."""
+    return F.array(F.lower(name), F.lower(F.translate(name, "-", "_")), F.lower(F.translate(name, "_", "-")))
+
+
+def resolve_spellings(links: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (``src``, ``target``) as edges between notes (``key``, ``file``), and those whose target is no note.
+
+    A note answers to the spellings of its key and of its file's name; the first
+    note in order of keys has a spelling that several claim.  A target is
+    looked up as it is written, then with underscores, then with hyphens.
+    """
+    stem = F.regexp_replace("file", r"\.md$", "")
+    claimed = notes.select("key", F.explode(F.array_distinct(F.concat(spellings(F.col("key")), spellings(stem)))).alias("name"))
+    names = claimed.groupBy("name").agg(F.min("key").alias("dst"))
+    asked = links.select("src", "target").distinct().select("src", "target", F.posexplode(spellings(F.col("target"))).alias("place", "name"))
+    found = asked.join(names, "name").groupBy("src", "target").agg(F.min_by("dst", "place").alias("dst"))
+    met = links.join(found, ["src", "target"], "left")
+    return met.where("dst IS NOT NULL").select("src", "dst"), met.where("dst IS NULL").select("src", "target")

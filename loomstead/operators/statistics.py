@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.operators.scan import quantiles
+
 OUTCOMES = ("stored", "abstained", "deduped", "superseded", "error", "failed")  # fixed values
 
 
@@ -64,8 +66,12 @@ def corpus_by_project(points: DataFrame) -> DataFrame:
 def distribution(rows: DataFrame, value: Column, *by: str) -> DataFrame:
     """Count, least, greatest, mean and nearest-rank quantiles of the finite values."""
     finite = rows.withColumn("_v", value).where("_v IS NOT NULL AND NOT isnan(_v)")
-    rank = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY _v)").alias(f"p{int(q * 100)}") for q in (0.5, 0.95)]
-    return finite.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.round(F.avg("_v"), 6).alias("mean"), *rank)
+    summed = finite.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.round(F.avg("_v"), 6).alias("mean"))
+    ranks = quantiles(finite, list(by), "_v", {"p50": 0.5, "p95": 0.95})
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}"))
+    return summed.alias("s").join(ranks.alias("q"), same).select("s.*", "q.p50", "q.p95")
 
 
 def histogram(rows: DataFrame, value: Column, bounds: tuple[float, ...], *by: str) -> DataFrame:

@@ -10,6 +10,7 @@ from loomstead.operators import attribution as A
 from loomstead.operators import folds
 from loomstead.operators import recall as R
 from loomstead.operators import writes as W
+from loomstead.operators.scan import running
 from loomstead.plans.memory import query
 
 # Expressions that both engines read alike: what callers send and what a judge says.
@@ -320,30 +321,30 @@ def _(points):
 # ---- Decisions --------------------------------------------------------------
 
 _FRONT = (
-    "concat('---', chr(10), 'id: ', lpad(CAST(k AS STRING), 4, '0'), '-some-choice', chr(10), 'title: \"Choice ', CAST(k AS STRING), '\"', chr(10), 'status: ', CASE WHEN k % 4 = 0 THEN 'superseded' ELSE 'accepted' END, chr(10), 'supersedes: ', "
-    "CASE k % 3 WHEN 0 THEN concat('[\"', lpad(CAST(k + 7 AS STRING), 4, '0'), '-x\", ', lpad(CAST(k AS STRING), 4, '0'), ']') WHEN 1 THEN concat(chr(10), '  - ', lpad(CAST(k + 3000 AS STRING), 4, '0'), '-gone') ELSE '~' END, chr(10), 'superseded_by: ', "
-    "CASE WHEN k % 5 = 0 THEN concat(lpad(CAST(k + 1 AS STRING), 4, '0'), '-next') ELSE 'null' END, chr(10), '---', chr(10), 'Body') AS text"
+    "concat('---', chr(10), 'id: ', lpad(CAST(k % 10000 AS STRING), 4, '0'), '-some-choice', chr(10), 'title: \"Choice ', CAST(k AS STRING), '\"', chr(10), 'status: ', CASE WHEN k % 4 = 0 THEN 'superseded' ELSE 'accepted' END, chr(10), 'supersedes: ', "
+    "CASE k % 3 WHEN 0 THEN concat('[\"', lpad(CAST((k + 7) % 10000 AS STRING), 4, '0'), '-x\", ', lpad(CAST(k % 10000 AS STRING), 4, '0'), ']') WHEN 1 THEN concat(chr(10), '  - ', lpad(CAST((k + 3000) % 10000 AS STRING), 4, '0'), '-gone') ELSE '~' END, chr(10), 'superseded_by: ', "
+    "CASE WHEN k % 5 = 0 THEN concat(lpad(CAST((k + 1) % 10000 AS STRING), 4, '0'), '-next') ELSE 'null' END, chr(10), '---', chr(10), 'Body') AS text"
 )
-_DECISIONS = "(SELECT lpad(CAST(k AS STRING), 4, '0') AS key, k % 3 AS m, k FROM notes WHERE k < 3000)"
+_DECISIONS = "(SELECT lpad(CAST(k % 10000 AS STRING), 4, '0') AS key, k % 3 AS m, k FROM notes)"
 
 
 @query(
     "f49_decision_front_matter", "notes",
-    f"SELECT key, concat('Choice ', CAST(k AS STRING)) AS title, CASE WHEN k % 4 = 0 THEN 'superseded' ELSE 'accepted' END AS status, CASE m WHEN 0 THEN concat(lpad(CAST(k + 7 AS STRING), 4, '0'), ',', key) WHEN 1 THEN lpad(CAST(k + 3000 AS STRING), 4, '0') ELSE '' END AS supersedes, "
-    f"CASE WHEN k % 5 = 0 THEN lpad(CAST(k + 1 AS STRING), 4, '0') END AS superseded_by FROM {_DECISIONS}",
+    f"SELECT key, concat('Choice ', CAST(k AS STRING)) AS title, CASE WHEN k % 4 = 0 THEN 'superseded' ELSE 'accepted' END AS status, CASE m WHEN 0 THEN concat(lpad(CAST((k + 7) % 10000 AS STRING), 4, '0'), ',', key) WHEN 1 THEN lpad(CAST((k + 3000) % 10000 AS STRING), 4, '0') ELSE '' END AS supersedes, "
+    f"CASE WHEN k % 5 = 0 THEN lpad(CAST((k + 1) % 10000 AS STRING), 4, '0') END AS superseded_by FROM {_DECISIONS}",
 )
 def _(notes):
-    d = W.decisions(notes.where("k < 3000").selectExpr("note AS name", _FRONT))
+    d = W.decisions(notes.selectExpr("note AS name", _FRONT))
     return d.select("key", "title", "status", F.array_join("supersedes", ",").alias("supersedes"), "superseded_by")
 
 
 @query(
     "g09_decision_graph", "notes",
-    f"SELECT DISTINCT src, dst, dst NOT IN (SELECT key FROM {_DECISIONS}) OR src NOT IN (SELECT key FROM {_DECISIONS}) AS dangling FROM (SELECT key AS src, lpad(CAST(k + 7 AS STRING), 4, '0') AS dst FROM {_DECISIONS} WHERE m = 0 UNION ALL SELECT key, lpad(CAST(k + 3000 AS STRING), 4, '0') FROM {_DECISIONS} WHERE m = 1 "
-    f"UNION ALL SELECT lpad(CAST(k + 1 AS STRING), 4, '0'), key FROM {_DECISIONS} WHERE k % 5 = 0) WHERE src <> dst",
+    f"SELECT DISTINCT src, dst, dst NOT IN (SELECT key FROM {_DECISIONS}) OR src NOT IN (SELECT key FROM {_DECISIONS}) AS dangling FROM (SELECT key AS src, lpad(CAST((k + 7) % 10000 AS STRING), 4, '0') AS dst FROM {_DECISIONS} WHERE m = 0 UNION ALL SELECT key, lpad(CAST((k + 3000) % 10000 AS STRING), 4, '0') FROM {_DECISIONS} WHERE m = 1 "
+    f"UNION ALL SELECT lpad(CAST((k + 1) % 10000 AS STRING), 4, '0'), key FROM {_DECISIONS} WHERE k % 5 = 0) WHERE src <> dst",
 )
 def _(notes):
-    return W.decision_graph(W.decisions(notes.where("k < 3000").selectExpr("note AS name", _FRONT)))
+    return W.decision_graph(W.decisions(notes.selectExpr("note AS name", _FRONT)))
 
 
 @query(
@@ -368,8 +369,8 @@ def _(notes):
 )
 def _(turns):
     """Turns without a header of their own carry the time of the last one that has one."""
-    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return turns.select("conv_id", "turn", F.last(F.when(F.col("turn") % 3 == 0, F.col("turn")), ignorenulls=True).over(so_far).alias("carried"))
+    headed = F.when(F.col("turn") % 3 == 0, F.col("turn"))
+    return running(turns, ["conv_id"], ["turn", "role", "text"], headed, "last", "carried").select("conv_id", "turn", "carried")
 
 
 @query(

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from loomstead.functions import text as T
 from loomstead.operators import attribution as A
+from loomstead.operators import graph as G
 from loomstead.operators import measures as M
 from loomstead.operators import recall as R
 from loomstead.operators import retrieval as V
+from loomstead.operators.scan import quantiles
 from loomstead.plans.memory import query
 
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, k) AS rank FROM judged"
@@ -213,15 +215,17 @@ def _(captures, attached):
 
 @query(
     "g07_densest", "notes",
-    "SELECT * FROM (WITH l AS (SELECT DISTINCT least(note, a) AS src, greatest(note, a) AS dst FROM notes WHERE note <> a), b AS (SELECT src, dst FROM l UNION ALL SELECT dst, src FROM l), r AS (SELECT src AS note, count(*) AS ring FROM b GROUP BY 1) SELECT note, CAST(ring AS BIGINT) AS ring, (SELECT string_agg(dst, ',' ORDER BY dst) FROM b WHERE b.src = r.note) AS members FROM r ORDER BY ring DESC, note LIMIT 1)",
+    "SELECT * FROM (WITH l AS (SELECT DISTINCT least(note, x) AS src, greatest(note, x) AS dst FROM (SELECT note, a AS x FROM notes UNION ALL SELECT note, b FROM notes) WHERE note <> x AND x IN (SELECT note FROM notes)), "
+    "b AS (SELECT src, dst FROM l UNION ALL SELECT dst, src FROM l), r AS (SELECT src AS note, count(*) AS ring FROM b GROUP BY 1), "
+    "i AS (SELECT x.src AS note, count(*) AS interlinks FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN l ON l.src = x.dst AND l.dst = y.dst GROUP BY 1), "
+    "top AS (SELECT note, CAST(coalesce(interlinks, 0) AS BIGINT) AS interlinks, CAST(ring AS BIGINT) AS ring FROM r LEFT JOIN i USING (note) ORDER BY 2 DESC, 3 DESC, 1 LIMIT 1) "
+    "SELECT t.note, t.interlinks, t.ring, l.src, l.dst FROM top t, l WHERE (l.src = t.note OR l.src IN (SELECT dst FROM b WHERE b.src = t.note)) AND (l.dst = t.note OR l.dst IN (SELECT dst FROM b WHERE b.src = t.note)))",
 )
 def _(notes):
-    """The note with most neighbours, and who they are."""
-    edges = notes.where("note <> a").select(F.least("note", "a").alias("src"), F.greatest("note", "a").alias("dst")).distinct()
-    both = edges.union(edges.select("dst", "src"))
-    top = both.groupBy(F.col("src").alias("note")).agg(F.count("*").alias("ring")).orderBy(F.col("ring").desc(), "note").limit(1)
-    members = both.join(F.broadcast(top), F.col("src") == F.col("note"))  # one row
-    return members.groupBy("note", "ring").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("members"))
+    """The note whose neighbours are most linked with one another (then most neighbours, then first), and every edge among it and them."""
+    links = notes.select("note", F.col("a").alias("x")).union(notes.select("note", "b"))
+    edges = G.undirected(links.join(notes.select(F.col("note").alias("x")), "x").select(F.col("note").alias("src"), F.col("x").alias("dst")))
+    return G.densest(edges)
 
 
 @query(
@@ -229,9 +233,10 @@ def _(notes):
     "SELECT level, round(min(cost), 4) AS least, round(quantile_cont(cost, 0.05), 4) AS p5, round(quantile_cont(cost, 0.25), 4) AS p25, round(quantile_cont(cost, 0.5), 4) AS median, round(quantile_cont(cost, 0.75), 4) AS p75, round(quantile_cont(cost, 0.95), 4) AS p95, round(max(cost), 4) AS most, round(avg(cost), 4) AS mean FROM judged GROUP BY level",
 )
 def _(judged):
-    p = F.percentile("cost", [0.05, 0.25, 0.5, 0.75, 0.95])
-    s = judged.groupBy("level").agg(p.alias("p"), *(F.round(f("cost"), 4).alias(n) for f, n in ((F.min, "least"), (F.max, "most"), (F.avg, "mean"))))
-    return s.select("level", "least", *(F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p5", "p25", "median", "p75", "p95"))), "most", "mean")
+    shares = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    s = judged.groupBy("level").agg(*(F.round(f("cost"), 4).alias(n) for f, n in ((F.min, "least"), (F.max, "most"), (F.avg, "mean"))))
+    ranks = quantiles(judged, ["level"], "cost", shares, interpolated=True).select("level", *(F.round(n, 4).alias(n) for n in shares))
+    return s.join(ranks, "level").select("level", "least", *shares, "most", "mean")
 
 
 @query(

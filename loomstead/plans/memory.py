@@ -13,6 +13,7 @@ from loomstead.operators import graph as G
 from loomstead.operators import recall as R
 from loomstead.operators import retrieval as V
 from loomstead.operators import statistics as S
+from loomstead.operators.scan import running
 from loomstead.plans.tables import derived, with_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,6 +357,26 @@ def _(notes):
     return _edges(notes)
 
 
+_SPELT = "CASE k % 4 WHEN 0 THEN concat('Note-', k) WHEN 1 THEN concat('note_', k) WHEN 2 THEN concat('My-', k, '_x') ELSE concat('N', k) END"
+
+
+@query(
+    "j10_spellings", "notes",
+    f"SELECT * FROM (WITH n AS (SELECT {_SPELT} AS key, CASE WHEN k % 5 = 0 THEN concat('File_', k, '-y.md') ELSE concat({_SPELT}, '.md') END AS file, k, a FROM notes), "
+    "s AS (SELECT key, unnest([lower(key), lower(replace(key, '-', '_')), lower(replace(key, '_', '-')), lower(replace(file, '.md', '')), lower(replace(replace(file, '.md', ''), '-', '_')), lower(replace(replace(file, '.md', ''), '_', '-'))]) AS name FROM n), "
+    "m AS (SELECT name, min(key) AS dst FROM s GROUP BY 1), "
+    "l AS (SELECT key AS src, CASE k % 3 WHEN 0 THEN upper(concat('note-', k + 4 - k % 4)) WHEN 1 THEN concat('my_', k + 2, '-X') ELSE concat('file-', k + 5 - k % 5, '_Y') END AS target FROM n) "
+    "SELECT l.src, l.target, coalesce(a.dst, b.dst, c.dst) AS dst FROM l LEFT JOIN m a ON a.name = lower(l.target) LEFT JOIN m b ON b.name = lower(replace(l.target, '-', '_')) LEFT JOIN m c ON c.name = lower(replace(l.target, '_', '-')))",
+)
+def _(notes):
+    """Links find notes by six spellings of their key and file; null where none fits."""
+    n = notes.selectExpr(f"{_SPELT} AS key", f"CASE WHEN k % 5 = 0 THEN concat('File_', k, '-y.md') ELSE concat({_SPELT}, '.md') END AS file", "k")
+    links = n.selectExpr("key AS src", "CASE k % 3 WHEN 0 THEN upper(concat('note-', k + 4 - k % 4)) WHEN 1 THEN concat('my_', k + 2, '-X') ELSE concat('file-', k + 5 - k % 5, '_Y') END AS target")
+    met, lost = G.resolve_spellings(links, n)
+    named = links.join(met.distinct(), "src", "left")
+    return named.select("src", "target", "dst")
+
+
 def _edges(notes: DataFrame) -> DataFrame:
     links = notes.select(F.col("note").alias("src"), F.col("a").alias("target")).union(notes.where("b IS NOT NULL").select("note", "b"))
     return G.resolve_links(links, notes.select("alias", "note", F.col("k").alias("order")))[0]
@@ -799,8 +820,7 @@ def _(signals):
 
 @query("w06_running_watermark", "captures", "SELECT user_id, seq, max(created_at) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS watermark FROM captures")
 def _(captures):
-    w = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return captures.select("user_id", "seq", F.max("created_at").over(w).alias("watermark"))
+    return running(captures, ["user_id"], ["seq"], F.col("created_at"), "max", "watermark").select("user_id", "seq", "watermark")
 
 
 @query(
