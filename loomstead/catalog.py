@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomstead.plans import evaluation, lifecycle, measures, memory, streams  # noqa: F401  (they add their queries to the registry of memory)
+from loomstead.plans import evaluation, lifecycle, measures, memory, shapes, streams  # noqa: F401  (they add their queries to the registry of memory)
 
 FLAGSHIP = "j03_similarity_topk"
 

@@ -6,9 +6,14 @@ import re
 from dataclasses import dataclass
 from datetime import UTC, date, datetime, time, timedelta
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MONTHS = "january february march april may june july august september october november december".split()  # fixed values
 _UNITS = {"day": 1, "week": 7}
 READ = 512
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
 @dataclass(frozen=True)
@@ -93,3 +98,17 @@ def parse_window(query: str, now: datetime) -> Window | None:
         if m := re.search(rf"\b{phrase}\b", text):
             return Window(start, end, phrase.replace(" ", "_"), m[0], anchored)
     return None
+
+
+def windows(query: Column, now: Column) -> Column:
+    """``kind``, ``start_ms``, ``end_ms`` and ``now_anchored`` of the window in each query's words as of ``now``; null where there is none."""
+
+    @F.pandas_udf("kind string, start_ms bigint, end_ms bigint, now_anchored boolean")
+    def read(queries: pd.Series, times: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q, ms in zip(queries, times, strict=True):
+            at = None if q is None or pd.isna(ms) else parse_window(q, datetime.fromtimestamp(ms / 1000, UTC))
+            rows.append((at.kind, *(round((t - _EPOCH) / timedelta(milliseconds=1)) for t in (at.start, at.end)), at.now_anchored) if at else (None, None, None, None))
+        return pd.DataFrame(rows, columns=["kind", "start_ms", "end_ms", "now_anchored"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
+
+    return read(query.cast("string"), F.unix_millis(now.cast("timestamp")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,6 +132,27 @@ def rare_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\w.-]+@[\w.-]+|\d{3,}"), F.lit(0))
 
 
+# What makes a word an entity by its shape alone.
+ENTITY_SHAPES = (
+    r"^[\w.-]+@[\w.-]+$", r"^@\w+$", r"^[A-Za-z0-9-]+\.[A-Za-z]{2,}(/[\w./-]*)?$", r"^(?:.*[a-zA-Z].*[\\/].*|.*[\\/].*[a-zA-Z].*)$", r"^[A-Z]{2,5}$",
+    r"^[A-Za-z0-9+/=]*(?:[0-9][A-Za-z0-9+/=]*[A-Za-z]|[A-Za-z][A-Za-z0-9+/=]*[0-9])[A-Za-z0-9+/=]*$",
+)
+EDGES = r"^[('\"`‘“…]+|[)'\"`,.;:!?’”]+$"
+
+
+def entity_tokens(text: Column) -> Column:
+    """Words shaped like a mail address, handle, domain, path, short name in capitals or code of letters and digits, without
+    marks at their edges, and numbers of three digits or more; each once."""
+    bare = F.transform(F.split(text, r"[ \t\n\f\r]+"), lambda w: F.regexp_replace(w, EDGES, ""))
+    least = {3: 4, 5: 12}
+
+    def shaped(w: Column) -> Column:
+        hits = [w.rlike(p) & (F.length(w) >= least.get(i, 1)) for i, p in enumerate(ENTITY_SHAPES)]
+        return reduce(or_, hits)
+
+    return F.array_distinct(F.concat(F.filter(bare, shaped), F.regexp_extract_all(text, F.lit(r"\d{3,}"), F.lit(0))))
+
+
 def capped(text: Column, limit: int) -> Column:
     """The first ``limit`` characters and a mark that more followed."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n..."))).otherwise(text)

@@ -118,6 +118,40 @@ def point_reactions(attached: DataFrame) -> DataFrame:
     return met.groupBy("point_id").agg(F.sum("s.n").alias("reaction_count"), F.array_join(F.array_distinct(F.transform(kinds, lambda x: x["kind"])), ",").alias("kinds"))
 
 
+# Messages a capture keeps, the highest count and the number and length of kinds a point shows.
+MESSAGES, MOST, KINDS, KIND_CHARS = 64, 1000, 16, 64
+
+
+def reaction_state(placed: DataFrame, messages: int = MESSAGES) -> tuple[DataFrame, DataFrame]:
+    """State of each capture's messages and the rows refused, from (capture_id, message_id, seq, n, kind) in order of ``seq``.
+
+    The last count of a message stands; a message that would be one too many
+    for its capture is refused, whenever it comes again.
+    """
+    last = placed.groupBy("capture_id", "message_id").agg(F.min("seq").alias("first"), F.max_by(F.struct("n", "kind"), "seq").alias("s"))
+    place = F.row_number().over(Window.partitionBy("capture_id").orderBy("first"))
+    kept = last.withColumn("place", place).where(F.col("place") <= messages).select("capture_id", "message_id", "s.n", "s.kind")
+    return kept, placed.join(kept.select("capture_id", "message_id"), ["capture_id", "message_id"], "left_anti")
+
+
+def annotate_points(state: DataFrame, refs: DataFrame, points: DataFrame) -> DataFrame:
+    """``id``, ``reaction_count`` and ``reaction_types`` of each point that the reactions of its captures reach.
+
+    A capture's requested points (capture_id, point_id, seq) are followed to the
+    points that stand for them now; the captures of one such point add up,
+    each once; kinds come in order of attachment, then of message.  A sum of
+    nothing writes nothing, and what is written keeps within bounds.
+    """
+    ends = chase(points).where("terminal IS NOT NULL").withColumnRenamed("id", "point_id")
+    held = refs.join(ends, "point_id").groupBy("terminal", "capture_id").agg(F.min("seq").alias("first"))
+    met = held.join(state, "capture_id")
+    total = met.groupBy("terminal").agg(F.sum("n").alias("total")).where("total >= 1")
+    kinds = met.where("kind IS NOT NULL").groupBy("terminal", "kind").agg(F.min(F.struct("first", "message_id")).alias("at"))
+    some = kinds.withColumn("k", F.row_number().over(Window.partitionBy("terminal").orderBy("at"))).where(F.col("k") <= KINDS)
+    told = some.groupBy("terminal").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "kind"))), lambda x: F.substring(x["kind"], 1, KIND_CHARS)).alias("reaction_types"))
+    return total.join(told, "terminal", "left").select(F.col("terminal").alias("id"), F.least("total", F.lit(MOST)).alias("reaction_count"), "reaction_types")
+
+
 def merge_older(facts: DataFrame) -> DataFrame:
     """Duplicates of one user, hash, lane and persona fold into the oldest: its text stays, projects are
     united in order, the count grows."""

@@ -136,3 +136,20 @@ def test_wide_columns_of_text(spark):
     text = "é€😀a\n" * 700
     r = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(T.byte_pieces(F.col("t"), 64).alias("p")).collect()
     assert "".join(r[0].p) == text and max(len(x.encode()) for x in r[0].p) <= 64 and r[1].p == [] and not r[2].p
+
+
+def test_messages_of_a_capture_are_capped(spark):
+    rows = [("c", f"m{i}", i, 1, "heart") for i in range(70)] + [("c", "m3", 100, 5, "star"), ("c", "m69", 101, 9, "star"), ("d", "m1", 5, 2, None)]
+    kept, refused = attribution.reaction_state(spark.createDataFrame(rows, "capture_id string, message_id string, seq long, n long, kind string"))
+    got = {(r.capture_id, r.message_id): (r.n, r.kind) for r in kept.collect()}
+    assert len(got) == 65 and got["c", "m3"] == (5, "star") and got["d", "m1"] == (2, None) and ("c", "m64") not in got
+    assert sorted((r.message_id, r.seq) for r in refused.collect()) == sorted([*((f"m{i}", i) for i in range(64, 70)), ("m69", 101)])
+
+
+def test_annotated_points_stay_in_bounds(spark):
+    state = spark.createDataFrame([("c1", f"m{i:02d}", 60, f"{i:02d}" + "x" * 80) for i in range(20)] + [("c2", "z", 0, "none"), ("c3", "y", 1, None)], "capture_id string, message_id string, n long, kind string")
+    refs = spark.createDataFrame([("c1", "old", 1), ("c1", "new", 2), ("c2", "zero", 3), ("c3", "gone", 4), ("c3", "plain", 5)], "capture_id string, point_id string, seq long")
+    points = spark.createDataFrame([("old", "superseded", "new"), ("new", None, None), ("zero", None, None), ("gone", "superseded", "lost"), ("plain", None, None)], "id string, status string, superseded_by string")
+    got = {r.id: (r.reaction_count, r.reaction_types) for r in attribution.annotate_points(state, refs, points).collect()}
+    assert got["new"][0] == 1000 and len(got["new"][1]) == 16 and all(len(k) == 64 for k in got["new"][1]) and got["new"][1][0].startswith("00x")
+    assert got["plain"] == (1, None) and got.keys() == {"new", "plain"}
