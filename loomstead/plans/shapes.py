@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from loomstead.functions import temporal
 from loomstead.functions import text as T
 from loomstead.operators import attribution as A
 from loomstead.plans.memory import query
+from loomstead.session import shared_dir
+from loomstead.sources.versions import Index, lookup
 
 _PHRASE = (
     "CASE k % 17 WHEN 0 THEN 'on 2024-02-31 or yesterday' WHEN 1 THEN concat('what was on ', CAST(day AS STRING)) WHEN 2 THEN concat('all since ', CAST(day AS STRING)) WHEN 3 THEN 'trips in March' "
@@ -95,3 +99,15 @@ def _(spark, sf_dir):
     found = docs.select("doc_id", T.entity_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     # Both engines order by bytes.
     return found.select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort("tokens"), " ")).alias("digest"))
+
+
+@query(
+    "s31_indexed_lookup", "points",
+    "SELECT seq, lane, persona, hash FROM points WHERE hash IN (md5('fact 7'), md5('fact 91'), md5('none'))",
+)
+def _(points):
+    """Points by their hash, from an index sorted by lane and persona with Bloom filters on hashes."""
+    index = Index(points.sparkSession, shared_dir(points.sparkSession))
+    rows = points.select("seq", "lane", "persona", "hash")
+    index.swap(index.stage(rows, by=("lane", "persona"), looked_up=("hash",)), {"provider": "local", "model": "m1", "dimension": 64}, rows.count(), 0)
+    return lookup(index.read(), [hashlib.md5(f.encode()).hexdigest() for f in ("fact 7", "fact 91", "none")])
