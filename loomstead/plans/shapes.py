@@ -11,6 +11,7 @@ from loomstead.functions import text as T
 from loomstead.operators import attribution as A
 from loomstead.plans.memory import query
 from loomstead.session import shared_dir
+from loomstead.sources import vault
 from loomstead.sources.versions import Index, lookup
 
 _PHRASE = (
@@ -111,3 +112,62 @@ def _(points):
     rows = points.select("seq", "lane", "persona", "hash")
     index.swap(index.stage(rows, by=("lane", "persona"), looked_up=("hash",)), {"provider": "local", "model": "m1", "dimension": 64}, rows.count(), 0)
     return lookup(index.read(), [hashlib.md5(f.encode()).hexdigest() for f in ("fact 7", "fact 91", "none")])
+
+
+# ---- Vaults: tables written out as files and read again ----------------------
+
+
+def _suppliers(spark, sf_dir, *folders: str):
+    """Suppliers as documents of a vault, the later folders with every fifth of them."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    front = F.create_map(F.lit("id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.lit("title"), F.col("s_name"))
+    docs = s.select("s_suppkey", vault.render(front, F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string"), F.lit("\n"))).alias("text"))
+    root = shared_dir(spark)
+    for i, folder in enumerate(folders):
+        some = docs.where(F.col("s_suppkey") % 5 == 0) if i else docs
+        vault.write_vault(some.select(F.concat(F.lit(f"{folder}/n"), (F.col("s_suppkey") % 3).cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".md")).alias("path"), "text"), root)
+    return vault.read_vault(spark, root)
+
+
+@query(
+    "s08_vault_round_trip", "",
+    "SELECT concat('s', s_suppkey) AS doc_id, concat('s', s_suppkey) AS id, s_name AS title, 'native' AS source, concat('Nation ', s_nationkey, chr(10)) AS body, "
+    "CAST(octet_length(encode(concat('---', chr(10), 'id: s', s_suppkey, chr(10), 'source: native', chr(10), 'title: ', s_name, chr(10), '---', chr(10), 'Nation ', s_nationkey, chr(10)))) AS BIGINT) AS size FROM supplier",
+)
+def _(spark, sf_dir):
+    """Documents with front matter, written to files and read back."""
+    front = lambda k: F.col("front_matter")[k].alias(k)
+    return _suppliers(spark, sf_dir, "authored").select("doc_id", front("id"), front("title"), front("source"), "body", "size")
+
+
+@query(
+    "s11_find_by_id", "",
+    "SELECT concat('s', s_suppkey) AS doc_id, concat(CASE WHEN s_suppkey % 5 = 0 THEN 'archive' ELSE 'authored' END, '/n', s_suppkey % 3, '/s', s_suppkey, '.md') AS path, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS copies FROM supplier",
+)
+def _(spark, sf_dir):
+    """The file of each id; of several the one whose path is least, and how many there are."""
+    found = _suppliers(spark, sf_dir, "authored", "archive").groupBy("doc_id").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
+    return found.select("doc_id", F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("path"), "copies")
+
+
+@query(
+    "s19_external_wrapper", "",
+    "SELECT doc_id, md5(concat('<external-summary source=\"', source, '\">', chr(10), text, chr(10), '</external-summary>')) AS digest FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(0)) AND NOT regexp_matches(text, '(?i)</?external-summary')",
+)
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fit = F.col("text").isNotNull() & ~F.col("text").contains("\x00") & ~F.col("text").rlike(vault.EXTERNAL_TAG)
+    return docs.where(fit).select("doc_id", F.md5(vault.wrap_external(F.col("source"), F.col("text"))).alias("digest"))
+
+
+@query(
+    "s21_dump", "",
+    "SELECT concat('s', s_suppkey) AS id, s_name AS text FROM supplier",
+)
+def _(spark, sf_dir):
+    """JSON lines whose rows name their fields in either of two ways."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    key, odd = F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.col("s_suppkey") % 2 == 1
+    root = shared_dir(spark)
+    s.select(F.when(odd, key).alias("mem0_id"), F.when(~odd, key).alias("id"), F.when(odd, F.col("s_name")).alias("text"), F.when(~odd, F.col("s_name")).alias("memory")).write.json(root)
+    return vault.read_dump(spark, root)

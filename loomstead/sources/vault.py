@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from loomstead.functions.text import body, front_matter
 
@@ -49,3 +55,49 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     key, text = F.coalesce("mem0_id", "id"), F.coalesce("text", "memory")
     need = lambda c, what: F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"row without {what}")).cast("string"))
     return rows.select(need(key, "an id").alias("id"), need(text, "a text").alias("text"))
+
+
+def inside(root: str, path: str) -> str:
+    """``path`` below ``root``, or an error where it leads out of it or isn't a markdown file."""
+    clean = posixpath.normpath(path)
+    if clean.startswith(("/", "..")) or "\x00" in path or not clean.endswith(".md"):
+        raise ValueError(f"{path!r} is no markdown file below the vault")
+    return f"{root.rstrip('/')}/{clean}"
+
+
+class VaultWriter(DataSourceWriter):
+    """Each document goes to a file beside its place and is moved there whole; a task that runs again does the same again."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        fs, base = pyarrow.fs.FileSystem.from_uri(self.root) if "://" in self.root else (pyarrow.fs.LocalFileSystem(), self.root)
+        for row in rows:
+            place = inside(base, row.path)
+            fs.create_dir(posixpath.dirname(place), recursive=True)
+            beside = f"{place}.{uuid.uuid4().hex}.tmp"
+            with fs.open_output_stream(beside) as out:
+                out.write((row.text or "").encode())
+            fs.move(beside, place)
+        return WriterCommitMessage()
+
+
+class VaultSink(DataSource):
+    """``df.write.format("vault").mode("append").save(root)`` for rows of ``path`` (below the root) and ``text``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "vault"
+
+    def schema(self) -> str:
+        return "path string, text string"
+
+    def writer(self, schema, overwrite: bool) -> VaultWriter:
+        return VaultWriter(self.options["path"])
+
+
+def write_vault(docs: DataFrame, root: str) -> None:
+    """Write (``path``, ``text``) documents; one that is there is replaced, others stay."""
+    docs.sparkSession.dataSource.register(VaultSink)
+    docs.select("path", "text").write.format("vault").mode("append").save(root)

@@ -153,3 +153,19 @@ def test_annotated_points_stay_in_bounds(spark):
     got = {r.id: (r.reaction_count, r.reaction_types) for r in attribution.annotate_points(state, refs, points).collect()}
     assert got["new"][0] == 1000 and len(got["new"][1]) == 16 and all(len(k) == 64 for k in got["new"][1]) and got["new"][1][0].startswith("00x")
     assert got["plain"] == (1, None) and got.keys() == {"new", "plain"}
+
+
+@pytest.mark.parametrize("path", ["../x.md", "/etc/x.md", "a/../../x.md", "x.txt", "a\x00.md"])
+def test_paths_out_of_the_vault(path):
+    with pytest.raises(ValueError, match="below the vault"):
+        vault.inside("/vault", path)
+    assert vault.inside("/vault", "a/../b/x.md") == "/vault/b/x.md"
+
+
+def test_vault_writes_replace_whole_files(spark, tmp_path):
+    docs = lambda *rows: spark.createDataFrame(rows, "path string, text string")
+    vault.write_vault(docs(("a/x.md", "one"), ("y.md", "two")), str(tmp_path))
+    vault.write_vault(docs(("a/x.md", "three"), ("b/z.md", None)), f"file://{tmp_path}")
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {"a/x.md": "three", "y.md": "two", "b/z.md": ""}
+    with pytest.raises(Exception, match="below the vault"):
+        vault.write_vault(docs(("../x.md", "no")), str(tmp_path / "a"))
