@@ -42,6 +42,9 @@ from loomstead.session import written
 HOT = 1 << 16
 CACHE = 400_000
 BATCH_CHARS = 1 << 19
+LONG = 200
+# Fixed value: how byte-level vocabularies part words.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) (?=[\s\S])")
@@ -68,6 +71,11 @@ class Pair:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of the second tokenizer goes on after a space")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # The same merges in a faster library, for short pieces: in byte-level files a token's id is its rank.
+        import tiktoken
+
+        ranks = {self.a_bytes[i]: i for t, i in vocab.items() if t not in {x.content for x in self.a.get_added_tokens_decoder().values()}}
+        self.short = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self._forget()
 
@@ -82,7 +90,7 @@ class Pair:
             self._forget()
         known = self.known
         if new := list(set(pieces).difference(known)):
-            first = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
+            first = [self.short.encode_ordinary(f" {p}") if len(p) < LONG else self.a.encode(f" {p}", add_special_tokens=False).ids for p in new]
             second = self.b.encode(new, num_threads=1)
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.spelt = np.concatenate([self.spelt, self._spelt([f" {p}".encode() for p in new], first, second)])
@@ -198,23 +206,31 @@ def _at_cuts(ends: Column, marks: Column) -> Column:
     return F.filter(every, lambda i: F.substring(marks, F.get(ends, i), F.lit(1)) == F.lit(b";"))
 
 
-def _group(ids: Column, places: Column, k: Column) -> Column:
-    """The ids after the cut before the ``k``-th and up to it; most often one."""
-    before, here = F.coalesce(F.get(places, k - 1), F.lit(-1)), F.get(places, k)
-    return F.when(here == before + 1, F.get(ids, here)).otherwise(F.array_join(F.slice(ids, before + 2, here - before), ","))
+def _texts(ids: Column, places: Column) -> Column:
+    """The ids of each group, joined by commas: those after the cut before and up to its own; most often one."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(places, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0))))
+    several = lambda last, here: F.array_join(F.transform(F.sequence(last + 1, here), lambda i: F.get(ids, i)), ",")
+    return F.zip_with(places, before, lambda here, last: F.when(here == last + 1, F.get(ids, here)).otherwise(several(last, here)))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_a``, ``n_b``, ``links`` (a list of ``a << 32 | b``) and ``groups`` (a list of texts ``a1,a2|b1``) of each row of ``tokenised``."""
+def aligned(tokens: DataFrame, told: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
+    """``doc_id``, ``n_a``, ``n_b``, ``links`` (a list of ``a << 32 | b``) and ``groups`` (a list of texts ``a1,a2|b1``, or what
+    ``told`` makes of it) of each row of ``tokenised``."""
     a, b = F.col("a_ids"), F.col("b_ids")
-    places = lambda m: F.struct(_at_cuts(F.col("a_ends"), m).alias("a"), _at_cuts(F.col("b_ends"), m).alias("b"))
-    rows = tokens.select("*", F.array_intersect("a_ends", "b_ends").alias("cuts"))
-    rows = rows.select("doc_id", "a_ids", "b_ids", a.cast("array<string>").alias("a_text"), b.cast("array<string>").alias("b_text"), _let(_marks(F.col("cuts")), places).alias("at"))
-    link = lambda i, j: F.shiftleft(F.get(a, i).cast("bigint"), 32).bitwiseOR(F.get(b, j).cast("bigint"))
-    group = lambda _, k: F.concat(_group(F.col("a_text"), F.col("at.a"), k), F.lit("|"), _group(F.col("b_text"), F.col("at.b"), k))
-    return rows.select(
-        "doc_id", F.size(a).cast("bigint").alias("n_a"), F.size(b).cast("bigint").alias("n_b"), F.zip_with("at.a", "at.b", link).alias("links"), F.transform("at.a", group).alias("groups")
-    )
+
+    def found(at_a: Column, at_b: Column) -> Column:
+        link = F.zip_with(at_a, at_b, lambda i, j: F.shiftleft(F.get(a, i).cast("bigint"), 32).bitwiseOR(F.get(b, j).cast("bigint")))
+        side = lambda ids, at: _let(ids.cast("array<string>"), lambda text: _texts(text, at))
+        groups = F.zip_with(side(a, at_a), side(b, at_b), lambda x, y: F.concat(x, F.lit("|"), y))
+        return F.struct(link.alias("links"), told(groups).alias("groups"))
+
+    # One expression: what is in between never becomes a column.
+    whole = _let(
+        _let(F.array_intersect("a_ends", "b_ends"), _marks),
+        lambda marks: _let(_at_cuts(F.col("a_ends"), marks), lambda at_a: _let(_at_cuts(F.col("b_ends"), marks), lambda at_b: found(at_a, at_b))),
+    )
+    rows = tokens.select("doc_id", F.size(a).cast("bigint").alias("n_a"), F.size(b).cast("bigint").alias("n_b"), whole.alias("found"))
+    return rows.select("doc_id", "n_a", "n_b", "found.links", "found.groups")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -228,8 +244,9 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256``."""
-    spelt = aligned(tokenised(docs, first, second, id_col=id_col, text_col=text_col))
-    digest = F.when(F.size("groups") == 0, "").otherwise(F.sha2(F.array_join("groups", ";"), 256)).alias("groups_sha256")
+    tokens = tokenised(docs, first, second, id_col=id_col, text_col=text_col)
+    spelt = aligned(tokens, lambda groups: F.sha2(F.array_join(groups, ";"), 256))
+    digest = F.when(F.size("links") == 0, "").otherwise(F.col("groups")).alias("groups_sha256")
     rows = written(spelt.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "links", digest))
     counts = written(pair_counts(rows))
     total = counts.agg(F.sum("count")).first()[0] or 0
