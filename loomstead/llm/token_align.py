@@ -207,10 +207,11 @@ def _at_cuts(ends: Column, marks: Column) -> Column:
 
 
 def _texts(ids: Column, places: Column) -> Column:
-    """The ids of each group, joined by commas: those after the cut before and up to its own; most often one."""
+    """The ids of each group, joined by commas: those after the cut before and up to its own; most often one or two."""
     before = F.concat(F.array(F.lit(-1)), F.slice(places, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0))))
     several = lambda last, here: F.array_join(F.transform(F.sequence(last + 1, here), lambda i: F.get(ids, i)), ",")
-    return F.zip_with(places, before, lambda here, last: F.when(here == last + 1, F.get(ids, here)).otherwise(several(last, here)))
+    two = lambda here: F.concat(F.get(ids, here - 1), F.lit(","), F.get(ids, here))
+    return F.zip_with(places, before, lambda here, last: F.when(here == last + 1, F.get(ids, here)).when(here == last + 2, two(here)).otherwise(several(last, here)))
 
 
 def aligned(tokens: DataFrame, told: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
