@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SATURATED, GUARDED, PRESSURE = 0.05, 0.25, 0.75  # fixed values of the checks
@@ -119,12 +119,17 @@ def attribution(rows: DataFrame, first: DataFrame) -> DataFrame:
     return met.select("capture_id", "point_id", F.when(F.col("event").isNotNull(), "event").otherwise("heuristic").alias("mode"), F.when(F.col("event").isNotNull(), own).otherwise(guessed).alias("class"))
 
 
-def distractors(spark: SparkSession, count: int, lanes: list[str], templates: int, seed: int = 0) -> DataFrame:
-    """Filler texts that their number alone decides."""
-    within = F.floor(F.col("id") / len(lanes)) + seed
-    lane = F.element_at(F.array(*map(F.lit, lanes)), (F.col("id") % len(lanes) + 1).cast("int"))
+def distractors(numbers: DataFrame, lanes: DataFrame, templates: int, seed: int = 0) -> DataFrame:
+    """A filler text for each ``i`` of ``numbers``, which its number and the lanes (``lane``) in use alone decide: lanes in turn, then
+    templates, then the next combination.  Null lanes are none; without lanes there is no filler."""
+    every = Window.partitionBy()
+    known = lanes.where("lane IS NOT NULL").select("lane").distinct()  # a row a lane
+    placed = known.select("lane", (F.row_number().over(Window.orderBy("lane")) - 1).alias("_k"), F.count("*").over(every).alias("_n"))
+    n = placed.agg(F.max("_n").alias("_all"))
+    turn = numbers.select("i").join(F.broadcast(n), F.lit(True)).withColumn("_turn", F.expr("i % _all"))  # one row
+    within = F.floor(F.col("i") / F.col("_n")) + seed
     text = F.concat(F.lit("template "), (within % templates).cast("string"), F.lit(" of "), F.floor(within / templates).cast("string"))
-    return spark.range(count).select(F.col("id").alias("i"), lane.alias("lane"), text.alias("text"))
+    return turn.join(placed, F.col("_turn") == F.col("_k")).select("i", "lane", text.alias("text"))
 
 
 def hard_negatives(queries: DataFrame, terms: DataFrame) -> DataFrame:

@@ -164,12 +164,12 @@ def _(captures):
 
 
 @query(
-    "e25_distractors", "",
-    "SELECT CAST(i AS BIGINT) AS i, concat('lane', CAST(i % 3 AS STRING)) AS lane, concat('template ', CAST((i // 3) % 4 AS STRING), ' of ', CAST((i // 3) // 4 AS STRING)) AS text FROM range(0, 1000) t(i)",
+    "e25_distractors", "points",
+    "SELECT p.seq AS i, l.lane, concat('template ', CAST((p.seq // n) % 4 AS STRING), ' of ', CAST((p.seq // n) // 4 AS STRING)) AS text FROM points p JOIN (SELECT lane, row_number() OVER (ORDER BY lane) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT lane FROM points WHERE lane IS NOT NULL)) l ON p.seq % n = k",
 )
-def _(spark, sf_dir):
-    """Filler by count alone: lanes in turn, templates in turn, then the next combination of words."""
-    return M.distractors(spark, 1000, ["lane0", "lane1", "lane2"], 4)
+def _(points):
+    """A filler for each point, over the lanes that points use: lanes in turn, templates in turn, then the next combination."""
+    return M.distractors(points.select(F.col("seq").alias("i")), points, 4)
 
 
 _COS = "list_dot_product(q.vector::DOUBLE[], p.vector::DOUBLE[]) / sqrt(list_dot_product(q.vector::DOUBLE[], q.vector::DOUBLE[]) * list_dot_product(p.vector::DOUBLE[], p.vector::DOUBLE[]))"
