@@ -212,6 +212,11 @@ def falloff_days(start_ms: int, end_ms: int) -> float:
     return min(30.0, max(1.0, (end_ms - start_ms) / 86_400_000 * 0.5))
 
 
+def falloff(span_ms: Column) -> Column:
+    """The same for a column of widths."""
+    return F.least(F.lit(30.0), F.greatest(F.lit(1.0), span_ms / 86_400_000 * 0.5))
+
+
 def in_window(at: Column, start_ms: int, end_ms: int, now_anchored: bool = False) -> Column:
     return F.coalesce(at.between(start_ms, end_ms + (FUTURE_TOLERANCE_MS if now_anchored else 0)), F.lit(False))
 

@@ -401,14 +401,17 @@ def _(signals):
 
 @query(
     "t04_narrow_back", "points",
-    "SELECT id FROM (SELECT id, valid_from, count(*) FILTER (valid_from BETWEEN '2030-01-01' AND '2030-12-31') OVER () AS inside, row_number() OVER (ORDER BY score DESC NULLS LAST, seq) AS r FROM points) WHERE r <= CASE WHEN inside = 0 THEN 5 ELSE 25 END",
+    "SELECT user_id, id FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, seq) AS r FROM points) JOIN "
+    "(SELECT user_id, count(*) FILTER (valid_from BETWEEN CASE user_id WHEN 'u0' THEN '2030-01-01' ELSE '2024-03-01' END AND CASE user_id WHEN 'u0' THEN '2030-12-31' ELSE '2024-04-30' END) AS inside FROM points GROUP BY user_id) USING (user_id) "
+    "WHERE r <= CASE WHEN inside = 0 THEN 5 ELSE 25 END",
 )
 def _(points):
-    """A window in which nothing lies gives the plain number of hits, not the widened one."""
-    order = (F.col("score").desc_nulls_last(), F.col("seq"))
-    wide = points.orderBy(*order).limit(25)
-    inside = points.where("valid_from BETWEEN '2030-01-01' AND '2030-12-31'").limit(1).count()
-    return (wide if inside else wide.orderBy(*order).limit(5)).select("id")
+    """A window in which nothing lies gives the plain number of hits, not the widened one: for one user it is empty, for the others not."""
+    low, high = (F.when(F.col("user_id") == "u0", a).otherwise(b) for a, b in (("2030-01-01", "2024-03-01"), ("2030-12-31", "2024-04-30")))
+    inside = points.groupBy("user_id").agg(F.count_if(F.col("valid_from").between(low, high)).alias("inside"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("score").desc_nulls_last(), "seq"))
+    wide = points.select("user_id", "id", place.alias("r")).where("r <= 25")
+    return wide.join(inside, "user_id").where("r <= CASE WHEN inside = 0 THEN 5 ELSE 25 END").select("user_id", "id")
 
 
 @query(
@@ -488,7 +491,7 @@ def _(points):
 @query("f09_falloff", "points", "SELECT id, least(30.0::DOUBLE, greatest(1.0::DOUBLE, (seq % 90) * 0.5::DOUBLE)) AS days FROM points")
 def _(points):
     """Days over which hits outside a window fade: half its width, 1 to 30."""
-    return points.select("id", F.least(F.lit(30.0), F.greatest(F.lit(1.0), (F.col("seq") % 90) * 0.5)).alias("days"))
+    return points.select("id", R.falloff((F.col("seq") % 90) * 86_400_000).alias("days"))
 
 
 @query(
