@@ -191,8 +191,8 @@ def tokenised(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """``use`` of a value that is computed once; the end of an empty ``aggregate``, which copies neither."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, use)
 
 
 def _marks(cuts: Column) -> Column:
@@ -209,7 +209,7 @@ def _at_cuts(ends: Column, marks: Column) -> Column:
 def _texts(ids: Column, places: Column) -> Column:
     """The ids of each group, joined by commas: those after the cut before and up to its own; most often one or two."""
     before = F.concat(F.array(F.lit(-1)), F.slice(places, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0))))
-    several = lambda last, here: F.array_join(F.transform(F.sequence(last + 1, here), lambda i: F.get(ids, i)), ",")
+    several = lambda last, here: F.array_join(F.slice(ids, last + 2, here - last), ",")
     two = lambda here: F.concat(F.get(ids, here - 1), F.lit(","), F.get(ids, here))
     return F.zip_with(places, before, lambda here, last: F.when(here == last + 1, F.get(ids, here)).when(here == last + 2, two(here)).otherwise(several(last, here)))
 
@@ -254,9 +254,12 @@ def align(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id", t
     often = F.col("count") * hot >= total
     each = rows.select("row", F.explode("links").alias("pair"))
     often_pairs = F.broadcast(counts.where(often))  # at most ``hot`` rows
-    sums = [F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")]
-    frequent = each.join(often_pairs, "pair").groupBy("row").agg(*sums)
-    rest = each.join(often_pairs.select("pair"), "pair", "left_anti").groupBy("row", "pair").agg(F.count("*").alias("times"))
+    # One pass: a row's frequent links become sums before the shuffle, its others a row a pair.
+    own = F.when(F.col("count").isNull(), F.col("pair")).alias("pair")
+    sums = [F.count("*").alias("times"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")]
+    met = written(each.join(often_pairs, "pair", "left").groupBy("row", own).agg(*sums))
+    frequent = met.where("pair IS NULL").select("row", "n_best", "count_sum")
+    rest = met.where("pair IS NOT NULL").select("row", "pair", "times")
     rare = rest.join(counts.where(~often), "pair").select("row", (F.col("best") * F.col("times")).alias("n_best"), (F.col("count") * F.col("times")).alias("count_sum"))
     found = frequent.union(rare).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     n = F.size("links").cast("bigint")
