@@ -22,10 +22,15 @@ ignored; an empty table gives no shards.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
+from itertools import compress as compress_by
+from operator import and_, not_
 
 import numpy as np
 import pyarrow as pa
@@ -49,18 +54,27 @@ SHARD_SCHEMA = (
 # ---- Re-Pair ---------------------------------------------------------------
 
 
-def _pair_order(symbols: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
-    """Order of the pairs at ``at``, by pair and then place.  Where two symbols and a place fit 63 bits,
-    sorting the numbers made of them is several times faster than sorting places by pair."""
-    wide, far = int(top).bit_length(), len(at).bit_length()
+def _pairs(symbols: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places ``at`` by pair and then place, the pair at each as one number, and the bits of its second symbol.
+
+    Where two symbols and a place fit 63 bits, numbers made of all three are sorted: each tells its pair and its place
+    again, and nothing is looked up in the order of pairs."""
+    wide, far = int(top).bit_length(), len(symbols).bit_length()
+    whole = len(at) == len(symbols) - 1
+    left, right = (symbols[:-1] if whole else symbols[at]).astype(np.int64), symbols[1:] if whole else symbols[at + 1]
     if 2 * wide + far > 63:
-        return np.argsort((symbols[at] << 32) | symbols[at + 1], kind="stable")
-    return np.sort(((symbols[at] << wide | symbols[at + 1]) << far) | np.arange(len(at))) & ((1 << far) - 1)
+        pairs = (left << 32) | right
+        order = np.argsort(pairs, kind="stable")
+        return at[order], pairs[order], 32
+    both = np.sort(((left << wide | right) << far) | at)
+    return both & ((1 << far) - 1), both >> far, wide
 
 
 def _alternate(at: np.ndarray) -> np.ndarray:
     """Of places that follow one another (a pair of equal symbols overlaps itself), every other one."""
     begins = np.diff(at, prepend=-2) != 1
+    if begins.all():
+        return at
     first = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
     return at[(np.arange(len(at)) - first) % 2 == 0]
 
@@ -75,46 +89,41 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST_PAIR) -> dict:
     the pairs beside replaced places and the frequent ones that are left.
     Lengths are those of the expansions.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.int32 if base + len(ids) < 1 << 31 else np.int64)
     left, right, length = [], [], np.ones(0, np.int64)
     top = base
     alive = np.arange(max(0, len(symbols) - 1))  # places whose pair may be frequent
-    rare = np.iinfo(np.int64).max
+    rare = np.iinfo(np.int32).max
     while len(alive):
-        order = _pair_order(symbols, alive, top)
-        at = alive[order]
-        pairs = (symbols[at] << 32) | symbols[at + 1]
+        at, pairs, wide = _pairs(symbols, alive, top)
         starts = np.flatnonzero(np.diff(pairs, prepend=pairs[0] - 1))
         counts = np.diff(starts, append=len(pairs))
         often = counts >= least
         if not often.any():
             break
-        kinds = pairs[starts[often]]
-        by_count = np.argsort(-counts[often], kind="stable")
-        ranks = np.empty(len(kinds), np.int64)
-        ranks[by_count] = np.arange(len(kinds))
-        frequent = np.repeat(often, counts)
-        at, rank = at[frequent], np.repeat(ranks, counts[often])
-        code = np.full(len(symbols) + 1, rare)  # one place on each side has no pair
-        code[at + 1] = rank
-        hit = np.zeros(len(symbols), bool)
-        hit[at[(rank <= code[at]) & (rank <= code[at + 2])]] = True
+        kinds, counts_often = pairs[starts[often]], counts[often]
+        by_count = np.argsort(-counts_often, kind="stable")
+        ranks = np.empty(len(kinds), np.int32)
+        ranks[by_count] = np.arange(len(kinds), dtype=np.int32)
+        code = np.full(len(symbols) + 1, rare, np.int32)  # by place; one on each side has no pair
+        code[at[np.repeat(often, counts)] + 1] = np.repeat(ranks, counts_often)
+        again = code[1:] != rare
+        here = code[1:-1]
+        hit = again[:-1] & (here <= code[:-2]) & (here <= code[2:])
         chosen = _alternate(np.flatnonzero(hit))
-        rank = code[chosen + 1]
-        used = np.unique(rank)
-        name = np.empty(len(kinds), np.int64)
+        rank = here[chosen]
+        used = np.flatnonzero(np.bincount(rank, minlength=len(kinds)))
+        name = np.empty(len(kinds), symbols.dtype)
         name[used] = top + np.arange(len(used))
         symbols[chosen] = name[rank]
         keep = np.ones(len(symbols), bool)
         keep[chosen + 1] = False
-        again = np.zeros(len(symbols), bool)
-        again[at] = True
         again[chosen] = True
         again[np.maximum(chosen - 1, 0)] = True
         symbols = symbols[keep]
         alive = np.flatnonzero(again[keep])
         alive = alive[alive < len(symbols) - 1]
-        lo, hi = kinds[by_count[used]] >> 32, kinds[by_count[used]] & 0xFFFFFFFF
+        lo, hi = kinds[by_count[used]] >> wide, kinds[by_count[used]] & ((1 << wide) - 1)
         known = np.append(length, 1)  # the last stands for plain ids
         size = lambda s: known[np.where(s < base, -1, s - base)]  # noqa: B023, E731
         left.append(lo)
@@ -122,7 +131,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST_PAIR) -> dict:
         length = np.concatenate([length, size(lo) + size(hi)])
         top += len(used)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return {"base": base, "left": join(left), "right": join(right), "length": length, "symbols": symbols}
+    return {"base": base, "left": join(left), "right": join(right), "length": length, "symbols": symbols.astype(np.int64)}
 
 
 def _copied(out: np.ndarray, to: np.ndarray, table: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
@@ -180,7 +189,8 @@ def slice_ids(shard: dict, start: int, end: int) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process: what it knows of words serves all of the worker's tasks."""
+    """One encoder a worker process: what it knows of words serves all of the worker's tasks, which have a core each."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(path)
 
 
@@ -224,6 +234,23 @@ def pieces(raws: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
     return found.dictionary_encode(), np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
 
 
+# A word of a-z and Latin letters from U+00DF on (single code points in lower case, which no normal form changes), and marks other than '.
+_LATIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+# Byte-level letters of the bytes of such words, in UTF-16: 0x80 to 0xA0 and 0xAD have others than their own.
+_LETTERS = np.arange(256, dtype="<u2")
+_LETTERS[0x80:0xA1] = np.arange(0x122, 0x143)
+_LETTERS[0xAD] = 0x143
+# What the file does before its model; in other files the model isn't asked alone.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
     """Ids of texts by way of their pieces, each of which is encoded once.
 
@@ -231,9 +258,15 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The model alone, for words that the file's normalizer and its cuts leave as they stand.
+        self.model = None
+        parts = json.loads(self.tokenizer.to_str())
+        if (parts["normalizer"], parts["pre_tokenizer"]) == (_NORMALIZER, _CUTS):
+            self.model = Tokenizer.from_file(path)
+            self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.size = max([0, *self.tokenizer.get_vocab().values()]) + 1
         self.closes = np.zeros(self.size, bool)
@@ -247,41 +280,56 @@ class WordEncoder:
         self.flat, self.sizes, self.total = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
 
     def _learn(self, new: list[bytes]) -> None:
-        """Letters-only pieces are encoded many at a time: each is one word, which ends in a closing id."""
-        encode = self.tokenizer.encode_batch_fast
+        """Most pieces are encoded many at a time: words of letters alone, and lower-case Latin ones with marks behind
+        them, which are two words.  Each word ends in a closing id.  Latin words need no more than the model."""
+        flat = lambda many: np.fromiter(chain.from_iterable(many), np.int32)
+        groups = lambda words, gap: [gap.join(words[b : b + 250]) for b in range(0, len(words), 250)]
+        lists = lambda by, texts: [e.ids for e in by.encode_batch_fast(texts, add_special_tokens=False)]
         for a in range(0, len(new), 50_000):
-            words = [w.decode("utf-8", "replace") for w in new[a : a + 50_000]]
-            plain = [i for i, w in enumerate(words) if w.isalpha()]
-            if not self.closes.any():
-                plain = []
-            other = sorted(set(range(len(words))) - set(plain))
-            groups = [" ".join(words[i] for i in plain[b : b + 250]) for b in range(0, len(plain), 250)]
-            ids = np.array([x for e in encode(groups, add_special_tokens=False) for x in e.ids], np.int32)
-            ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-            if len(ends) != len(plain):  # some letters closed no word or several: one by one then
-                plain, other, ids, ends = [], list(range(len(words))), np.zeros(0, np.int32), np.zeros(0, np.int64)
-            single = [e.ids for e in encode([words[i] for i in other], add_special_tokens=False)]
-            for place, i in enumerate([*plain, *other]):
-                self.known[new[a + i]] = self.total + place
-            self.total += len(words)
-            self.flat += [ids, np.array([x for one in single for x in one], np.int32)]
-            self.sizes += [np.diff(ends, prepend=0), np.array([len(x) for x in single], np.int64)]
+            some = new[a : a + 50_000]
+            ascii = list(map(and_, map(bytes.isalpha, some), map(bytes.islower, some))) if self.model else [False] * len(some)
+            plain, rest = list(compress_by(some, ascii)), list(compress_by(some, map(not_, ascii)))
+            found = list(map(_LATIN.fullmatch, rest)) if self.model else [None] * len(rest)
+            marked = [m for m in found if m]
+            rest = [w for w, m in zip(rest, found, strict=True) if not m]
+            texts = [w.decode("utf-8", "replace") for w in rest]
+            alpha = list(map(str.isalpha, texts))
+            other = list(compress_by(texts, map(not_, alpha)))
+            order = [*plain, *(m[0] for m in marked), *compress_by(rest, alpha), *compress_by(rest, map(not_, alpha))]
+            latin = groups(plain + [m[1] + b" " + m[2] if m[2] else m[1] for m in marked], b" ")
+            words = np.ones(len(some) - len(other), np.int64)
+            words[len(plain) : len(plain) + len(marked)] += np.fromiter((m[2] != b"" for m in marked), bool, len(marked))
+            ids = lists(self.model, [_LETTERS[np.frombuffer(g, np.uint8)].tobytes().decode("utf-16-le") for g in latin]) if latin else []
+            ids = flat(ids + lists(self.tokenizer, groups(list(compress_by(texts, alpha)), " ")))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == words.sum():
+                ends = ends[np.cumsum(words) - 1]
+            else:  # some letters closed no word or several: one by one then
+                other, order, ids, ends = [w.decode("utf-8", "replace") for w in some], some, ids[:0], ends[:0]
+            single = lists(self.tokenizer, other)
+            self.known.update(zip(order, range(self.total, self.total + len(order)), strict=True))
+            self.total += len(order)
+            self.flat += [ids, flat(single)]
+            self.sizes += [np.diff(ends, prepend=0), np.fromiter(map(len, single), np.int64, len(single))]
 
     def __call__(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by ``end_id``, and the number of each text's ids."""
         if len(self.known) > CACHE_WORDS:
             self._forget()
         words, cuts = pieces([prepared(t) for t in texts])
-        names, known = words.dictionary.to_pylist(), self.known
-        new = [w for w in names if w not in known]
-        if new:
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = [names[i] for i in unknown.tolist()]
             self._learn(new)
+            place[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         if len(self.flat) > 1 or not hasattr(self, "table"):
             self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
             sizes = np.append(self.sizes[0], 1)
             self.table = np.append(self.flat[0], np.int32(end_id)), np.cumsum(sizes) - sizes, sizes
         flat, starts, sizes = self.table
-        code = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[words.indices.to_numpy(zero_copy_only=False)]
+        code = place[words.indices.to_numpy(zero_copy_only=False)]
         code = np.insert(code, cuts, len(starts) - 1)
         cuts = cuts + np.arange(1, len(cuts) + 1)
         n = sizes[code]

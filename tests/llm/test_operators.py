@@ -142,6 +142,34 @@ def test_token_shards(spark, docs, empty, tmp_path):
     assert token_shards.token_digests(empty, path).count() == 0
 
 
+def test_words_with_marks_are_encoded_in_groups():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = token_shards.WordEncoder(path), Tokenizer.from_file(path)
+    told = []
+
+    class Told:
+        def encode_batch_fast(self, texts, **options):
+            told.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Told()
+    rng = np.random.default_rng(4)
+    simple = ["thing", "straße", "été", "ñandú", "ÿ", "thing$$$", "über%%", "a_", "q!?", "heat***"]
+    texts = [" ".join(rng.choice(simple, 12)) for _ in range(50)]
+    ids, n = encoder(texts, 1)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    assert told == []  # the whole tokenizer isn't asked about any of them
+    odd = ["Été", "it's", "'s", "###", "x1", "ﬁ", "é", "µm", "ª", "÷", "a÷", "a×b", "<|", "<|endoftext|>", "日本", "ΑΣ", "İ", "a.b", "co-op", "a\u00adb", "$a", "'ll"]
+    texts = [" ".join(a + b * (rng.random() < 0.3) for a, b in zip(rng.choice(simple + odd, k), rng.choice(simple + odd, k), strict=True)) for k in rng.integers(0, 20, 400)]
+    ids, n = encoder(texts, 1)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+
+
 def labelled(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(200)]
