@@ -1,10 +1,9 @@
 """Alignment of two tokenizers' tokens by the bytes they cover.
 
-Python only tokenises: per document it gives the ids of both tokenizers and
-the byte offset at which each token ends.  From there on all is higher-order
-functions: ``array_intersect`` of the two lists of ends are the places that cut
-a document into groups, and the tokens that end there are linked.  A cut is
-looked up by its byte (a list as long as the text), so all work is linear.  Links of
+A task tokenises a batch of texts and finds, for both tokenizers, the byte at
+which each token ends.  Bytes at which tokens of both end cut the documents
+into groups, and the two tokens that end there are linked; all of it is array
+work, linear in tokens and bytes.  The rest is Spark's: links of
 the whole corpus are counted by pair, and the counts go back to the documents.
 
 Pairs are few against links, but unbounded, and a pair may hold a third of
@@ -27,14 +26,14 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.session import written
@@ -162,17 +161,51 @@ def pair(first: str, second: str) -> Pair:
     return Pair(first, second)
 
 
-def _lists(ids: np.ndarray, ends: np.ndarray, size: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Ids and the ends of their bytes, as a list a text."""
-    offsets = np.concatenate([[0], ends])
-    places = np.concatenate([[0], np.cumsum(size[ids])])
-    places = places[1:] - np.repeat(places[offsets[:-1]], np.diff(offsets))
-    offsets = pa.array(offsets.astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(places.astype(np.int32)))
+class Cuts:
+    """The groups of a batch's tokens, from ids of both sides and where each text's end; both sides cover the same bytes."""
 
+    def __init__(self, both: Pair, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> None:
+        self.a, self.b, self.a_ends, self.b_ends = a, b, a_ends, b_ends
+        a_places, b_places = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
+        ends = np.zeros((2, int(a_places[-1]) + 1 if len(a) else 1), bool)
+        ends[0, a_places] = True
+        ends[1, b_places] = True
+        self.a_cut, self.b_cut = ends[1][a_places], ends[0][b_places]
+        self.at_a, self.at_b = np.flatnonzero(self.a_cut), np.flatnonzero(self.b_cut)
 
-def tokenised(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``a_ids``, ``a_ends``, ``b_ids`` and ``b_ends``."""
+    def links(self) -> pa.Array:
+        """A list a text of ``a << 32 | b``, one for each cut."""
+        links = (self.a[self.at_a].astype(np.int64) << 32) | self.b[self.at_b]
+        ends = np.searchsorted(self.at_a, self.a_ends)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(links))
+
+    def groups(self) -> pa.Array:
+        """A text like ``a1,a2|b1;a3|b2,b3`` a text; empty without tokens."""
+        # A token's place among all tokens in the order in which they are told, and what stands behind it.
+        before_b = np.concatenate([[0], self.at_b + 1])[np.cumsum(self.a_cut) - self.a_cut]
+        before_a = (self.at_a + 1)[np.cumsum(self.b_cut) - self.b_cut]
+        told = np.empty(len(self.a) + len(self.b), np.int32)
+        told[np.arange(len(self.a)) + before_b] = self.a * 4 + self.a_cut
+        behind = self.b_cut * np.int32(2)
+        behind[self.b_ends[np.diff(self.b_ends, prepend=0) > 0] - 1] = 3
+        told[np.arange(len(self.b)) + before_a] = self.b * 4 + behind
+        texts = _decimals(int(told.max(initial=0)) // 4).take(pa.array(told))
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(told) + 1)[np.concatenate([[0], self.a_ends + self.b_ends])] if len(told) else np.zeros(len(self.a_ends) + 1, np.int32)
+        return pa.StringArray.from_buffers(len(self.a_ends), pa.py_buffer(offsets), texts.buffers()[2])
+
+
+_told: list[pa.Array] = [pa.array([], pa.string())]
+
+
+def _decimals(most: int) -> pa.Array:
+    """Numbers up to ``most`` at least, each before a comma, a bar, a semicolon and nothing."""
+    if len(_told[0]) <= 4 * most:
+        _told[0] = pa.array([f"{i}{end}" for i in range(1 << most.bit_length()) for end in (",", "|", ";", "")])
+    return _told[0]
+
+
+def aligned(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_a``, ``n_b``, ``links`` (a list of ``a << 32 | b``) and ``groups`` (``a1,a2|b1;a3|b2,b3``) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(first, second)
@@ -182,56 +215,13 @@ def tokenised(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if i < j:
                     part = batch.slice(i, j - i)
-                    a, a_ends, b, b_ends = both.tokens(part.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.column(0), *_lists(a, a_ends, both.a_size), *_lists(b, b_ends, both.b_size)], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                    found = Cuts(both, *both.tokens(part.column(1).to_pylist()))
+                    n = [pa.array(np.diff(ends, prepend=0)) for ends in (found.a_ends, found.b_ends)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *n, found.links(), found.groups()], ["doc_id", "n_a", "n_b", "links", "groups"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once; the end of an empty ``aggregate``, which copies neither."""
-    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, use)
-
-
-def _marks(cuts: Column) -> Column:
-    """A byte for each byte of the text: ``;`` where it ends at a cut."""
-    return F.array_join(F.transform(cuts, lambda c, i: F.lpad(F.lit(";"), c - F.coalesce(F.get(cuts, i - 1), F.lit(0)), " ")), "").cast("binary")
-
-
-def _at_cuts(ends: Column, marks: Column) -> Column:
-    """The numbers, from 0, of the tokens that end at cuts."""
-    every = F.when(F.size(ends) > 0, F.sequence(F.lit(0), F.size(ends) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: F.substring(marks, F.get(ends, i), F.lit(1)) == F.lit(b";"))
-
-
-def _texts(ids: Column, places: Column) -> Column:
-    """The ids of each group, joined by commas: those after the cut before and up to its own; most often one or two."""
-    before = F.concat(F.array(F.lit(-1)), F.slice(places, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0))))
-    several = lambda last, here: F.array_join(F.slice(ids, last + 2, here - last), ",")
-    two = lambda here: F.concat(F.get(ids, here - 1), F.lit(","), F.get(ids, here))
-    return F.zip_with(places, before, lambda here, last: F.when(here == last + 1, F.get(ids, here)).when(here == last + 2, two(here)).otherwise(several(last, here)))
-
-
-def aligned(tokens: DataFrame, told: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
-    """``doc_id``, ``n_a``, ``n_b``, ``links`` (a list of ``a << 32 | b``) and ``groups`` (a list of texts ``a1,a2|b1``, or what
-    ``told`` makes of it) of each row of ``tokenised``."""
-    a, b = F.col("a_ids"), F.col("b_ids")
-
-    def found(at_a: Column, at_b: Column) -> Column:
-        link = F.zip_with(at_a, at_b, lambda i, j: F.shiftleft(F.get(a, i).cast("bigint"), 32).bitwiseOR(F.get(b, j).cast("bigint")))
-        side = lambda ids, at: _let(ids.cast("array<string>"), lambda text: _texts(text, at))
-        groups = F.zip_with(side(a, at_a), side(b, at_b), lambda x, y: F.concat(x, F.lit("|"), y))
-        return F.struct(link.alias("links"), told(groups).alias("groups"))
-
-    # One expression: what is in between never becomes a column.
-    whole = _let(
-        _let(F.array_intersect("a_ends", "b_ends"), _marks),
-        lambda marks: _let(_at_cuts(F.col("a_ends"), marks), lambda at_a: _let(_at_cuts(F.col("b_ends"), marks), lambda at_b: found(at_a, at_b))),
-    )
-    rows = tokens.select("doc_id", F.size(a).cast("bigint").alias("n_a"), F.size(b).cast("bigint").alias("n_b"), whole.alias("found"))
-    return rows.select("doc_id", "n_a", "n_b", "found.links", "found.groups")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, links array<bigint>, groups string")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -245,9 +235,8 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, first: str, second: str, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256``."""
-    tokens = tokenised(docs, first, second, id_col=id_col, text_col=text_col)
-    spelt = aligned(tokens, lambda groups: F.sha2(F.array_join(groups, ";"), 256))
-    digest = F.when(F.size("links") == 0, "").otherwise(F.col("groups")).alias("groups_sha256")
+    spelt = aligned(docs, first, second, id_col=id_col, text_col=text_col)
+    digest = F.when(F.size("links") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     rows = written(spelt.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "links", digest))
     counts = written(pair_counts(rows))
     total = counts.agg(F.sum("count")).first()[0] or 0

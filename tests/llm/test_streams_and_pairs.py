@@ -175,6 +175,19 @@ def test_op12_query(spark):
     assert queries.op12_token_align(spark, SF).columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
+def test_op12_groups_and_links(spark):
+    rows = list(enumerate(odd_texts(200, 9, 25))) + [(900, None), (901, ""), (902, "a▁b"), (903, "the end")]
+    got = token_align.aligned(spark.createDataFrame(rows, "n long, t string"), BYTES, PIECES, id_col="n", text_col="t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "mapInArrow" in plan.replace("MapInArrow", "mapInArrow") and "lambda" not in plan  # no expression of the JVM walks the tokens
+    want = {r[0]: r for r in brute_alignment(rows)}
+    for r in got.collect():
+        assert (r.n_a, r.n_b, len(r.links)) == want[r.doc_id][1:4]
+        assert (hashlib.sha256(r.groups.encode()).hexdigest() if r.links else r.groups) == want[r.doc_id][7]
+        cuts = [[side.split(",")[-1] for side in g.split("|")] for g in r.groups.split(";")] if r.groups else []
+        assert r.links == [int(a) << 32 | int(b) for a, b in cuts]
+
+
 def brute_resampling(docs, target, longest=1, percent=10, least=20):
     def runs(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
