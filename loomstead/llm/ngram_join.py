@@ -355,8 +355,7 @@ def ngram_components(
 def _links(base: DataFrame, reps: DataFrame, sets: _Sets, width: int, percent: int, code: bytes, frequent: int) -> DataFrame:
     """Links that join all components; a class of linked sets is held together by links to its pivots."""
     index = written(base.mapInArrow(_index(width, code, frequent, percent), "key bigint, sig bigint"))
-    keys = index.groupBy("key").agg(F.min("sig").alias("pivot"), F.max("sig").alias("last"), F.count("*").alias("m")).where("pivot < last").drop("last")
-    groups = written(index.join(keys, "key"))
+    groups = written(_shared(index))
     few, many = groups.where(F.col("m") <= ALL_PAIRS_UP_TO), groups.where(F.col("m") > ALL_PAIRS_UP_TO)
     pairs = few.select("key", F.col("sig").alias("a")).join(few.select("key", F.col("sig").alias("b")), "key").where("a < b").select("a", "b")
     stars = written(many.where("pivot < sig").select("pivot", "sig").distinct())
@@ -367,6 +366,13 @@ def _links(base: DataFrame, reps: DataFrame, sets: _Sets, width: int, percent: i
     return links
 
 
+def _shared(index: DataFrame) -> DataFrame:
+    """The rows of keys that several sets have, with the key's ``pivot`` and how often it is there (``m``)."""
+    dealt = index.repartition("key")  # both sides of the join are made of this one shuffle
+    keys = dealt.groupBy("key").agg(F.min("sig").alias("pivot"), F.max("sig").alias("last"), F.count("*").alias("m")).where("pivot < last").drop("last")
+    return dealt.join(keys, "key")
+
+
 def _unsettled(stars: DataFrame, links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs of large classes that meet in no component yet and that sizes and bitmaps leave possible.
 

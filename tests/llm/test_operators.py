@@ -170,6 +170,24 @@ def test_words_with_marks_are_encoded_in_groups():
     assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
 
 
+def test_shared_keys_shuffle_once(spark):
+    from loomstead.session import written
+
+    rng = np.random.default_rng(8)
+    rows = [(int(k), int(s)) for k, s in zip(rng.integers(0, 300, 800), rng.integers(-40, 40, 800), strict=True)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ngram_join._shared(written(spark.createDataFrame(rows, "key bigint, sig bigint")))
+        found = sorted((r.key, r.sig, r.pivot, r.m) for r in got.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    sets = {k: [s for key, s in rows if key == k] for k, _ in rows}
+    assert found == sorted((k, s, min(sets[k]), len(sets[k])) for k, s in rows if len(set(sets[k])) > 1)
+    assert plan.count("- Exchange ") == 1 and plan.count("- ReusedExchange ") == 1
+
+
 def labelled(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(200)]
