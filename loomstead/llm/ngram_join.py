@@ -17,14 +17,18 @@ documents form components.
    gives the pairs with its pivot, its least signature, so that keys with the
    same sets give the same pairs.  Sets in their pivot's component need no more
    comparisons with others in it; the rest are compared with that component and
-   with each other, block by block within tasks.
-5. Two sets whose parity bitmaps (one bit flipped for each shingle, by hash)
-   differ in more bits than their symmetric difference may have are dropped;
-   the other candidates are verified on the whole sets; links are contracted.
+   with each other, block by block within tasks.  A signature's last byte tells
+   its set's size in steps of a sixteenth of a doubling, so sets that are too
+   unlike in size make no pair.
+5. Two sets whose parity bitmaps (one bit flipped for each shingle, by hash; as
+   many bits as shingles or more) differ in more bits than their symmetric
+   difference may have are dropped; the other candidates are verified on the
+   whole sets; links are contracted.
 6. Where numbers of links are asked for, they are counted within components,
    block by block; no list of all pairs is made.
 
-Shingles are compared by 64-bit hashes, whole sets by 56 bits of them.
+Shingles are compared by 64-bit hashes, whole sets by 56 bits of them; sets are
+equal where 56 bits of a hash of the set and the size's byte are.
 
 Defined results: texts without words (null, empty, white space) have an empty
 set and are components of their own; fewer than 3 words are one shingle;
@@ -35,6 +39,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -102,8 +107,19 @@ class Shingler:
         return np.unique(x)
 
 
+SIZE_STEPS = 16  # to a doubling of the size
+
+
 def signature(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+    """56 bits of the set's hash, then a byte that tells its size; sizes of 62,758 and more share one."""
+    size = min(255, int(SIZE_STEPS * math.log2(max(1, len(shingles)))))
+    return (xxhash.xxh3_64_intdigest(shingles.tobytes()) & ~255 | size) - (1 << 63)
+
+
+def _near_sizes(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes that two signatures tell leave a link possible."""
+    size = lambda s: F.col(s).bitwiseAND(F.lit(255))
+    return F.abs(size(a) - size(b)) <= int(SIZE_STEPS * math.log2(100 / percent) + 1e-9) + 1
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -113,14 +129,24 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
 
 
-PARITY_BITS = 1024
+PARITY_BITS = 1 << 16  # at most
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """Bitmap with the parity of the set's shingles in each of PARITY_BITS places: a shingle in which
-    two sets differ changes one bit, so bitmaps differ in at most as many bits as sets in shingles."""
-    place = ((s >> np.uint64(40)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=PARITY_BITS) & 1).astype(np.uint8)).view("<i8")
+    """Bitmap with the parity of the set's shingles in each of its places: a shingle in which two sets differ
+    changes one bit, so bitmaps differ in at most as many bits as sets in shingles.
+
+    There are at least as many places as shingles, else bitmaps of sets with nothing in common would differ in no more
+    bits than those of linked ones.  Numbers of places are powers of two: parts laid upon one another give the fewer.
+    """
+    places = min(PARITY_BITS, max(64, 1 << (len(s) - 1).bit_length())) if len(s) else 64
+    place = ((s >> np.uint64(40)) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=places) & 1).astype(np.uint8)).view("<i8")
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) with so many 64-bit words."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
 _SURVEY = "doc_id bigint, n int, sig bigint, bits array<bigint>, chunk int, counts binary"
@@ -271,7 +297,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Whether bitmaps differ in no more bits than the sets of two linked documents of these sizes may."""
-    differ = F.aggregate(F.zip_with(f"bits{a}", f"bits{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    x, y = F.col(f"bits{a}"), F.col(f"bits{b}")
+    words = F.least(F.size(x), F.size(y))
+    part = lambda bits, i: F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("bigint"), lambda t, j: t.bitwiseXOR(F.get(bits, j)))
+    folded = lambda bits: F.when(F.size(bits) == words, bits).otherwise(F.transform(F.sequence(F.lit(0), words - 1), lambda i: part(bits, i)))
+    differ = F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, p: t + p)
     size = F.col(f"n{a}") + F.col(f"n{b}")
     return differ <= size - 2 * F.ceil(size * percent / (100 + percent) - 1e-9)
 
@@ -357,9 +387,9 @@ def _links(base: DataFrame, reps: DataFrame, sets: _Sets, width: int, percent: i
     index = written(base.mapInArrow(_index(width, code, frequent, percent), "key bigint, sig bigint"))
     groups = written(_shared(index))
     few, many = groups.where(F.col("m") <= ALL_PAIRS_UP_TO), groups.where(F.col("m") > ALL_PAIRS_UP_TO)
-    pairs = few.select("key", F.col("sig").alias("a")).join(few.select("key", F.col("sig").alias("b")), "key").where("a < b").select("a", "b")
     stars = written(many.where("pivot < sig").select("pivot", "sig").distinct())
-    checked, links = sets.linked(_close(pairs.union(stars), reps, percent), percent)
+    near = stars.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).where(_near_sizes("a", "b", percent))
+    checked, links = sets.linked(_close(_met(few, percent).union(near), reps, percent), percent)
     rest = written(_unsettled(stars, links, reps, percent).join(checked, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = links.union(sets.linked(rest, percent)[1])
@@ -373,6 +403,12 @@ def _shared(index: DataFrame) -> DataFrame:
     return dealt.join(keys, "key")
 
 
+def _met(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets with a key in common whose sizes leave a link possible."""
+    side = lambda s: groups.select("key", F.col("sig").alias(s))
+    return side("a").join(side("b"), "key").where("a < b").where(_near_sizes("a", "b", percent)).select("a", "b")
+
+
 def _unsettled(stars: DataFrame, links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs of large classes that meet in no component yet and that sizes and bitmaps leave possible.
 
@@ -402,16 +438,24 @@ def _cross(percent: int):
         """Pairs of a minor set and any set, of different roots, that sizes and bitmaps leave possible."""
         minor = table.column("minor").to_numpy(zero_copy_only=False)
         sig, root, n = (table.column(c).to_numpy().astype(np.int64) for c in ("sig", "root", "n"))
-        bits = np.concatenate([np.asarray(c.flatten()) for c in table.column("bits").chunks]).view(np.uint64).reshape(len(sig), -1)
-        ys = np.flatnonzero(~minor)
+        flat = np.concatenate([np.asarray(c.flatten()) for c in table.column("bits").chunks]).view(np.uint64)
+        words = np.concatenate([np.asarray(c.value_lengths()) for c in table.column("bits").chunks]).astype(np.int64)
+        start = np.cumsum(words) - words
+        rows = {w: np.flatnonzero(~minor & (words == w)) for w in np.unique(words[~minor])}
+        ys = {w: (at, flat[start[at][:, None] + np.arange(w)]) for w, at in rows.items()}
         out_a, out_b = [], []
         for x in np.flatnonzero(minor):
-            near = ys[(root[ys] != root[x]) & (np.minimum(n[ys], n[x]) * 100 >= np.maximum(n[ys], n[x]) * percent)]
-            size = n[near] + n[x]
-            differ = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            near = near[differ <= size - 2 * -(-size * percent // (100 + percent))]
-            out_a.append(np.minimum(sig[near], sig[x]))
-            out_b.append(np.maximum(sig[near], sig[x]))
+            own = flat[start[x] : start[x] + words[x]][None, :]
+            for w, (at, bits) in ys.items():
+                near = np.flatnonzero((root[at] != root[x]) & (np.minimum(n[at], n[x]) * 100 >= np.maximum(n[at], n[x]) * percent))
+                if not len(near):
+                    continue
+                both = min(w, words[x])
+                size = n[at[near]] + n[x]
+                differ = np.bitwise_count(_folded(bits[near], both) ^ _folded(own, both)).sum(axis=1, dtype=np.int64)
+                found = at[near[differ <= size - 2 * -(-size * percent // (100 + percent))]]
+                out_a.append(np.minimum(sig[found], sig[x]))
+                out_b.append(np.maximum(sig[found], sig[x]))
         join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))
         return pa.table({"a": join(out_a), "b": join(out_b)})
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,40 @@ def test_ngram_join(docs, empty, width, percent, monkeypatch):
     assert ngram_join.ngram_components(empty, links=True).count() == 0
 
 
+def test_pairs_of_unlike_sets_are_dropped_early(spark):
+    """Sets too unlike in size make no pair, long sets with nothing in common no candidate; no link is lost."""
+    rng = np.random.default_rng(5)
+    every = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    sets = [every(n) for n in (40, 44, 60, 61, 64, 120, 250, 255, 400, 3000, 5000, 5200, 8000, 8200, 20_000, 70_000)]
+    for s in [*sets]:  # near copies, also with the next number of bits
+        for gone, new in ((len(s) // 25, len(s) // 50), (0, len(s) // 10), (len(s) // 10, 0)):
+            sets.append(np.unique(np.concatenate([rng.permutation(s)[gone:], every(new)])))
+    sigs = [ngram_join.signature(s) for s in sets]
+    near, linked = set(), set()
+    for percent in (90, 80):
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                o = len(np.intersect1d(x, y)) if sigs[i] < sigs[j] and min(len(x), len(y)) * 2 >= max(len(x), len(y)) else 0
+                if o and 100 * o >= percent * (len(x) + len(y) - o):
+                    linked.add((percent, sigs[i], sigs[j]))
+        groups = spark.createDataFrame([(1, s) for s in sigs], "key bigint, sig bigint")
+        met = ngram_join._met(groups, percent)
+        assert met.count() < len(sets) * (len(sets) - 1) / 4
+        reps = spark.createDataFrame([(s, len(x), ngram_join.parity(x).tolist()) for s, x in zip(sigs, sets, strict=True)], "sig bigint, n int, bits array<bigint>")
+        near |= {(percent, r.a, r.b) for r in ngram_join._close(met, reps, percent).collect()}
+    assert len({len(ngram_join.parity(x)) for x in sets}) > 5
+    assert linked and linked <= near
+    size = dict(zip(sigs, map(len, sets), strict=True))
+    root = {s: i % 16 if i < 16 else (i - 16) // 3 for i, s in enumerate(sigs)}
+    assert not [(p, size[a], size[b]) for p, a, b in near if root[a] != root[b] and min(size[a], size[b]) < 65_000]
+
+    for percent in (90, 80):  # the same by blocks
+        rows = [(m, s, i, len(x), ngram_join.parity(x).tolist()) for m in (True, False) for i, (s, x) in enumerate(zip(sigs, sets, strict=True))]
+        table = pa.table(dict(zip(("minor", "sig", "root", "n", "bits"), map(list, zip(*rows, strict=True)), strict=True)))
+        found = ngram_join._cross(percent)(table).to_pylist()
+        assert {(percent, r["a"], r["b"]) for r in found} == {x for x in near if x[0] == percent}
+
+
 def test_loser_tree_merges_without_recomparing():
     rng = np.random.default_rng(3)
     for k in (1, 2, 3, 7, 12):
