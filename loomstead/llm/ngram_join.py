@@ -17,9 +17,13 @@ documents form components.
    gives the pairs with its pivot, its least signature, so that keys with the
    same sets give the same pairs.  Sets in their pivot's component need no more
    comparisons with others in it; the rest are compared with that component and
-   with each other, block by block within tasks.  A signature's last byte tells
-   its set's size in steps of a sixteenth of a doubling, so sets that are too
-   unlike in size make no pair.
+   with each other, block by block within tasks, first by bitmaps, then the sets
+   that these leave possible by their whole sets.  A task tells no more than
+   which of its sets are possible, and links enough to join those that have one;
+   no list of all pairs is made.  Where there are several blocks, each set meets
+   one first, so that few are left for all the others.  A signature's last byte tells its set's size
+   in steps of a sixteenth of a doubling, so sets that are too unlike in size
+   make no pair.
 5. Two sets whose parity bitmaps (one bit flipped for each shingle, by hash; as
    many bits as shingles or more) differ in more bits than their symmetric
    difference may have are dropped; the other candidates are verified on the
@@ -324,9 +328,9 @@ class _Sets:
         self.base, self.reps, self.width = base, reps, width
         self.parts: list[DataFrame] = []  # tables bucketed by signature: joins on it move the other side only
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """The sets of all signatures of ``pairs``, and perhaps others."""
-        asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    def of(self, asked: DataFrame) -> DataFrame:
+        """The sets of all signatures ``sig`` of ``asked``, and perhaps others."""
+        asked = asked.select("sig").distinct()
         wanted = asked
         for part in self.parts:
             wanted = wanted.join(part.select("sig"), "sig", "left_anti")
@@ -342,13 +346,13 @@ class _Sets:
         asked = written(asked)
         return reduce(DataFrame.union, [part.join(asked, "sig", "left_semi") for part in self.parts])
 
-    def linked(self, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-        """All pairs looked at, and those of them that are links."""
-        sets = self.of(pairs)
+    def linked(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """Those of the pairs that are links."""
+        sets = self.of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
         x, y = sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), sets.select(F.col("sig").alias("b"), F.col("items").alias("y"))
         met = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         checked = written(met.mapInArrow(_overlaps, "a bigint, b bigint, na bigint, nb bigint, o bigint"))
-        return checked.select("a", "b"), checked.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+        return checked.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
 def ngram_components(
@@ -389,11 +393,12 @@ def _links(base: DataFrame, reps: DataFrame, sets: _Sets, width: int, percent: i
     few, many = groups.where(F.col("m") <= ALL_PAIRS_UP_TO), groups.where(F.col("m") > ALL_PAIRS_UP_TO)
     stars = written(many.where("pivot < sig").select("pivot", "sig").distinct())
     near = stars.select(F.col("pivot").alias("a"), F.col("sig").alias("b")).where(_near_sizes("a", "b", percent))
-    checked, links = sets.linked(_close(_met(few, percent).union(near), reps, percent), percent)
-    rest = written(_unsettled(stars, links, reps, percent).join(checked, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.union(sets.linked(rest, percent)[1])
-    return links
+    links = sets.linked(_close(_met(few, percent).union(near), reps, percent), percent)
+    held, sizes = _unsettled(stars, links, reps)
+    if sizes.where("m > 1").limit(1).count():
+        links = links.union(_joining(_cells(held.where("m > 1"), False), sets, percent))
+        held, _ = _unsettled(stars, links, reps)
+    return links.union(_joining(_cells(held, True), sets, percent))
 
 
 def _shared(index: DataFrame) -> DataFrame:
@@ -409,59 +414,133 @@ def _met(groups: DataFrame, percent: int) -> DataFrame:
     return side("a").join(side("b"), "key").where("a < b").where(_near_sizes("a", "b", percent)).select("a", "b")
 
 
-def _unsettled(stars: DataFrame, links: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large classes that meet in no component yet and that sizes and bitmaps leave possible.
+def _unsettled(stars: DataFrame, links: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (``main``) of sets that may have links between components, and their numbers of blocks: ``m`` of all sets, ``q`` of the minor.
 
-    Sets that share a large key share its pivot.  So the sets that are not in their pivot's component are compared
-    with that component's sets and with each other, in blocks of ``BLOCK`` by ``BLOCK``: bitmaps are compared within
-    a task, and only what may be a link leaves it.
+    Sets that share a large key share its pivot.  So the sets that are not in their pivot's component (``minor``) are
+    to be compared with that component's sets and with each other.
     """
     roots = written(connected_components(links, "a", "b"))
     of = lambda c, name: roots.select(F.col("node").alias(c), F.col("component").alias(name))
     star = stars.join(of("pivot", "p"), "pivot", "left").join(of("sig", "r"), "sig", "left")
     minor = star.select(F.coalesce("p", "pivot").alias("main"), "sig", F.coalesce("r", "sig").alias("root"), F.lit(True).alias("minor")).where("main <> root").distinct()
     minor = written(minor)
-    sizes = minor.groupBy("main").agg(F.count("*").alias("q"))
     major = roots.select(F.col("component").alias("main"), F.col("node").alias("sig"), F.col("component").alias("root"), F.lit(False).alias("minor"))
-    held = minor.union(major.join(sizes, "main", "left_semi")).join(reps.select("sig", "n", "bits"), "sig")
-    held = held.join(written(held.groupBy("main").agg(F.count("*").alias("m"), F.sum(F.col("minor").cast("int")).alias("q"))), "main")
-    n_blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    block = lambda c: F.pmod(F.xxhash64("sig", F.lit(7)), n_blocks(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), n_blocks(c) - 1))
-    x = held.where("minor").select("main", block("q").alias("i"), every("m").alias("j"), F.lit(True).alias("minor"), "sig", "root", "n", "bits")
-    y = held.select("main", every("q").alias("i"), block("m").alias("j"), F.lit(False).alias("minor"), "sig", "root", "n", "bits")
-    return x.union(y).groupBy("main", "i", "j").applyInArrow(_cross(percent), "a bigint, b bigint").distinct()
+    held = minor.union(major.join(minor.select("main").distinct(), "main", "left_semi")).join(reps.select("sig", "n", "bits"), "sig")
+    part = F.greatest(F.lit(1 / BLOCK), F.col("n") / COUNTED_ITEMS)
+    sizes = held.groupBy("main").agg(F.ceil(F.sum(part)).cast("int").alias("m"), F.ceil(F.sum(F.when(F.col("minor"), part))).cast("int").alias("q"))
+    sizes = written(sizes)
+    return held.join(sizes, "main"), sizes
+
+
+def _cells(held: DataFrame, every: bool) -> DataFrame:
+    """Blocks of minor sets against all blocks of their class, or, unless ``every``, against one."""
+    block = lambda c: F.pmod(F.xxhash64("sig", F.lit(7)), F.col(c)).cast("int")
+    others = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    x, y = held.where("minor").withColumn("i", block("q")), held.withColumn("j", block("m"))
+    x, y = (x.withColumn("j", others("m")), y.withColumn("i", others("q"))) if every else (x.withColumn("j", F.col("i")), y.where("j < q").withColumn("i", F.col("j")))
+    side = lambda cells, minor: cells.select("main", "i", "j", F.lit(minor).alias("minor"), "sig", "root", "n", "bits")
+    return side(x, True).union(side(y, False))
+
+
+def _joining(cells: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Links that join all components which a link within a cell joins."""
+    cell = ["main", "i", "j"]
+    possible = written(cells.groupBy(*cell).applyInArrow(_possible(percent), "main bigint, i int, j int, sig bigint"))
+    if not possible.limit(1).count():
+        return possible.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
+    whole = cells.join(possible, [*cell, "sig"]).join(sets.of(possible), "sig")
+    return written(whole.groupBy(*cell).applyInArrow(_joined(percent), "a bigint, b bigint"))
+
+
+def _near(table: pa.Table, percent: int, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The row of each minor set with the rows of sets that sizes and bitmaps leave possible, the nearest first.
+
+    Sets with the same ``root`` are left out; roots may change between.
+    """
+    minor = table.column("minor").to_numpy(zero_copy_only=False)
+    n = table.column("n").to_numpy().astype(np.int64)
+    flat = np.concatenate([np.asarray(c.flatten()) for c in table.column("bits").chunks]).view(np.uint64)
+    words = np.concatenate([np.asarray(c.value_lengths()) for c in table.column("bits").chunks]).astype(np.int64)
+    start = np.cumsum(words) - words
+    rows = {w: np.flatnonzero(~minor & (words == w)) for w in np.unique(words[~minor])}
+    ys = {w: (at, flat[start[at][:, None] + np.arange(w)]) for w, at in rows.items()}
+    for x in np.flatnonzero(minor):
+        own = flat[start[x] : start[x] + words[x]][None, :]
+        found, differs = [], []
+        for w, (at, bits) in ys.items():
+            near = np.flatnonzero((root[at] != root[x]) & (np.minimum(n[at], n[x]) * 100 >= np.maximum(n[at], n[x]) * percent))
+            if not len(near):
+                continue
+            both = min(w, words[x])
+            size = n[at[near]] + n[x]
+            differ = np.bitwise_count(_folded(bits[near], both) ^ _folded(own, both)).sum(axis=1, dtype=np.int64)
+            may = differ <= size - 2 * -(-size * percent // (100 + percent))
+            found.append(at[near[may]])
+            differs.append(differ[may])
+        if sum(map(len, found)):
+            yield x, np.concatenate(found)[np.argsort(np.concatenate(differs), kind="stable")]
 
 
 def _cross(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of a minor set and any set, of different roots, that sizes and bitmaps leave possible."""
-        minor = table.column("minor").to_numpy(zero_copy_only=False)
-        sig, root, n = (table.column(c).to_numpy().astype(np.int64) for c in ("sig", "root", "n"))
-        flat = np.concatenate([np.asarray(c.flatten()) for c in table.column("bits").chunks]).view(np.uint64)
-        words = np.concatenate([np.asarray(c.value_lengths()) for c in table.column("bits").chunks]).astype(np.int64)
-        start = np.cumsum(words) - words
-        rows = {w: np.flatnonzero(~minor & (words == w)) for w in np.unique(words[~minor])}
-        ys = {w: (at, flat[start[at][:, None] + np.arange(w)]) for w, at in rows.items()}
+        sig, root = (table.column(c).to_numpy().astype(np.int64) for c in ("sig", "root"))
         out_a, out_b = [], []
-        for x in np.flatnonzero(minor):
-            own = flat[start[x] : start[x] + words[x]][None, :]
-            for w, (at, bits) in ys.items():
-                near = np.flatnonzero((root[at] != root[x]) & (np.minimum(n[at], n[x]) * 100 >= np.maximum(n[at], n[x]) * percent))
-                if not len(near):
-                    continue
-                both = min(w, words[x])
-                size = n[at[near]] + n[x]
-                differ = np.bitwise_count(_folded(bits[near], both) ^ _folded(own, both)).sum(axis=1, dtype=np.int64)
-                found = at[near[differ <= size - 2 * -(-size * percent // (100 + percent))]]
-                out_a.append(np.minimum(sig[found], sig[x]))
-                out_b.append(np.maximum(sig[found], sig[x]))
+        for x, found in _near(table, percent, root):
+            out_a.append(np.minimum(sig[found], sig[x]))
+            out_b.append(np.maximum(sig[found], sig[x]))
         join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))
         return pa.table({"a": join(out_a), "b": join(out_b)})
 
     return run
 
 
+def _possible(percent: int):
+    cross = _cross(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        """The sets of a cell that have such a pair, once each."""
+        pairs = cross(table)
+        sigs = np.unique(np.concatenate([pairs.column(c).to_numpy() for c in ("a", "b")]))
+        cell = {c: pa.repeat(table.column(c)[0], len(sigs)) for c in ("main", "i", "j")}
+        return pa.table(cell | {"sig": pa.array(sigs)})
+
+    return run
+
+
+def _joined(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links of a cell, fewer than its sets: a set is compared with the nearest first, with none of a root it has been joined to."""
+        sig, root = (table.column(c).to_numpy().astype(np.int64) for c in ("sig", "root"))
+        sets = [unpack_set(x) for x in table.column("items").to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        start = np.cumsum(n) - n
+        distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
+        has = np.zeros(len(distinct), bool)
+        links: list[tuple[int, int]] = []
+        for x, near in _near(table, percent, root):
+            own = place[start[x] : start[x] + n[x]]
+            has[own] = True
+            at_once = 4
+            while len(near):
+                some, near = near[:at_once], near[at_once:]
+                ends = np.cumsum(n[some])
+                o = np.add.reduceat(has[np.concatenate([place[start[y] : start[y] + n[y]] for y in some])], ends - n[some], dtype=np.int64)
+                linked = some[o * 100 >= (n[some] + n[x] - o) * percent]
+                for y in linked:
+                    if root[y] != root[x]:
+                        links.append((min(sig[x], sig[y]), max(sig[x], sig[y])))
+                        root[root == root[y]] = root[x]
+                near = near[root[near] != root[x]]
+                at_once = min(4 * at_once, 1024)
+            has[own] = False
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _link_counts(named: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """``others``, the rows with another set that each signature is linked to.
 

@@ -419,6 +419,52 @@ def test_pairs_of_unlike_sets_are_dropped_early(spark):
         assert {(percent, r["a"], r["b"]) for r in found} == {x for x in near if x[0] == percent}
 
 
+@pytest.mark.parametrize("block, items", [(2048, 1 << 20), (64, 5000)])
+def test_sets_left_by_a_pivot_make_no_list_of_pairs(spark, monkeypatch, block, items):
+    """Near copies of which most are too far from their pivot: no table of pairs is much longer than that of the sets."""
+    from loomstead.session import written
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(500):
+        one = list(base)
+        for _ in range(rng.choice((1, 2, 3, 3, 4, 4, 5))):
+            one[rng.randrange(150)] = rng.choice(words)
+        texts.append(" ".join(one))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = [root(i) for i in range(len(texts))]
+    assert 2 < len(set(want)) < 300
+    tables = []
+
+    def counted(df):
+        tables.append((df.columns, written(df)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COUNTED_ITEMS", items)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, width=5, percent=80).collect()}
+    assert got == dict(enumerate(want))
+    rows = [t.count() for columns, t in tables if columns[:2] == ["a", "b"]]
+    assert rows and max(rows) <= 4 * len(texts), rows
+
+
 def test_loser_tree_merges_without_recomparing():
     rng = np.random.default_rng(3)
     for k in (1, 2, 3, 7, 12):
