@@ -8,9 +8,11 @@ names by gender and script.  Mentions of one entity, however they are spelt,
 get the same replacement.  Replacements that meet one another or an entity
 that occurs are derived anew until all are distinct.
 
-Only rows with entities are shuffled.  The table of replacements is broadcast
-where its row count is at most ``BROADCAST_ROWS``; beyond it, mentions are
-salted and joined, so that an entity a third of all rows mention is spread.
+Only rows with entities are shuffled.  Mentions meet the table of replacements
+in a shuffle; an entity with many mentions has a copy for every ``MENTIONS`` of
+them, so that one that a third of all rows mention is spread.  Joins on
+entities are sort-merge joins whatever their estimated size, so that the
+driver holds no table of entities.
 
 Defined results: null stays null; empty texts and texts without entities are
 returned as they are; repeated rows are replaced alike; null ids are allowed;
@@ -25,8 +27,7 @@ from pyspark.sql import functions as F
 from loomstead.session import written
 
 KEY = "loomstead-surrogates-1"
-BROADCAST_ROWS = 100_000
-SALT = 32
+MENTIONS = 256
 ROUNDS = 60
 
 # Patterns of entities, in the order in which they are tried.
@@ -182,10 +183,10 @@ def assign(entities: DataFrame) -> DataFrame:
         made = todo.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("norm"), F.lit(attempt)))
         made = written(made.withColumn("look", look(F.col("surrogate"))))
         first = made.withColumn("r", F.row_number().over(Window.partitionBy("look").orderBy("norm", "kind"))).where("r = 1").drop("r")
-        good = written(first.join(taken, "look", "left_anti").select("kind", "norm", "surrogate", "look"))
+        good = written(first.join(taken.hint("shuffle_merge"), "look", "left_anti").select("kind", "norm", "surrogate", "look"))
         told = good.select("kind", "norm", "surrogate")
         kept = told if kept is None else kept.union(told)
-        todo = written(made.select("kind", "norm").join(good, ["kind", "norm"], "left_anti"))
+        todo = written(made.select("kind", "norm").join(good.hint("shuffle_merge"), ["kind", "norm"], "left_anti"))
         if not todo.limit(1).count():
             return kept
         taken = taken.union(good.select("look"))
@@ -200,12 +201,12 @@ def replace_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = dirty.select("doc_id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "mention"))
     found = found.distinct().withColumn("kind", kind_of(F.col("mention"))).withColumn("norm", norm_of(F.col("kind"), F.col("mention")))
     found = written(found)
-    table = written(assign(written(found.select("kind", "norm").distinct())))
-    if table.count() <= BROADCAST_ROWS:
-        mapped = found.join(F.broadcast(table), ["kind", "norm"])
-    else:
-        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        mapped = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALT)).cast("int")).join(salted, ["kind", "norm", "salt"])
+    counted = written(found.groupBy("kind", "norm").agg(F.ceil(F.count("*") / MENTIONS).alias("copies")))
+    heavy = F.broadcast(counted.where("copies > 1"))  # at most one for every MENTIONS mentions
+    copies = F.coalesce("copies", F.lit(1))
+    table = assign(counted.select("kind", "norm")).join(heavy, ["kind", "norm"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    salted = found.join(heavy, ["kind", "norm"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "at"), copies))
+    mapped = salted.join(table.hint("shuffle_merge"), ["kind", "norm", "salt"])
     mapped = mapped.select("doc_id", "row", "at", shaped(F.col("kind"), F.col("mention"), F.col("norm"), F.col("surrogate")).alias("by"))
     lists = mapped.groupBy("doc_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "by"))), lambda x: x["by"]).alias("by"))
     joined = dirty.alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.row") == F.col("l.row")))
