@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.session import written
+
 SATURATED, GUARDED, PRESSURE = 0.05, 0.25, 0.75  # fixed values of the checks
 
 
@@ -86,19 +88,42 @@ def grade_sweep(rows: DataFrame, taus: list[float]) -> DataFrame:
     return each.groupBy(F.col("x.tau").alias("tau")).agg(of(said & F.col("gold")).alias("tp"), of(said & ~F.col("gold")).alias("fp"), of(~said & F.col("gold")).alias("fn"), of(~said & ~F.col("gold")).alias("tn"))
 
 
+# Standard deviations around a cut's likely place at which hashes are counted.
+EDGES = (-6.0, -2.0, -1.2, -0.6, 0.0, 0.6, 1.2, 2.0, 6.0)
+
+
 def permutation_test(rows: DataFrame, rounds: int = 200) -> DataFrame:
     """``observed`` difference of the means of cases and others in ``value``, and the share ``p`` of ``rounds`` random
     dealings within weeks that reach it.
 
-    A round deals labels by rank of a hash within its week, so weeks keep their numbers of cases; work is dealt by
-    (week, round).  Rows are judged items, of which there are thousands: each is copied ``rounds`` times.
+    A round deals labels by rank of a hash within its week, so weeks keep their numbers of cases.  Only the few rows
+    whose hash lies near a cut are ranked: hashes are counted at some edges around the place where a cut is likely,
+    and rows beyond the two edges around it are summed where they are read.  Wherever the cut is, the ranks are exact.
     """
-    sizes = rows.groupBy("week").agg(F.count_if("case").alias("cases"))
     observed = rows.agg((F.avg(F.when(F.col("case"), F.col("value"))) - F.avg(F.when(~F.col("case"), F.col("value")))).alias("observed"))
-    each = rows.select("k", "week", "value", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    place = F.row_number().over(Window.partitionBy("week", "round").orderBy(F.xxhash64("k", "round"), "k"))
-    dealt = each.withColumn("place", place).join(sizes, "week").withColumn("case", F.col("place") <= F.col("cases"))
-    diff = dealt.groupBy("round").agg((F.avg(F.when(F.col("case"), F.col("value"))) - F.avg(F.when(~F.col("case"), F.col("value")))).alias("d"))
+    sizes = rows.where("week IS NOT NULL").groupBy("week").agg(F.count("*").alias("n"), F.count_if("case").alias("cases"))
+    share = F.col("cases") / F.col("n")
+    place = lambda e: F.least(F.greatest(share + e * F.sqrt(share * (1 - share) / F.col("n")), F.lit(1e-15)), F.lit(1 - 1e-15))
+    sizes = written(sizes.select("week", "cases", *(((place(e) - 0.5) * 2.0**64).cast("bigint").alias(f"e{i}") for i, e in enumerate(EDGES))))  # a row a week
+    rank, edges = F.xxhash64("k", "round"), range(len(EDGES))
+    each = rows.join(F.broadcast(sizes), "week").select("week", "k", *(f"e{i}" for i in edges), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    below = each.withColumn("h", rank).groupBy("week", "round").agg(*(F.count_if(F.col("h") < F.col(f"e{i}")).alias(f"n{i}") for i in edges))
+    upto = lambda c: F.greatest(*(F.when(F.col(f"n{i}") <= F.col("cases"), F.col(f"{c}{i}")) for i in edges))
+    high = F.least(*(F.when(F.col(f"n{i}") >= F.col("cases"), F.col(f"e{i}")) for i in edges))
+    cuts = written(below.join(sizes, "week").select("week", "round", upto("e").alias("low"), high.alias("high"), (F.col("cases") - F.coalesce(upto("n"), F.lit(0))).alias("more")))
+    by_week = cuts.groupBy("week").agg(F.collect_list(F.struct("round", "low", "high")).alias("cuts"))
+    dealt = rows.select("k", "week", F.col("value").cast("double").alias("value")).join(F.broadcast(by_week), "week").select("k", "week", "value", F.inline("cuts")).withColumn("h", rank)
+    side = F.when(F.col("h") < F.col("low"), "case").when(F.col("h") >= F.col("high"), "other").otherwise("near")
+    near = lambda c: F.when(F.col("side") == "near", F.col(c)).alias(f"_{c}")
+    told = dealt.withColumn("side", side).groupBy("round", "side", *map(near, ("week", "h", "k", "value")))
+    told = told.agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("total"))
+    so_far = F.sum("n").over(Window.partitionBy("round", "_week").orderBy("_h", "_k", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = told.withColumn("so_far", so_far).join(cuts.select("round", F.col("week").alias("_week"), "more"), ["round", "_week"], "left")
+    taken = F.when(F.col("side") == "case", F.col("n")).when(F.col("side") == "other", 0).otherwise(F.greatest(F.least("n", F.col("more") - F.col("so_far") + F.col("n")), F.lit(0)))
+    met = met.withColumn("taken", taken).withColumn("left", F.col("n") - F.col("taken"))
+    # The rows of one line near a cut have the same value.
+    mean = lambda c: F.try_divide(F.sum(F.when(F.col(c) > 0, F.when(F.col(c) == F.col("n"), F.col("total")).otherwise(F.col("_value") * F.col(c)))), F.sum(F.when(F.col("valued") > 0, F.when(F.col(c) == F.col("n"), F.col("valued")).otherwise(F.col(c)))))
+    diff = met.groupBy("round").agg((mean("taken") - mean("left")).alias("d"))
     return diff.crossJoin(F.broadcast(observed)).agg(F.round(F.first("observed"), 6).alias("observed"), F.round((F.count_if(F.col("d") >= F.col("observed")) + 1) / (F.count("*") + 1), 6).alias("p"))
 
 
