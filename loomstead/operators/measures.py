@@ -158,9 +158,27 @@ def distractors(numbers: DataFrame, lanes: DataFrame, templates: int, seed: int
 
 
 def hard_negatives(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """For each query (k, lane, term) the other row of its lane with most terms in common."""
-    q = queries.select(F.col("k").alias("query"), "lane", "term")
-    met = q.join(terms.select(F.col("k").alias("negative"), "lane", "term"), ["lane", "term"]).where("query <> negative")
-    shared = met.groupBy("query", "negative").agg(F.count("*").alias("shared"))
-    best = shared.groupBy("query").agg(F.min(F.struct((-F.col("shared")).alias("s"), "negative")).alias("x"))
-    return best.select("query", F.col("x.negative").alias("negative"), (-F.col("x.s")).alias("shared"))
+    """For each query (k, lane, term) the other row of its lane with most terms in common (the least of several).
+
+    Rows with the same terms count alike, so sets of terms meet, not rows; a set needs no more than its two least
+    rows, as a query leaves out one row only, itself.
+    """
+    two = lambda rows, by, *order: rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r <= 2")
+
+    def sets(rows: DataFrame) -> DataFrame:
+        listed = rows.where("lane IS NOT NULL AND term IS NOT NULL").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("lane", "term"))).alias("terms"))
+        return listed.select("k", F.to_json("terms").alias("set"), "terms")
+
+    def words(held: DataFrame, key: str) -> DataFrame:
+        return held.select(key, F.inline("terms")).groupBy(key, "lane", "term").agg(F.count("*").alias(f"n_{key}"))
+
+    asked = written(sets(queries))
+    all_ = two(sets(terms), "set", "k").groupBy("set").agg(F.array_sort(F.collect_list("k")).alias("rows"), F.first("terms").alias("terms"))
+    all_ = written(all_.select(F.col("rows")[0].alias("first"), "rows", "terms"))
+    ways = written(asked.groupBy("set").agg(F.min("k").alias("way"), F.first("terms").alias("terms")))
+    met = words(ways, "way").join(words(all_, "first"), ["lane", "term"])
+    shared = met.groupBy("way", "first").agg(F.sum(F.col("n_way") * F.col("n_first")).alias("shared"))
+    best = two(shared.join(all_.select("first", F.explode("rows").alias("negative")), "first"), "way", F.col("shared").desc(), "negative")
+    found = asked.join(ways.select("set", "way"), "set").join(best, "way").where("k <> negative")
+    least = found.groupBy("k").agg(F.min(F.struct((-F.col("shared")).alias("s"), "negative")).alias("x"))
+    return least.select(F.col("k").alias("query"), F.col("x.negative").alias("negative"), (-F.col("x.s")).alias("shared"))

@@ -39,3 +39,23 @@ def test_permutations_are_not_copied(spark):
     got = made.first()
     assert got.observed == round(seen, 6) and got.p == round((sum(r.d >= seen for r in dealt.collect()) + 1) / 100, 6)
     assert moved(made) < 10_000  # of 99,000 copies
+
+
+def test_hard_negatives_by_sets(spark):
+    """Many rows with few sets of terms, some with a term twice, one in two lanes."""
+    rng = random.Random(6)
+    rows = [(k, f"l{k % 2}", t) for k in range(400) for t in rng.choice(["ab", "abc", "aab", "xyz", "bx", "cz"])]
+    rows += [(7, "l0", "q"), (400, "l0", "q"), (401, "l1", "alone"), (402, None, "a"), (403, "l0", None), (404, "l5", "v"), (406, "l5", "v"), (408, "l5", "v"), (408, "l5", "w")]
+    terms = spark.createDataFrame(rows, "k bigint, lane string, term string")
+    want = {}
+    for q in {k for k, _, _ in rows if k % 2 == 0 or k in (7, 401)}:
+        n = {}
+        for k, lane, t in rows:
+            for k2, lane2, t2 in rows if k == q and lane and t else ():
+                if k2 != q and (lane2, t2) == (lane, t):
+                    n[k2] = n.get(k2, 0) + 1
+        if n:
+            want[q] = min((-c, k) for k, c in n.items())
+    made = measures.hard_negatives(terms.where("k % 2 = 0 OR k IN (7, 401)"), terms)
+    assert {r.query: (-r.shared, r.negative) for r in made.collect()} == want
+    assert moved(made) < 5_000  # rows met by rows: 27,489
