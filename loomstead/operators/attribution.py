@@ -21,28 +21,49 @@ def exact_duplicates(facts: DataFrame, points: DataFrame) -> DataFrame:
 
 def asof_reactions(reactions: DataFrame, captures: DataFrame, bucket_s: int = FORWARD_S) -> DataFrame:
     """Capture of each reaction: the earliest at or after it within a day, else the latest in the two
-    minutes before; captures of its own run come before those without a run.
+    minutes before; captures of its own run come before those without a run.  A row a message.
 
-    Both sides are cut into buckets of a day, and a reaction looks into its own
-    bucket and the neighbours its reach touches, so the join is an equi-join.
+    Both sides lie in buckets of a day (``bucket_s``, a day at least) in order of time, with the first capture of the bucket
+    after and the last of the one before, so a reaction finds its captures beside it: rows are sorted, never paired.
     """
-    at = F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6
-    c = captures.select("user_id", F.col("run_id").alias("c_run"), "capture_id", at.alias("c_at"), F.floor(at / bucket_s).alias("bucket"))
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    reach = F.sequence(F.floor((t - SKEW_S) / bucket_s), F.floor((t + FORWARD_S) / bucket_s))
-    r = reactions.select("message_id", "user_id", F.col("run_id").alias("r_run"), t.alias("r_at"), F.explode(reach).alias("bucket"))
-    met = r.join(c, ["user_id", "bucket"]).where(F.col("c_run").isNull() | (F.col("c_run") == F.col("r_run")))
-    after, before = F.col("c_at") >= F.col("r_at"), F.col("c_at") < F.col("r_at")
-    met = met.where((after & (F.col("c_at") <= F.col("r_at") + FORWARD_S)) | (before & (F.col("c_at") >= F.col("r_at") - SKEW_S)))
-    order = F.struct(F.col("c_run").isNull().alias("tier"), before.alias("late"), F.abs(F.col("c_at") - F.col("r_at")).alias("gap"), F.col("capture_id"))
-    picked = met.groupBy("message_id").agg(F.min(order).alias("best")).select("message_id", F.col("best.capture_id").alias("capture_id"))
-    return reactions.select("message_id").join(picked, "message_id", "left")
+    if bucket_s < FORWARD_S:
+        raise ValueError(f"a bucket holds {FORWARD_S} seconds at least")
+    size = bucket_s * 1_000_000
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    c = captures.select("user_id", "run_id", at("created_at").alias("at"), "capture_id").where("user_id IS NOT NULL AND at IS NOT NULL AND capture_id IS NOT NULL")
+    c = c.withColumn("bucket", F.floor(F.col("at") / size))
+    ends = c.groupBy("user_id", "run_id", "bucket").agg(F.min(F.struct("at", "capture_id")).alias("first"), F.min(F.struct((-F.col("at")).alias("at"), "capture_id")).alias("last"))
+    first = F.struct((F.col("bucket") - 1).alias("bucket"), F.col("first.at").alias("at"), F.col("first.capture_id").alias("capture_id"))
+    last = F.struct((F.col("bucket") + 1).alias("bucket"), (-F.col("last.at")).alias("at"), F.col("last.capture_id").alias("capture_id"))
+    c = c.unionByName(ends.select("user_id", "run_id", F.inline(F.array(first, last))))
+    # Reactions without a user or a time meet nothing, wherever they lie.
+    placed, t = F.col("user_id").isNotNull() & F.col("ts").isNotNull(), at("ts")
+    r = reactions.select(
+        "message_id", F.when(placed, F.col("user_id")).alias("user_id"), "run_id", t.alias("at"),
+        F.when(placed, F.floor(t / size)).otherwise(F.xxhash64("message_id")).alias("bucket"), F.lit(True).alias("asks"),
+    )
+    # One shuffle serves both tiers: a run's rows lie where those of its user and bucket lie.
+    rows = r.unionByName(c, allowMissingColumns=True).repartition("user_id", "bucket").withColumn("c", F.when(F.col("asks").isNull(), F.struct("at", "capture_id")))
+    tiers = {"own": (F.when(F.col("run_id").isNotNull(), F.col("c")), ("run_id",)), "any": (F.when(F.col("run_id").isNull(), F.col("c")), ())}
+    for name, (capture, by) in tiers.items():
+        group = Window.partitionBy("user_id", "bucket", *by)
+        # The last capture seen on the way up lies before a reaction, on the way down at or after it; of one time the least id comes last.
+        ways = {"before": (F.col("at"), F.col("asks").desc_nulls_last()), "after": (F.col("at").desc(), F.col("asks").asc_nulls_first())}
+        for way, order in ways.items():
+            w = group.orderBy(*order, F.col("capture_id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            rows = rows.withColumn(f"{name}_{way}", F.last(capture, ignorenulls=True).over(w))
+    gap = lambda tier, way: F.abs(F.col(f"{tier}_{way}.at") - F.col("at"))
+    near = lambda tier, way, reach: F.when(
+        gap(tier, way) <= reach * 1_000_000, F.struct(F.lit(tier == "any").alias("tier"), F.lit(way == "before").alias("late"), gap(tier, way).alias("gap"), F.col(f"{tier}_{way}.capture_id").alias("capture_id")),
+    )
+    best = F.coalesce(*(near(tier, way, reach) for tier in tiers for way, reach in (("after", FORWARD_S), ("before", SKEW_S))))
+    return rows.where("asks").groupBy("message_id").agg(F.min(best).alias("best")).select("message_id", F.col("best.capture_id").alias("capture_id"))
 
 
 def override_by_hash(placed: DataFrame, reactions: DataFrame, captures: DataFrame) -> DataFrame:
     """``placed``, but a capture of the same user among whose ``hashes`` a reaction's ``hash`` is comes first (the least id of several)."""
-    held = captures.select("user_id", "capture_id", F.explode("hashes").alias("hash"))
-    found = reactions.select("message_id", "user_id", "hash").join(held, ["user_id", "hash"]).groupBy("message_id").agg(F.min("capture_id").alias("by_hash"))
+    held = captures.select("user_id", "capture_id", F.explode("hashes").alias("hash")).groupBy("user_id", "hash").agg(F.min("capture_id").alias("by_hash"))
+    found = reactions.select("message_id", "user_id", "hash").join(held, ["user_id", "hash"]).groupBy("message_id").agg(F.min("by_hash").alias("by_hash"))
     return placed.join(found, "message_id", "left").select("message_id", F.coalesce("by_hash", "capture_id").alias("capture_id"))
 
 

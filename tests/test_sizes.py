@@ -5,11 +5,11 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstead.operators import measures
+from loomstead.operators import attribution, measures
 
 
-def moved(df):
-    """Rows that the query's own exchanges write."""
+def moved(df, metric="shuffleRecordsWritten", nodes=""):
+    """Rows that the query's own exchanges write, or another count of its nodes of one kind."""
     df.collect()
     todo, n = [df._jdf.queryExecution().executedPlan()], 0
     while todo:
@@ -20,8 +20,8 @@ def moved(df):
         elif kind.endswith("QueryStageExec"):
             todo.append(node.plan())
         else:
-            if node.metrics().contains("shuffleRecordsWritten"):
-                n += node.metrics().apply("shuffleRecordsWritten").value()
+            if nodes in kind and node.metrics().contains(metric):
+                n += node.metrics().apply(metric).value()
             todo += [node.children().apply(i) for i in range(node.children().size())]
     return n
 
@@ -59,3 +59,44 @@ def test_hard_negatives_by_sets(spark):
     made = measures.hard_negatives(terms.where("k % 2 = 0 OR k IN (7, 401)"), terms)
     assert {r.query: (-r.shared, r.negative) for r in made.collect()} == want
     assert moved(made) < 5_000  # rows met by rows: 27,489
+
+
+def _pick(r, captures):
+    """The capture of a reaction (message, user, run, second), by all pairs."""
+    met = [(c[2] is None, c[3] < r[3], abs(c[3] - r[3]), c[0]) for c in captures if None not in (c[1], r[1], c[3], r[3]) and c[1] == r[1] and (c[2] is None or c[2] == r[2]) and r[3] - 120 <= c[3] <= r[3] + 86400]
+    return min(met)[3] if met else None
+
+
+def _events(spark, seed, n, span):
+    rng = random.Random(seed)
+    at = lambda: None if rng.random() < 0.01 else 86400 * 19723 + rng.randrange(-span, span) // 40 * 40
+    some = lambda *x: rng.choice(x)
+    reactions = [(f"m{i}", some("a", "b", "b", "b", None), some("r1", "r2", None), at()) for i in range(n)]
+    captures = [(f"c{rng.randrange(10**6)}", some("a", "b", "b", "b", None), some("r1", "r2", "r3", None), at()) for i in range(n)]
+    made = lambda rows, key, time: spark.createDataFrame(rows, f"{key} string, user_id string, run_id string, s bigint").withColumn(time, F.timestamp_seconds("s"))
+    return reactions, captures, made(reactions, "message_id", "ts"), made(captures, "capture_id", "created_at")
+
+
+def test_asof_rows_are_not_paired(spark):
+    for seed, n, span in ((1, 300, 400), (2, 300, 100_000), (3, 120, 600_000)):
+        reactions, captures, r, c = _events(spark, seed, n, span)
+        got = {x.message_id: x.capture_id for x in attribution.asof_reactions(r, c).collect()}
+        assert got == {x[0]: _pick(x, captures) for x in reactions}
+    # The picks at both ends of a reach, and a message that is told twice (the nearer counts, as in SQL).
+    rows = [("m1", "a", "r", 86400), ("m2", "b", "r", 86399), ("m3", "c", "r", 120), ("m4", "d", "r", 86460), ("m5", "e", "r", 100), ("m5", "e", "r", 200)]
+    held = [("c1", "a", "r", 172800), ("c2", "b", "r", 172800), ("c3", "c", "r", 0), ("c4", "d", "r", 86339), ("c5", "e", None, 200)]
+    r = spark.createDataFrame(rows, "message_id string, user_id string, run_id string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    c = spark.createDataFrame(held, "capture_id string, user_id string, run_id string, s bigint").withColumn("created_at", F.timestamp_seconds("s"))
+    assert sorted(attribution.asof_reactions(r, c).collect()) == [("m1", "c1"), ("m2", None), ("m3", "c3"), ("m4", None), ("m5", "c5")]
+    # 4,000 rows of one user and hour: they are shuffled once or twice, no row meets all others.
+    one = lambda key, time: spark.range(2000).select(F.concat(F.lit(key[0]), "id").alias(key), F.lit("a").alias("user_id"), F.lit("r").alias("run_id"), F.timestamp_seconds(F.col("id")).alias(time))
+    made = attribution.asof_reactions(one("message_id", "ts"), one("capture_id", "created_at"))
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString() and moved(made) < 20_000
+
+
+def test_hashes_are_not_paired(spark):
+    r = spark.range(500).select(F.concat(F.lit("m"), "id").alias("message_id"), F.lit("a").alias("user_id"), (F.col("id") % 2).cast("string").alias("hash"))
+    c = spark.range(500).select(F.concat(F.lit("c"), F.col("id") + 100).alias("capture_id"), F.lit("a").alias("user_id"), F.array((F.col("id") % 3).cast("string")).alias("hashes"))
+    made = attribution.override_by_hash(r.select("message_id", F.lit(None).cast("string").alias("capture_id")), r, c)
+    assert {(int(x.message_id[1:]) % 2, x.capture_id) for x in made.collect()} == {(0, "c100"), (1, "c101")}
+    assert moved(made, "numOutputRows", "Join") < 5_000  # of 83,500 pairs
