@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from loomstead.functions.text import ngrams
 from loomstead.session import written
 
 K1, B, RRF_K = 1.2, 0.75, 60  # fixed values of the scoring formulas
@@ -108,3 +115,63 @@ def threshold_sweep(rows: DataFrame, steps: int = 20) -> DataFrame:
         (F.col("step") / steps).alias("threshold"), F.round(F.col("tp") / F.col("all"), 6).alias("recall"),
         F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), (5 * F.col("fp") + F.col("all") - F.col("tp")).alias("cost"),
     )
+
+
+WORD = re.compile("[a-z0-9_]+")
+FILTER_BITS = 25  # fixed value: the largest filter has 4 MB
+
+
+def _gram_codes(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, list[str], list[int]]:
+    """A number for each run of ``n`` words of the texts (in lower case), the place of its first word among all words, the words, and where each text ends among them."""
+    words, ends = [], []
+    for t in texts:
+        words += WORD.findall(t or "")
+        ends.append(len(words))
+    known = pa.array(words, pa.string()).dictionary_encode()
+    each = np.array([zlib.crc32(w.encode()) for w in known.dictionary.to_pylist()], np.uint64)[known.indices.to_numpy()] if words else np.zeros(0, np.uint64)
+    last = np.repeat(ends, np.diff([0, *ends]))  # where the text of each word ends
+    at = np.flatnonzero(np.arange(len(words)) + n <= last)
+    code = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        code = (code ^ each[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    return code * np.uint64(0xBF58476D1CE4E5B9), at, words, ends
+
+
+def shared_grams(docs: DataFrame, others: DataFrame, n: int = 5) -> DataFrame:
+    """``doc_id`` and the number ``shared`` of distinct runs of ``n`` words that a document (doc_id, text) has in common with any of
+    ``others`` (text), where there are some.
+
+    A filter of at most 4 MB tells most runs that none of ``others`` has where the documents are read; those left are
+    compared by their words, so the filter decides nothing.
+    """
+    spark = docs.sparkSession
+    grams = written(others.select(F.explode(ngrams(F.col("text"), n)).alias("gram")).distinct())
+    bits = min(FILTER_BITS, max(10, (16 * grams.count()).bit_length()))
+    shift = np.uint64(64 - bits)
+
+    def slots(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((_gram_codes(b.column(0).to_pylist(), n)[0] >> shift).astype(np.int64))], ["slot"])
+
+    lines = grams.mapInArrow(slots, "slot bigint").groupBy(F.shiftright("slot", 5).alias("line")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 31 AS INT))")).alias("held"))
+    filled = np.zeros(1 << bits - 5, np.uint32)
+    for r in lines.toLocalIterator():  # at most 2^20
+        filled[r.line] = r.held
+    shared = spark.sparkContext.broadcast(filled)
+
+    def candidates(batches):
+        held = shared.value
+        for b in batches:
+            texts, ids = b.column(1).to_pylist(), b.column(0)
+            for start in range(0, len(texts), 256):
+                part = texts[start : start + 256]
+                code, at, words, ends = _gram_codes(part, n)
+                slot = code >> shift
+                at = at[(held[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + np.searchsorted(ends, at, "right"))), pa.array([" ".join(words[i : i + n]) for i in at.tolist()], pa.string())], ["doc_id", "gram"])
+
+    schema = StructType([docs.schema["doc_id"], StructField("gram", StringType())])
+    found = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(candidates, schema)
+    return found.join(grams, "gram").groupBy("doc_id").agg(F.countDistinct("gram").alias("shared"))

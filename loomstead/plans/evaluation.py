@@ -158,8 +158,8 @@ def _(points):
     "SELECT doc_id, CAST(count(*) AS BIGINT) AS shared FROM g JOIN b USING (gram) GROUP BY doc_id",
 )
 def _(spark, sf_dir):
-    grams = lambda t, *keep: raw(spark, sf_dir, t).select(*keep, F.explode(T.ngrams(F.col("text"), 5)).alias("gram"))
-    return grams("documents", "doc_id").join(grams("benchmark").distinct(), "gram").groupBy("doc_id").agg(F.countDistinct("gram").alias("shared"))
+    """Distinct runs of five words that a document shares with the benchmark."""
+    return V.shared_grams(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "benchmark"), 5)
 
 
 @query(
