@@ -19,45 +19,80 @@ def exact_duplicates(facts: DataFrame, points: DataFrame) -> DataFrame:
     return facts.alias("f").join(p.alias("p"), on, "left").select("f.seq", "duplicate_of")
 
 
-def asof_reactions(reactions: DataFrame, captures: DataFrame, bucket_s: int = FORWARD_S) -> DataFrame:
-    """Capture of each reaction: the earliest at or after it within a day, else the latest in the two
-    minutes before; captures of its own run come before those without a run.  A row a message.
+def _beside(r: DataFrame, c: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
+    """Rows of ``r`` (``keys``, run_id, at, further columns) with the captures of ``c`` (``keys``, run_id, at, capture_id) that stand next to them:
+    ``own_before``, ``own_after``, ``any_before`` and ``any_after``, of their own run and of those without a run.
 
-    Both sides lie in buckets of a day (``bucket_s``, a day at least) in order of time, with the first capture of the bucket
-    after and the last of the one before, so a reaction finds its captures beside it: rows are sorted, never paired.
+    Both sides lie in buckets of ``size`` microseconds in order of time, with the first capture of the bucket after and the
+    last of the one before; so what lies further off than ``size`` may be missing.  Rows are sorted, never paired.
     """
-    if bucket_s < FORWARD_S:
-        raise ValueError(f"a bucket holds {FORWARD_S} seconds at least")
-    size = bucket_s * 1_000_000
-    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    c = captures.select("user_id", "run_id", at("created_at").alias("at"), "capture_id").where("user_id IS NOT NULL AND at IS NOT NULL AND capture_id IS NOT NULL")
-    c = c.withColumn("bucket", F.floor(F.col("at") / size))
-    ends = c.groupBy("user_id", "run_id", "bucket").agg(F.min(F.struct("at", "capture_id")).alias("first"), F.min(F.struct((-F.col("at")).alias("at"), "capture_id")).alias("last"))
+    of = F.floor(F.col("at") / size)
+    for k in (*keys, "at", "capture_id"):
+        c = c.where(F.col(k).isNotNull())
+    c = c.select(*keys, "run_id", "at", "capture_id", of.alias("bucket"))
+    ends = c.groupBy(*keys, "run_id", "bucket").agg(F.min(F.struct("at", "capture_id")).alias("first"), F.min(F.struct((-F.col("at")).alias("at"), "capture_id")).alias("last"))
     first = F.struct((F.col("bucket") - 1).alias("bucket"), F.col("first.at").alias("at"), F.col("first.capture_id").alias("capture_id"))
     last = F.struct((F.col("bucket") + 1).alias("bucket"), (-F.col("last.at")).alias("at"), F.col("last.capture_id").alias("capture_id"))
-    c = c.unionByName(ends.select("user_id", "run_id", F.inline(F.array(first, last))))
-    # Reactions without a user or a time meet nothing, wherever they lie.
-    placed, t = F.col("user_id").isNotNull() & F.col("ts").isNotNull(), at("ts")
-    r = reactions.select(
-        "message_id", F.when(placed, F.col("user_id")).alias("user_id"), "run_id", t.alias("at"),
-        F.when(placed, F.floor(t / size)).otherwise(F.xxhash64("message_id")).alias("bucket"), F.lit(True).alias("asks"),
-    )
-    # One shuffle serves both tiers: a run's rows lie where those of its user and bucket lie.
-    rows = r.unionByName(c, allowMissingColumns=True).repartition("user_id", "bucket").withColumn("c", F.when(F.col("asks").isNull(), F.struct("at", "capture_id")))
+    c = c.unionByName(ends.select(*keys, "run_id", F.inline(F.array(first, last))))
+    # Reactions without a key or a time meet nothing, wherever they lie.
+    placed = F.col("at").isNotNull()
+    for k in keys:
+        placed = placed & F.col(k).isNotNull()
+    others = [x for x in r.columns if x not in keys]
+    r = r.select(*others, *(F.when(placed, F.col(k)).alias(k) for k in keys), F.when(placed, of).otherwise(F.xxhash64(*others)).alias("bucket"), F.lit(True).alias("asks"))
+    # One shuffle serves both tiers: a run's rows lie where those of its keys and bucket lie.
+    rows = r.unionByName(c, allowMissingColumns=True).repartition(*keys, "bucket").withColumn("c", F.when(F.col("asks").isNull(), F.struct("at", "capture_id")))
     tiers = {"own": (F.when(F.col("run_id").isNotNull(), F.col("c")), ("run_id",)), "any": (F.when(F.col("run_id").isNull(), F.col("c")), ())}
     for name, (capture, by) in tiers.items():
-        group = Window.partitionBy("user_id", "bucket", *by)
+        group = Window.partitionBy(*keys, "bucket", *by)
         # The last capture seen on the way up lies before a reaction, on the way down at or after it; of one time the least id comes last.
         ways = {"before": (F.col("at"), F.col("asks").desc_nulls_last()), "after": (F.col("at").desc(), F.col("asks").asc_nulls_first())}
         for way, order in ways.items():
             w = group.orderBy(*order, F.col("capture_id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             rows = rows.withColumn(f"{name}_{way}", F.last(capture, ignorenulls=True).over(w))
-    gap = lambda tier, way: F.abs(F.col(f"{tier}_{way}.at") - F.col("at"))
-    near = lambda tier, way, reach: F.when(
-        gap(tier, way) <= reach * 1_000_000, F.struct(F.lit(tier == "any").alias("tier"), F.lit(way == "before").alias("late"), gap(tier, way).alias("gap"), F.col(f"{tier}_{way}.capture_id").alias("capture_id")),
-    )
-    best = F.coalesce(*(near(tier, way, reach) for tier in tiers for way, reach in (("after", FORWARD_S), ("before", SKEW_S))))
-    return rows.where("asks").groupBy("message_id").agg(F.min(best).alias("best")).select("message_id", F.col("best.capture_id").alias("capture_id"))
+    return rows.where("asks")
+
+
+def _best(*reach: tuple[str, int], unlike: bool = True) -> Column:
+    """Of the captures beside a reaction the one that counts: by tier, then by the ways named, each up to so many seconds."""
+
+    def near(tier: str, way: str, most: int) -> Column:
+        gap = F.abs(F.col(f"{tier}_{way}.at") - F.col("at"))
+        parts = {"tier": F.lit(tier == "any"), "unlike": F.lit(unlike), "late": F.lit(way == "before"), "gap": gap, "capture_id": F.col(f"{tier}_{way}.capture_id")}
+        return F.when(gap <= most * 1_000_000, F.struct(*(v.alias(k) for k, v in parts.items())))
+
+    return F.coalesce(*(near(tier, *x) for tier in ("own", "any") for x in reach))
+
+
+def micros(time: str) -> Column:
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
+def asof_reactions(reactions: DataFrame, captures: DataFrame, bucket_s: int = FORWARD_S) -> DataFrame:
+    """Capture of each reaction: the earliest at or after it within a day, else the latest in the two
+    minutes before; captures of its own run come before those without a run.  A row a message.  Buckets of a day at least.
+    """
+    if bucket_s < FORWARD_S:
+        raise ValueError(f"a bucket holds {FORWARD_S} seconds at least")
+    r = reactions.select("message_id", "user_id", "run_id", micros("ts").alias("at"))
+    c = captures.select("user_id", "run_id", micros("created_at").alias("at"), "capture_id")
+    beside = _beside(r, c, ("user_id",), bucket_s * 1_000_000)
+    best = F.min(_best(("after", FORWARD_S), ("before", SKEW_S)))
+    return beside.groupBy("message_id").agg(best.alias("best")).select("message_id", F.col("best.capture_id").alias("capture_id"))
+
+
+def attach_reactions(r: DataFrame, c: DataFrame) -> DataFrame:
+    """``message_id``, ``user_id``, ``at`` and ``capture_id`` of each reaction (message_id, user_id, run_id, at, hash): as in ``asof_reactions``,
+    but of one tier a capture (user_id, run_id, at, capture_id, hashes) that holds the hash comes first, the earliest such within reach."""
+    who = F.struct("message_id", "user_id", "at").alias("who")
+    plain = _beside(r.select("user_id", "run_id", "at", who), c.drop("hashes"), ("user_id",), FORWARD_S * 1_000_000)
+    found = plain.select("who", _best(("after", FORWARD_S), ("before", SKEW_S)).alias("best"))
+    # The earliest from the reach's beginning on.
+    begin = r.where("hash IS NOT NULL").select("user_id", "hash", "run_id", (F.col("at") - SKEW_S * 1_000_000).alias("at"), who)
+    held = c.select("user_id", "run_id", "at", "capture_id", F.explode(F.array_distinct("hashes")).alias("hash"))
+    alike = _beside(begin, held, ("user_id", "hash"), (FORWARD_S + SKEW_S) * 1_000_000)
+    found = found.unionByName(alike.select("who", _best(("after", FORWARD_S + SKEW_S), unlike=False).alias("best")))
+    return found.groupBy("who").agg(F.min("best").alias("best")).select("who.*", F.col("best.capture_id").alias("capture_id"))
 
 
 def override_by_hash(placed: DataFrame, reactions: DataFrame, captures: DataFrame) -> DataFrame:

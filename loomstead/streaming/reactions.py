@@ -1,10 +1,13 @@
 """Late reactions as a stream: each waits for its capture until the day after it has passed.
 
-Reactions and captures are two streams with watermarks.  They meet in an outer
-interval join by user and day, so a hot user's state is spread over days and
-is dropped as the watermark passes; the pick of each reaction is an aggregate
-over what it met, told once, when no capture that reaches it can still come.
-A reaction that meets none is told with a null capture.
+Reactions and captures are two streams; the watermark is the earlier one of
+theirs.  A batch takes up the rows that the one before left open, tells the
+reactions that no capture still to come can reach, each once, and leaves open
+the other reactions and the captures within their reach.  What is open lies in
+Parquet files below the checkpoint, a folder a batch, so a batch that is run
+again begins from the same rows.  Reactions find their captures in order of
+time (``attribution.attach_reactions``), so no pairs are made.  A reaction that
+meets none is told with a null capture.
 
 Defined results: rows with a null user meet nothing; a reaction without a time
 never comes out (it can't be placed); repeated reactions (same message, user
@@ -18,47 +21,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomstead.operators.attribution import FORWARD_S, SKEW_S
+from loomstead.operators.attribution import FORWARD_S, SKEW_S, attach_reactions, micros
+from loomstead.streaming.commit import Store
 
 
-def attach_late(reactions: DataFrame, captures: DataFrame, *, late: str = "10 minutes") -> DataFrame:
-    """``message_id``, ``user_id``, ``ts`` and ``capture_id`` of each reaction, from streams or tables.
+def _rows(reactions: DataFrame, captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with times in microseconds; rows without a time are left out."""
+    hashed = "hash" in reactions.columns and "hashes" in captures.columns
+    text = F.lit(None).cast("string")
+    r = reactions.select("message_id", "user_id", "run_id", micros("ts").alias("at"), (F.col("hash") if hashed else text).alias("hash"))
+    c = captures.select("capture_id", "user_id", "run_id", micros("created_at").alias("at"), (F.col("hashes") if hashed else F.array(text)).alias("hashes"))
+    return r.where("at IS NOT NULL"), c.where("at IS NOT NULL")
+
+
+def _told(r: DataFrame, c: DataFrame) -> DataFrame:
+    return attach_reactions(r, c).select("message_id", "user_id", F.timestamp_micros("at").alias("ts"), "capture_id")
+
+
+def attach_late(reactions: DataFrame, captures: DataFrame) -> DataFrame:
+    """``message_id``, ``user_id``, ``ts`` and ``capture_id`` of each reaction, from tables.
 
     Captures of the reaction's own run come before those without a run; of one
     tier, one whose ``hashes`` hold the reaction's ``hash`` (the earliest such)
     comes first, then the earliest at or after the reaction, then the latest
     before it.  ``hash`` and ``hashes`` are optional.
     """
-    hashed = "hash" in reactions.columns and "hashes" in captures.columns
-    bucket = lambda at: F.floor(F.unix_seconds(at) / FORWARD_S)
-    shifted = lambda at, s: bucket(at + F.expr(f"INTERVAL {s} SECONDS"))
-    at = F.col("ts").cast("timestamp")
-    r = reactions.select(
-        F.col("message_id"), F.col("user_id"), F.col("run_id").alias("r_run"), at.alias("r_at"), (F.col("hash") if hashed else F.lit(None).cast("string")).alias("r_hash"),
-    ).withWatermark("r_at", late)
-    r = r.withColumn("bucket", F.explode(F.sequence(shifted(F.col("r_at"), -SKEW_S), shifted(F.col("r_at"), FORWARD_S))))
-    made = F.col("created_at").cast("timestamp")
-    c = captures.select(
-        F.col("user_id").alias("c_user"), F.col("run_id").alias("c_run"), "capture_id", made.alias("c_at"), bucket(made).alias("c_bucket"),
-        (F.col("hashes") if hashed else F.array().cast("array<string>")).alias("hashes"),
-    ).withWatermark("c_at", late)
-    reach = F.expr(f"c_at >= r_at - INTERVAL {SKEW_S} SECONDS AND c_at <= r_at + INTERVAL {FORWARD_S} SECONDS")
-    met = r.join(c, (F.col("user_id") == F.col("c_user")) & (F.col("bucket") == F.col("c_bucket")) & reach & (F.col("c_run").isNull() | (F.col("c_run") == F.col("r_run"))), "leftOuter")
-    gap = F.unix_micros("c_at") - F.unix_micros("r_at")
-    same = F.coalesce(F.array_contains("hashes", F.col("r_hash")), F.lit(False))
-    order = F.struct(
-        F.col("c_run").isNull().alias("tier"), (~same).alias("unlike"), F.when(~same, gap < 0).alias("before"),
-        F.when(same, gap).otherwise(F.abs(gap)).alias("gap"), F.col("capture_id"),
-    )
-    best = met.groupBy("r_at", "message_id", "user_id").agg(F.min(F.when(F.col("capture_id").isNotNull(), order)).alias("best"))
-    return best.select("message_id", "user_id", F.col("r_at").alias("ts"), F.col("best.capture_id").alias("capture_id"))
+    return _told(*_rows(reactions, captures))
 
 
 def run_attachments(reactions: DataFrame, captures: DataFrame, sink: str, checkpoint: str, *, late: str = "10 minutes") -> StreamingQuery:
     """Tells what has settled into ``sink``; a batch that is run again overwrites its own files only."""
+    spark = reactions.sparkSession
+    delay = spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {late}"))).first()[0]
+    forward, skew = FORWARD_S * 1_000_000, SKEW_S * 1_000_000
+    r, c = _rows(reactions, captures)
+    both = r.withColumn("asks", F.lit(True)).unionByName(c.withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    mine = ("message_id", "user_id", "run_id", "at", "hash"), ("capture_id", "user_id", "run_id", "at", "hashes")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        store, seen = Store(session, f"{checkpoint}/open"), lambda i: f"{checkpoint}/open/seen-{i}"
+        before = store.read(f"state-{batch_id - 1}.json") if batch_id else {"r": None, "c": None, "mark": None}
+        rows, mark = batch, before["mark"]
+        if mark is not None:
+            rows = rows.where(F.col("at") > mark)
+        if batch_id:
+            rows = rows.unionByName(session.read.schema(batch.schema).parquet(seen(batch_id - 1)).where(F.lit(True) if mark is None else F.col("at") > mark - forward - F.when(F.col("asks"), 0).otherwise(skew)))
+        rows.write.mode("overwrite").parquet(seen(batch_id))
+        rows = session.read.schema(batch.schema).parquet(seen(batch_id))
+        last = rows.agg(F.max(F.when(F.col("asks"), F.col("at"))).alias("r"), F.max(F.when(~F.col("asks"), F.col("at"))).alias("c")).first()
+        now = {k: max((x for x in (before[k], last[k]) if x is not None), default=None) for k in ("r", "c")}
+        now["mark"] = mark if None in now.values() else max(min(now.values()) - delay, mark if mark is not None else min(now.values()) - delay)
+        settled = F.lit(False) if now["mark"] is None else F.col("at") + forward <= now["mark"]
+        told = _told(rows.where(F.col("asks") & settled).select(*mine[0]), rows.where(~F.col("asks")).select(*mine[1]))
+        told.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(sink)
+        store.write(f"state-{batch_id}.json", now)
+        for name in (f"seen-{batch_id - 2}", f"state-{batch_id - 2}.json"):
+            store.fs.delete(store.path(name), True)
 
-    told = attach_late(reactions, captures, late=late)
-    return told.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return both.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -95,6 +95,31 @@ def test_asof_rows_are_not_paired(spark):
     assert "Join" not in made._jdf.queryExecution().executedPlan().toString() and moved(made) < 20_000
 
 
+def test_late_reactions_are_not_paired(spark):
+    from loomstead.streaming import reactions as late
+
+    for seed, span in ((4, 300), (5, 100_000)):
+        reactions, captures, r, c = _events(spark, seed, 200, span)
+        marks = ("x", "y", None)
+        hash_of = {x[0]: marks[i % 3] for i, x in enumerate(reactions)}
+        held = [[h for j, h in enumerate(marks[:2]) if (i >> j) & 1] if i % 5 else None for i in range(len(captures))]
+        r = r.join(spark.createDataFrame(list(hash_of.items()), "message_id string, hash string"), "message_id")
+        c = spark.createDataFrame([(*x, h) for x, h in zip(captures, held, strict=True)], "capture_id string, user_id string, run_id string, s bigint, hashes array<string>").withColumn("created_at", F.timestamp_seconds("s"))
+        want = {}
+        for m, user, run, at in (x for x in reactions if x[3] is not None):
+            met = []
+            for (cid, c_user, c_run, c_at), h in zip(captures, held, strict=True):
+                if c_at is not None and user is not None and c_user == user and (c_run is None or c_run == run) and at - 120 <= c_at <= at + 86400:
+                    same = hash_of[m] is not None and hash_of[m] in (h or ())
+                    met.append((c_run is None, not same, not same and c_at < at, c_at - at if same else abs(c_at - at), cid))
+            want[m] = min(met)[4] if met else None
+        made = late.attach_late(r, c)
+        assert {x.message_id: x.capture_id for x in made.collect()} == want
+    one = lambda key, time: spark.range(1000).select(F.concat(F.lit(key[0]), "id").alias(key), F.lit("a").alias("user_id"), F.lit("r").alias("run_id"), F.timestamp_seconds(F.col("id")).alias(time))
+    made = late.attach_late(one("message_id", "ts"), one("capture_id", "created_at"))
+    assert moved(made) < 20_000 and moved(made, "numOutputRows", "Join") == 0  # most of 1,000,000 pairs are within reach
+
+
 def test_hashes_are_not_paired(spark):
     r = spark.range(500).select(F.concat(F.lit("m"), "id").alias("message_id"), F.lit("a").alias("user_id"), (F.col("id") % 2).cast("string").alias("hash"))
     c = spark.range(500).select(F.concat(F.lit("c"), F.col("id") + 100).alias("capture_id"), F.lit("a").alias("user_id"), F.array((F.col("id") % 3).cast("string")).alias("hashes"))
